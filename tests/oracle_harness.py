@@ -63,6 +63,20 @@ def run_oracle(con, sql: str):
     return cols, cur.fetchall()
 
 
+SPARK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT", "tinyint": "TINYINT",
+               "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "date": "DATE",
+               "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "boolean": "BOOLEAN"}
+
+
+def spark_type(dt):
+    s = dt.simpleString()
+    if s.startswith("decimal"):
+        return s.upper().replace(" ", "")
+    if s.startswith("array<"):
+        return spark_type(dt.elementType) + "[]"
+    return SPARK_TYPES.get(s, s.upper())
+
+
 def canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return [cols[i] for i in order], Counter(tuple(norm(r[i]) for i in order) for r in rows)
@@ -76,7 +90,11 @@ def compare(spark, con, name, fn, sql, data_dir):
     t1 = time.time()
     if sql is None:
         return {"name": name, "status": "rows-only", "rows": len(s_rows), "spark_s": round(t1 - t0, 2)}
-    o_cols, o_rows = run_oracle(con, sql)
+    cur = con.execute(sql)
+    o_cols = [x[0] for x in cur.description]
+    o_types = {x[0]: str(x[1]).upper().replace(" ", "") for x in cur.description}
+    o_rows = cur.fetchall()
+    s_types = {f.name: spark_type(f.dataType).replace(" ", "") for f in df.schema.fields}
     sc, sm = canon(s_cols, s_rows)
     oc, om = canon(o_cols, o_rows)
     res = {"name": name, "rows": len(s_rows), "oracle_rows": len(o_rows), "spark_s": round(t1 - t0, 2)}
@@ -89,7 +107,8 @@ def compare(spark, con, name, fn, sql, data_dir):
         diff_o = list((om - sm).elements())[:3]
         res.update(status="VALUES", spark_only=diff_s, oracle_only=diff_o)
     else:
-        res.update(status="ok")
+        tdiff = {c: (s_types.get(c), o_types.get(c)) for c in s_cols if s_types.get(c) != o_types.get(c)}
+        res.update(status="ok", **({"type_diff": tdiff} if tdiff else {}))
     return res
 
 
