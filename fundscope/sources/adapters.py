@@ -148,7 +148,21 @@ def overdues(cat: Catalog) -> DataFrame:
     )
 
 
+def knowledge(cat: Catalog) -> DataFrame:
+    """Knowledge items (id, category, title = first line, content = whole text,
+    tags, created_at) from ``documents``."""
+    d = cat.documents
+    return d.select(
+        F.col("doc_id").alias("id"), F.col("source").alias("category"),
+        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("content"),
+        F.concat_ws(",", F.col("lang"), F.col("source")).alias("tags"),
+        F.timestamp_add("MINUTE", F.col("doc_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+        .alias("created_at"),
+    )
+
+
 ADAPTERS = {
+    "knowledge": knowledge,
     "raw_contracts": raw_contracts,
     "raw_customers": raw_customers,
     "raw_repayments": raw_repayments,
@@ -213,6 +227,10 @@ SQL = {
   SELECT event_id AS ledger_id, user_id AS person_id, event_type AS trans_type, value AS trans_amount,
          ts AS trans_ts, event_type AS abstract, props AS ext_info
   FROM events)""",
+    "knowledge": """knowledge AS (
+  SELECT doc_id AS id, source AS category, split_part(text, chr(10), 1) AS title, text AS content,
+         concat_ws(',', lang, source) AS tags, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 MINUTE AS created_at
+  FROM documents)""",
     "overdues": """overdues AS (
   SELECT l_orderkey AS loan_id, l_linenumber AS overdue_seq, CAST(l_quantity AS INTEGER) * 7 AS overdue_days,
          l_extendedprice / 64.0 AS overdue_total, l_returnflag AS grade, (l_linestatus = 'F') AS settled
