@@ -6,6 +6,8 @@ Nothing here pairs every query with every document as rows:
   index.  Each needle joins only on its rarest gram (exact: a text containing
   the needle contains all of its grams), and candidates are verified with
   ``instr``.  Candidate volume is bounded by that gram's document frequency.
+  Needles without whitespace (keywords) are matched against the distinct
+  token vocabulary instead of the full texts, then mapped through postings.
 * Whole-token overlap is an equi-join on tokens.
 * Exact vector top-k scans base-vector partitions with a broadcast block of
   query vectors (its size is checked), keeps a top-k per partition, then
@@ -48,10 +50,15 @@ def gram_index(docs: DataFrame, id_col: str, text_col: str, sizes: Sequence[int]
 
 
 def substring_matches(needles: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      index: DataFrame | None = None) -> DataFrame:
+                      index: DataFrame | None = None, verify_buckets: int = 8) -> DataFrame:
     """``needle_id, doc_id`` for every needle (``needle_id, needle``) that occurs
     in a document's lower-cased text.  Needles are lower-cased; empty needles
-    are ignored."""
+    are ignored.
+
+    Needles of up to ``MAX_GRAM`` characters are their own gram, so the index
+    answers them exactly.  Longer needles are verified against the text; their
+    candidates are grouped per (document, needle bucket) so a document's text
+    travels at most ``verify_buckets`` times, not once per candidate."""
     nd = needles.select("needle_id", F.lower("needle").alias("needle")).where(F.length("needle") > 0)
     idx = index if index is not None else gram_index(docs, id_col, text_col)
     df_ = idx.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
@@ -66,8 +73,28 @@ def substring_matches(needles: DataFrame, docs: DataFrame, id_col: str = "doc_id
     rare = with_df.groupBy("needle_id", "needle").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"),
                                                        F.min("df").alias("df")).where(F.col("df") > 0)
     cand = rare.join(idx, "gram").select("needle_id", "needle", "doc_id")
+    short = cand.where(F.length("needle") <= MAX_GRAM).select("needle_id", "doc_id")
+    long_ = cand.where(F.length("needle") > MAX_GRAM)
+    grouped = long_.groupBy("doc_id", F.pmod(F.xxhash64("needle"), F.lit(verify_buckets)).alias("_b")).agg(
+        F.collect_list(F.struct("needle_id", "needle")).alias("_cands"))
     text = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("_t"))
-    return cand.join(text, "doc_id").where(F.instr("_t", F.col("needle")) > 0).select("needle_id", "doc_id")
+    verified = grouped.join(text, "doc_id").select(
+        "doc_id", F.explode(F.filter("_cands", lambda c: F.instr(F.col("_t"), c["needle"]) > 0)).alias("c"))
+    return short.unionByName(verified.select(F.col("c.needle_id").alias("needle_id"), "doc_id"))
+
+
+def word_matches(words: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``needle_id, doc_id`` for needles without whitespace that occur in the
+    lower-cased text.  Such a needle can only occur inside one
+    whitespace-delimited token, so it is matched against the distinct token
+    vocabulary (much smaller than the text) and mapped to documents through
+    (token, document) postings.  Exact, like ``substring_matches``."""
+    toks = docs.select(F.col(id_col).alias("doc_id"),
+                       F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), WS))).alias("tok")) \
+        .where(F.length("tok") > 0)
+    vocab = toks.select("tok").distinct()
+    in_vocab = substring_matches(words, vocab, "tok", "tok").withColumnRenamed("doc_id", "tok")
+    return in_vocab.join(toks, "tok").select("needle_id", "doc_id").distinct()
 
 
 def _top_per_query(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
@@ -108,7 +135,7 @@ def keyword_search(queries: DataFrame, kb: DataFrame, k: int | None = 3) -> Data
     kws = query_keywords(queries)
     distinct_kw = kws.select(F.lower("kw").alias("needle")).distinct().withColumn("needle_id", F.col("needle"))
     docs = knowledge_text(kb)
-    hits = substring_matches(distinct_kw, docs, "id", "search_text")
+    hits = word_matches(distinct_kw, docs, "id", "search_text")
     # each distinct keyword counts once (keywords differing only in case count separately)
     per = kws.select("query_id", "kw", F.lower("kw").alias("needle_id")).join(hits, "needle_id")
     scored = per.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
@@ -140,7 +167,7 @@ def substring_overlap(queries: DataFrame, kb: DataFrame, k: int | None = None) -
     qn = qt.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_query_tokens"))
     docs = kb.select("id", F.concat_ws(" ", "title", "content").alias("t"))
     needles = qt.select(F.col("w").alias("needle")).distinct().withColumn("needle_id", F.col("needle"))
-    hits = substring_matches(needles, docs, "id", "t")
+    hits = word_matches(needles, docs, "id", "t")
     per = qt.select("query_id", F.col("w").alias("needle_id")).join(hits, "needle_id")
     ov = per.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
     out = ov.join(qn, "query_id").select(
