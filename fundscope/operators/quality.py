@@ -99,11 +99,12 @@ def _group_counts(df: DataFrame, group_by: Sequence[str], name: str) -> DataFram
 
 def _count_join(df: DataFrame, other: DataFrame, group_by: Sequence[str]) -> DataFrame:
     g = _list(group_by) or ["_all"]
-    a = _group_counts(df, group_by, "count_a")
-    b = _group_counts(other, group_by, "count_b")
-    cond = reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in g])
+    # aliased so that comparing a table with itself is not an ambiguous self-join
+    a = _group_counts(df, group_by, "count_a").alias("_a")
+    b = _group_counts(other, group_by, "count_b").alias("_b")
+    cond = reduce(lambda x, y: x & y, [F.col(f"_a.`{k}`").eqNullSafe(F.col(f"_b.`{k}`")) for k in g])
     j = a.join(b, cond, "full")
-    keys = [F.coalesce(a[k], b[k]).alias(k) for k in g if k != "_all"]
+    keys = [F.coalesce(F.col(f"_a.`{k}`"), F.col(f"_b.`{k}`")).alias(k) for k in g if k != "_all"]
     return j.select(*keys, F.coalesce(F.col("count_a"), F.lit(0)).alias("count_a"),
                     F.coalesce(F.col("count_b"), F.lit(0)).alias("count_b"))
 

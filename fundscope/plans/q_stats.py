@@ -55,7 +55,7 @@ h AS (SELECT avg(CASE WHEN pos < n // 2 THEN x END) AS a1, avg(CASE WHEN pos >=
 SELECT round(a1, 2) AS first_half_avg, round(a2, 2) AS second_half_avg, round(a2 - a1, 2) AS change,
        round(CASE WHEN a1 <> 0 THEN (a2 - a1) / a1 * 100 ELSE 0.0 END, 2) AS change_percent,
        CASE WHEN a2 - a1 > 0 THEN 'up' WHEN a2 - a1 < 0 THEN 'down' ELSE 'flat' END AS trend
-FROM h WHERE a1 IS NOT NULL OR a2 IS NOT NULL""", "ANA-2")
+FROM h WHERE (SELECT count(*) FROM events) >= 3""", "ANA-2")
 def stats_trend_global(spark, d):
     e = Catalog(spark, d).events
     return ST.trend(e, "value", ["ts", "event_id"])
