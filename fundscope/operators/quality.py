@@ -260,11 +260,21 @@ def assert_equal(df: DataFrame, actual: str, expected: str) -> DataFrame:
 @dataclass
 class Check:
     name: str
-    failing: DataFrame           # offending rows from one of the checks above
+    failing: DataFrame | None    # offending rows from one of the checks above
     severity: str = "error"      # error | warn
     error_if: str = "!=0"        # comparison against the failure count
     warn_if: str = "!=0"
     weight_column: str | None = None  # sum this column instead of counting rows
+    source: DataFrame | None = None   # row-level form: table + failing-row predicate
+    predicate: Column | None = None
+
+
+def row_check(name: str, df: DataFrame, failing_predicate, **kw) -> Check:
+    """A row-level check (not_null, expression_is_true, accepted_range,
+    not_empty_string, ...) given as a failing-row predicate; ``run_suite``
+    evaluates all row checks over the same table in one aggregate pass.
+    A NULL predicate counts as passing, like the filters above."""
+    return Check(name, None, source=df, predicate=_expr(failing_predicate), **kw)
 
 
 def _cmp(col: Column, rule: str) -> Column:
@@ -278,14 +288,24 @@ def _cmp(col: Column, rule: str) -> Column:
 def run_suite(checks: Sequence[Check]) -> DataFrame:
     """One row per check: ``check, failures, status`` (pass / warn / error).
 
-    Every check contributes a one-row aggregate; the union runs as one job."""
+    Every check contributes a one-row aggregate; row checks over the same
+    table share one scan (one ``count_if`` each); the union runs as one job."""
     rows = []
+    fused: dict[int, list[Check]] = {}
     for c in checks:
+        if c.predicate is not None:
+            fused.setdefault(id(c.source), []).append(c)
+            continue
         measure = (F.coalesce(F.sum(c.weight_column), F.lit(0)) if c.weight_column
                    else F.count(F.lit(1))).cast("bigint")
         rows.append(c.failing.agg(measure.alias("failures")).select(
-            F.lit(c.name).alias("check"), "failures", F.lit(c.severity).alias("severity"),
-            F.lit(c.error_if).alias("_e"), F.lit(c.warn_if).alias("_w")))
+            F.lit(c.name).alias("check"), "failures"))
+    for group in fused.values():
+        wide = group[0].source.agg(*[F.count_if(F.coalesce(c.predicate, F.lit(False))).alias(f"_f{i}")
+                                     for i, c in enumerate(group)])
+        pairs = [F.struct(F.lit(c.name).alias("check"), F.col(f"_f{i}").cast("bigint").alias("failures"))
+                 for i, c in enumerate(group)]
+        rows.append(wide.select(F.explode(F.array(*pairs)).alias("r")).select("r.check", "r.failures"))
     out = reduce(lambda a, b: a.unionByName(b), rows)
     err = F.lit(False)
     warn = F.lit(False)

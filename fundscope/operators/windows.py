@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import pin
+
 
 def _order_cols(order_by: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order_by]
@@ -35,7 +37,8 @@ def neighbour(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str
     groups = list(partition_by)
     tie = [c for c in df.columns if c not in groups and c not in order_by]
     keys = groups + list(order_by) + tie
-    ranged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    # pinned: the window branch and the edge branch below must see one partition assignment
+    ranged = pin(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid").orderBy(*keys)
     fn = F.lag if direction == "lag" else F.lead
     carried = groups + [c for c in columns if c not in groups]

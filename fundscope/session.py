@@ -58,6 +58,17 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return path
 
 
+def pin(df):
+    """Reliable checkpoint into the shared checkpoint folder (eager).
+
+    Used where two branches of one plan must see the *same* values of a
+    physical property (e.g. ``spark_partition_id()`` after a range exchange):
+    re-running the exchange per branch could sample different range bounds.
+    Also cuts lineage, so a lost executor recomputes from the checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     root = ensure_checkpoint_dir(spark)

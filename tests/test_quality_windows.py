@@ -74,8 +74,10 @@ def test_suite(spark):
     res = {r["check"]: (r["failures"], r["status"]) for r in Q.run_suite([
         Q.Check("u", Q.unique(df, "id")), Q.Check("nn", Q.not_null(df, "id"), severity="warn"),
         Q.Check("ok", Q.accepted_range(df, "id", 0, 5)),
-        Q.Check("thr", Q.not_null(df, "id"), error_if=">5", warn_if=">0")]).collect()}
-    assert res == {"u": (1, "error"), "nn": (1, "warn"), "ok": (0, "pass"), "thr": (1, "warn")}
+        Q.Check("thr", Q.not_null(df, "id"), error_if=">5", warn_if=">0"),
+        Q.row_check("rc_null", df, F.col("id").isNull()), Q.row_check("rc_expr", df, "NOT (id < 1)")]).collect()}
+    assert res == {"u": (1, "error"), "nn": (1, "warn"), "ok": (0, "pass"), "thr": (1, "warn"),
+                   "rc_null": (1, "error"), "rc_expr": (2, "error")}
 
 
 def _skewed(spark, n_rows=4000):
@@ -119,3 +121,15 @@ def test_stats(spark):
                  "x", ["i"]).first()
     assert t["first_half_avg"] == 1.0 and t["second_half_avg"] == 3.0 and t["trend"] == "up"
     assert ST.trend(spark.createDataFrame([(1, 1.0), (2, 2.0)], "i int, x double"), "x", ["i"]).count() == 0
+
+
+def test_neighbour_large_partial_sampling(spark):
+    # large enough that range-partition bounds come from a partial sample
+    df = spark.range(200000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000003).alias("v"))
+    mine = neighbour(df, ["g"], ["v"], ["v"], direction="lead", num_partitions=32)
+    ref = df.withColumn("lead_v", F.lead("v").over(Window.partitionBy("g").orderBy("v")))
+    diff = mine.exceptAll(ref).count() + ref.exceptAll(mine).count()
+    assert diff == 0
+    r = ST.global_rank(df, ["g"], ["v"], num_partitions=32)
+    refr = df.withColumn("_pos", F.row_number().over(Window.partitionBy("g").orderBy("v")) - 1)
+    assert r.exceptAll(refr).count() == 0
