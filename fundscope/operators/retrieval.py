@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 # Words dropped from keyword queries.
 STOP_WORDS = ("查询", "查找", "分析", "审计", "检查")
 MAX_GRAM = 3
+SHORT_NEEDLE = 16
 # whitespace runs that separate words (ASCII whitespace, as str.split on ASCII text)
 WS = r"[ \t\n\x0B\f\r]+"
 
@@ -93,7 +94,20 @@ def word_matches(words: DataFrame, docs: DataFrame, id_col: str = "doc_id", text
                        F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), WS))).alias("tok")) \
         .where(F.length("tok") > 0)
     vocab = toks.select("tok").distinct()
-    in_vocab = substring_matches(words, vocab, "tok", "tok").withColumnRenamed("doc_id", "tok")
+    nd = words.select("needle_id", F.lower("needle").alias("needle")).where(F.length("needle") > 0)
+    short = nd.where(F.length("needle") <= SHORT_NEEDLE)
+    # short needles: every substring of a vocabulary token up to the longest short
+    # needle (<= SHORT_NEEDLE chars, so at most SHORT_NEEDLE x len(token) per token),
+    # equi-joined with the needles -- exact, no verification pass
+    m = short.agg(F.max(F.length("needle")).alias("_m"))
+    ln = F.length("tok")
+    subs = vocab.crossJoin(F.broadcast(m)).select("tok", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.least(ln, F.col("_m"))),
+        lambda k: F.transform(F.sequence(F.lit(1), ln - k + 1), lambda i: F.substring("tok", i, k)))))).alias("sub"))
+    in_vocab_short = subs.join(short, subs.sub == short.needle).select("needle_id", "tok")
+    long_ = nd.where(F.length("needle") > SHORT_NEEDLE)
+    in_vocab_long = substring_matches(long_, vocab, "tok", "tok").withColumnRenamed("doc_id", "tok")
+    in_vocab = in_vocab_short.unionByName(in_vocab_long)
     return in_vocab.join(toks, "tok").select("needle_id", "doc_id").distinct()
 
 
