@@ -87,11 +87,12 @@ SELECT * FROM (
 WHERE estimated_dti > {P['debt_to_income']['threshold']}""")
 
 S["duplicate_collateral"] = _sql("""
-SELECT address, loan_id, person_id, amount, loan_count, round(total_amount, 2) AS total_amount
+SELECT address, loan_id, person_id, amount, loan_count, round(total_amount, 2) AS total_amount, statuses
 FROM l JOIN pa USING (address)""",
                                  "l AS (SELECT * FROM loans WHERE status IN ('pending', 'disbursed') "
                                  "AND address IS NOT NULL)",
-                                 "pa AS (SELECT address, count(*) AS loan_count, sum(amount) AS total_amount "
+                                 "pa AS (SELECT address, count(*) AS loan_count, sum(amount) AS total_amount, "
+                                 "string_agg(DISTINCT status, ',' ORDER BY status) AS statuses "
                                  "FROM l GROUP BY address HAVING count(*) > 1)")
 
 p = P["high_base_before_application"]
@@ -296,7 +297,7 @@ def q_debt_to_income(spark, d):
     return R.debt_to_income(_t(spark, d), **P["debt_to_income"])
 
 
-@register("duplicate_collateral", S["duplicate_collateral"], "AU-6")
+@register("duplicate_collateral", S["duplicate_collateral"], "AU-6/AG-5")
 def q_duplicate_collateral(spark, d):
     return R.duplicate_collateral(_t(spark, d))
 

@@ -167,11 +167,14 @@ def duplicate_collateral(t: AuditTables, statuses: Sequence[str] = ACTIVE_LOAN_S
     an unbounded list into one value.  NULL addresses are not grouped."""
     l = _subject(t.loans.where(F.col("status").isin(*statuses) & F.col("address").isNotNull()),
                  "person_id", subject)
+    # the concatenated list is of DISTINCT statuses: bounded by the status domain
+    statuses = F.expr("listagg(DISTINCT status, ',') WITHIN GROUP (ORDER BY status)")
     per_addr = (l.groupBy("address").agg(F.count(F.lit(1)).alias("loan_count"),
-                                         F.sum("amount").alias("total_amount"))
+                                         F.sum("amount").alias("total_amount"), statuses.alias("statuses"))
                   .where(F.col("loan_count") > 1))
     return l.join(per_addr, "address").select(
-        "address", "loan_id", "person_id", "amount", "loan_count", F.round("total_amount", 2).alias("total_amount"))
+        "address", "loan_id", "person_id", "amount", "loan_count", F.round("total_amount", 2).alias("total_amount"),
+        "statuses")
 
 
 def high_base_before_application(t: AuditTables, as_of, months: int = 6, min_base: float = 15000.0,

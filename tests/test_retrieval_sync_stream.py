@@ -153,3 +153,24 @@ def test_plans_have_no_cartesian_or_python(spark, small_dir):
     # column pruning: the gold model reads only the columns it uses from lineitem
     gold_plan = M.build_gold(cat)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in gold_plan
+
+
+def test_copy_profile_union_pattern_save(spark, small_dir, tmp_path):
+    cat = Catalog(spark, small_dir)
+    bad = spark.createDataFrame([("1",), ("x",)], "v string")
+    rep = {r["table_name"]: (r["mode"], r["row_count"]) for r in SY.copy_tables(
+        spark, {"nation": cat.nation, "empty": cat.nation.limit(0), "bad": bad}, str(tmp_path / "copy"),
+        dictionaries={"bad": {"v": ("NUMBER", 9, 0)}}).collect()}
+    assert rep["nation"] == ("typed", 25) and rep["empty"] == ("skipped", 0) and rep["bad"] == ("string", 2)
+    chk = SY.reconcile(SY.table_counts({"nation": cat.nation}),
+                       SY.table_counts({"nation": spark.read.parquet(str(tmp_path / "copy" / "nation"))}))
+    assert chk.first()["status"] == "success"
+    prof = SY.table_profile(cat.orders, "orders").first()
+    assert prof["row_count"] > 0 and prof["size_bytes"] > 0 and prof["n_files"] == 1 and prof["n_columns"] == 6
+    from fundscope.operators import tables as TB
+    for i in range(3):
+        spark.createDataFrame([(i, f"e{i}")], "user_id int, event string").createOrReplaceTempView(f"events_day_{i}")
+    u = TB.union_matching(spark, "events_day_%", exclude="events_day_2")
+    assert sorted(r["_dbt_source_relation"] for r in u.collect()) == ["events_day_0", "events_day_1"]
+    gold = M.materialise(M.build_gold(cat), str(tmp_path / "gold"))
+    assert gold.count() == M.build_gold(cat).count()
