@@ -56,3 +56,21 @@ def test_dedupe_stream(spark, tmp_path):
         .option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert spark.table("dd").count() == 2
+
+
+def test_save_run_and_state(spark, small_dir, tmp_path):
+    from fundscope.sources import sync as SY
+    enc = ML.encode(M.build_gold(Catalog(spark, small_dir)))
+    train, _ = ML.split(enc, "contract_id")
+    m = ML.fit_models(train, models=("logistic_regression",), folds=2)["logistic_regression"]
+    path = ML.save_run(spark, m, "logistic_regression", {"f1": "0.5"}, str(tmp_path))
+    from pyspark.ml import PipelineModel
+    assert PipelineModel.load(path) is not None
+    runs = spark.read.parquet(str(tmp_path / "runs")).collect()
+    assert runs[0]["m"]["model_type"] == "logistic_regression" and runs[0]["m"]["f1"] == "0.5"
+    state = spark.createDataFrame([("a", "ts", "1"), ("b", "ts", "5")], "table_name string, column_name string, "
+                                                                          "last_value string")
+    cur = spark.createDataFrame([("a", "ts", "3"), ("c", "id", "9"), ("b", "ts", None)],
+                                "table_name string, column_name string, last_value string")
+    got = {r["table_name"]: r["last_value"] for r in SY.advance_state(state, cur).collect()}
+    assert got == {"a": "3", "b": "5", "c": "9"}
