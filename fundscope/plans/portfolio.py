@@ -1,0 +1,90 @@
+"""Synthetic loan portfolio (customers, contracts, repayments) for load tests of
+the medallion and ML jobs.  Everything is generated on executors from
+``spark.range`` with seeded hash uniforms, so the output is deterministic for a
+seed and its size is set by ``n_customers`` alone.  Not used by the registered
+queries, which read the given tables."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Category lists, weights and risk rules of the portfolio model.
+GENDERS = (("1", 0.6), ("2", 0.4))
+OCCUPATIONS = (("civil_servant", 0.15), ("teacher", 0.10), ("doctor", 0.08), ("engineer", 0.20),
+               ("business_owner", 0.12), ("freelancer", 0.15), ("worker", 0.20))
+CITY_TIERS = ((1, 0.3), (2, 0.4), (3, 0.3))
+LOAN_PERIODS = (12, 24, 36, 60, 120, 240, 360)
+STATUSES = (("01", 0.90), ("02", 0.05), ("03", 0.05))
+STABLE_JOBS = ("civil_servant", "teacher", "doctor", "engineer")
+RISKY_JOBS = ("freelancer", "business_owner")
+
+
+def _u(seed: int, *cols) -> Column:
+    """Uniform [0, 1) from a seeded 64-bit hash of the given columns."""
+    h = F.xxhash64(*cols, F.lit(seed))
+    return F.pmod(h, F.lit(1 << 31)).cast("double") / float(1 << 31)
+
+
+def _choice(u: Column, options) -> Column:
+    expr, acc = None, 0.0
+    for value, p in options:
+        acc += p
+        cond = u < acc
+        expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
+    return expr.otherwise(F.lit(options[-1][0]))
+
+
+def _normal(u1: Column, u2: Column) -> Column:
+    """Standard normal by Box-Muller."""
+    return F.sqrt(-2.0 * F.log(F.greatest(u1, F.lit(1e-12)))) * F.cos(2 * math.pi * u2)
+
+
+def generate(spark: SparkSession, n_customers: int, as_of: str = "2024-12-31", seed: int = 42,
+             loan_share: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(customers, contracts, repayments) in the raw medallion layout."""
+    ids = spark.range(1, n_customers + 1).withColumnRenamed("id", "n")
+    u = lambda k: _u(seed + k, F.col("n"))
+    customers = ids.select(
+        "n", F.concat(F.lit("C"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("cust_id"),
+        F.concat(F.lit("Customer "), F.col("n").cast("string")).alias("name"),
+        (F.lit(22) + F.floor(u(1) * 38)).cast("int").alias("age"),
+        _choice(u(2), GENDERS).alias("gender"), _choice(u(3), OCCUPATIONS).alias("occupation"),
+        _choice(u(4), CITY_TIERS).cast("int").alias("city_tier"),
+        F.least(F.lit(850), F.greatest(F.lit(300), F.round(650 + 80 * _normal(u(5), u(6))))).cast("int")
+        .alias("credit_score"),
+        F.round(F.exp(9.2 + 0.6 * _normal(u(7), u(8))), 2).alias("income"))
+    # about loan_share of the customers hold one contract each
+    contracts = customers.where(u(9) < loan_share).select(
+        "n", F.concat(F.lit("HT"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("contract_no"), "cust_id",
+        ((F.lit(10) + F.floor(u(10) * 90)) * 10000.0).alias("loan_amt"),
+        F.element_at(F.array(*[F.lit(p) for p in LOAN_PERIODS]),
+                     (F.floor(u(11) * len(LOAN_PERIODS)) + 1).cast("int")).alias("loan_period"),
+        F.date_sub(F.lit(as_of).cast("date"), F.floor(u(12) * 730).cast("int")).alias("loan_date"),
+        _choice(u(13), STATUSES).alias("status"),
+        "income", "credit_score", "occupation", "city_tier", "age")
+    dti = F.col("loan_amt") / (F.col("income") + 1)
+    risk = (F.when(dti > 5, 0.35).when(dti > 3, 0.15).otherwise(0.0)
+            + F.when(F.col("credit_score") < 550, 0.30).when(F.col("credit_score") < 650, 0.15)
+            .when(F.col("credit_score") > 750, -0.10).otherwise(0.0)
+            + F.when(F.col("income") < 5000, 0.20).when(F.col("income") < 8000, 0.08).otherwise(0.0)
+            + F.when(F.col("occupation").isin(*STABLE_JOBS), -0.12)
+            .when(F.col("occupation").isin(*RISKY_JOBS), 0.18).otherwise(0.0)
+            + F.when(F.col("city_tier") == 3, 0.08).otherwise(0.0)
+            + F.when((F.col("age") < 25) | (F.col("age") > 55), 0.10).otherwise(0.0))
+    risky = u(14) < F.least(F.greatest(F.lit(0.03) + risk, F.lit(0.0)), F.lit(0.85))
+    periods = contracts.select("contract_no", "loan_date", risky.alias("risky"), F.explode(
+        F.sequence(F.lit(1), F.least(F.col("loan_period"), F.lit(24)))).alias("period"))
+    due = F.date_add(F.col("loan_date"), F.col("period") * 30)
+    up = lambda k: _u(seed + k, F.col("contract_no"), F.col("period"))
+    late = F.col("risky") & (up(15) < 0.4)
+    repayments = periods.where(due <= F.lit(as_of).cast("date")).select(
+        "contract_no", F.col("period").cast("int").alias("period"), due.alias("due_date"),
+        F.when(~late, due).when(up(16) < 0.1, F.lit(None).cast("date"))
+        .otherwise(F.date_add(due, (F.lit(1) + F.floor(up(17) * 89)).cast("int"))).alias("actual_date"),
+        F.when(late, F.lit("2")).otherwise(F.lit("1")).alias("status"))
+    return (customers.drop("n"),
+            contracts.select("contract_no", "cust_id", "loan_amt", "loan_period", "loan_date", "status"),
+            repayments)
