@@ -287,13 +287,14 @@ def save_run(spark: SparkSession, model, model_type: str, metrics: dict, root: s
 
 
 # ---------------------------------------------------------------- ML-11/12 per risk type
-def risk_type_labels(features: DataFrame, events: DataFrame, id_col: str = "person_id") -> DataFrame:
-    """One 0/1 label column per risk type present in ``events`` (subject has an
-    event of that type).  The type list is the distinct values of a small
-    categorical column; labels come from a join on distinct (subject, type)."""
+def risk_type_labels(features: DataFrame, events: DataFrame, risk_types: Sequence[str],
+                     id_col: str = "person_id") -> DataFrame:
+    """One 0/1 label column per listed risk type (subject has an event of that
+    type), from a join on distinct (subject, type).  The types are passed in, so
+    the pivot needs no value-discovery job."""
     pairs = events.select(F.col("subject_id").alias(id_col), "risk_type").distinct()
-    wide = pairs.groupBy(id_col).pivot("risk_type").agg(F.lit(1))
-    return features.join(wide, id_col, "left").fillna(0)
+    wide = pairs.groupBy(id_col).pivot("risk_type", list(risk_types)).agg(F.lit(1))
+    return features.join(wide, id_col, "left").fillna(0, subset=list(risk_types))
 
 
 def fit_per_risk_type(labelled: DataFrame, risk_types: Sequence[str], features: Sequence[str], min_pos: int = 5,

@@ -314,7 +314,7 @@ def ml_risk_type_scores(spark, d):
                                             F.avg("trans_amount").alias("avg_amount"),
                                             F.max("trans_amount").alias("max_amount"))
     feats = per.join(t.persons.select("person_id", "balance", "deposit_base"), "person_id", "left").fillna(0.0)
-    labelled = ML.risk_type_labels(feats, events)
+    labelled = ML.risk_type_labels(feats, events, ["night_ops", "weekend_ops"])
     cols = ["n_ops", "avg_amount", "max_amount", "balance", "deposit_base"]
     models = ML.fit_per_risk_type(labelled, ["night_ops", "weekend_ops"], cols)
     return ML.score_risk_types(models, feats, "person_id")

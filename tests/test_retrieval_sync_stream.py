@@ -1,11 +1,8 @@
 """Retrieval against brute force, sync helpers, streaming against batch, and
 plan-shape assertions."""
-import os
 import shutil
-import tempfile
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
