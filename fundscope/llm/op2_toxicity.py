@@ -12,7 +12,7 @@ Searching walks the lexicon trie and the Levenshtein automaton of distance
 first needs it, so a token usually dies after two or three characters.
 
 Every hit is judged in its context window: inside quotation marks, or after a word of
-reporting, it counts ``QUOTED`` times its weight, so texts that quote abuse score below
+reporting, it counts ``QUOTED`` times its weight (a misspelled one ``MISSPELLED`` times), so texts that quote abuse score below
 texts that commit it.
 
 The model is a classifier fitted on a bounded sample: about ``FIT_ROWS`` labelled rows
@@ -47,10 +47,15 @@ CANDIDATES = 5_000
 STEMS = range(3, 9)
 #: A term must reach this log-likelihood statistic and be so many times as frequent in toxic texts.
 MIN_EVIDENCE, MIN_RATIO = 30.0, 4.0
+#: Rounds of choosing terms, and the factor of the best evidence that a round goes down to.
+ROUNDS, WITHIN = 4, 5.0
 EDITS = 1
 #: Shorter words are only found as they are written.
 FUZZY_LENGTH = 5
-QUOTED = 0.3
+#: What a misspelled term, and a quoted one, count of their weight.
+MISSPELLED, QUOTED = 0.5, 0.3
+#: All hits' weight, the same per 100 tokens, in the densest window, and of the strongest hit.
+FEATURES = 4
 #: Characters on either side of a hit that are searched for quotation marks or words of reporting.
 CONTEXT = 60
 #: Tokens of the window whose hits are summed for the densest passage.
@@ -170,20 +175,19 @@ class Finder:
     def features(self, text: str | None) -> list[float]:
         tokens = self.tokens(text)
         if not tokens or self.hits.keys().isdisjoint(tokens):
-            return [0.0] * 6
+            return [0.0] * FEATURES
         low = text.lower()
-        at, weight, exact = [], [], []
+        at, weight = [], []
         for i, m in enumerate(_TOKEN.finditer(low)):
             found = self.hits.get(m.group())
             if found:
                 at.append(i)
-                weight.append(self.model.terms[found[0]] * (QUOTED if quoted(low, m.start(), m.end()) else 1.0))
-                exact.append(found[1] == 0)
-        w, e = np.array(weight), np.array(exact)
+                weight.append(self.model.terms[found[0]] * (MISSPELLED if found[1] else 1.0)
+                              * (QUOTED if quoted(low, m.start(), m.end()) else 1.0))
+        w = np.array(weight)
         total = np.concatenate([[0.0], np.cumsum(w)])
         densest = (total[np.searchsorted(at, np.array(at) + WINDOW)] - total[:-1]).max()
-        return [math.log1p(w[e].sum()), math.log1p(100 * w[e].sum() / len(tokens)), math.log1p(w[~e].sum()),
-                math.log1p(100 * w[~e].sum() / len(tokens)), math.log1p(densest), float(w.max())]
+        return [math.log1p(w.sum()), math.log1p(100 * w.sum() / len(tokens)), math.log1p(densest), float(w.max())]
 
 
 def quoted(text: str, start: int, end: int) -> bool:
@@ -234,16 +238,41 @@ def _choose(rows, toxic: int, clean: int) -> dict[str, float]:
     return chosen
 
 
+def _unexplained(model: Model):
+    """Texts without a hit of the model's lexicon."""
+    def run(batches):
+        finder = Finder(model)
+        for batch in batches:
+            none = [finder.hits.keys().isdisjoint(finder.tokens(t)) for t in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array(none, pa.bool_()))
+    return run
+
+
 def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    counts = (sample.select("text", "toxic").mapInArrow(_term_counts, "term string, texts double, toxic_use double, clean_use double")
-              .groupBy("term").agg(*[F.sum(c).alias(c) for c in ("texts", "toxic_use", "clean_use")]))
-    a, b = F.col("toxic_use"), F.col("clean_use")
-    share = toxic / (toxic + clean)
-    evidence = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
-    ratio = (a / toxic) / ((b + 0.5) / clean)
-    kept = (counts.filter((F.col("texts") >= 3) & (ratio >= MIN_RATIO)).withColumn("evidence", evidence)
-            .filter(F.col("evidence") >= MIN_EVIDENCE).orderBy(F.desc("evidence"), "term").limit(CANDIDATES))
-    return _choose(kept.collect(), toxic, clean)
+    """Choose terms in rounds: each looks at the texts that no term chosen before is in.
+
+    A round takes the terms within a factor of the best one's evidence, so words that merely stand in
+    the same texts as strong terms, as in copies of one toxic text, are not taken.
+    """
+    model = Model()
+    for _ in range(ROUNDS):
+        rest = sample.select("text", "toxic")
+        if model.terms:
+            rest = rest.mapInArrow(_unexplained(model), rest.schema)
+        counts = (rest.mapInArrow(_term_counts, "term string, texts double, toxic_use double, clean_use double")
+                  .groupBy("term").agg(*[F.sum(c).alias(c) for c in ("texts", "toxic_use", "clean_use")]))
+        a, b = F.col("toxic_use"), F.col("clean_use")
+        share = toxic / (toxic + clean)
+        evidence = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
+        ratio = (a / toxic) / ((b + 0.5) / clean)
+        kept = (counts.filter((F.col("texts") >= 3) & (ratio >= MIN_RATIO)).withColumn("evidence", evidence)
+                .filter(F.col("evidence") >= MIN_EVIDENCE).orderBy(F.desc("evidence"), "term").limit(CANDIDATES)).collect()
+        if not kept:
+            break
+        best = max(r["evidence"] for r in kept)
+        found = _choose([r for r in kept if r["evidence"] >= best / WITHIN], toxic, clean)
+        model = Model(terms={**found, **model.terms})
+    return model.terms
 
 
 def _near_misses(model: Model):
@@ -315,7 +344,7 @@ def _score(model: Model, names: list[str], name: str):
     def run(batches):
         finder = Finder(model)
         for batch in batches:
-            x = np.array([finder.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, 6)
+            x = np.array([finder.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.score(x))], names=[*names, name])
     return run
 
