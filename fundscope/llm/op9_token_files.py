@@ -19,6 +19,9 @@ Extra columns of the input are not written.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,8 +37,8 @@ from .common import shared_dir, table
 NAME = "op9_orc_tokens"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Encoded chunks that a task remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Encoded chunks that a worker remembers before it starts afresh.
+REMEMBERED = 600_000
 ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 SCHEMA = "doc_id long, file int, before long, n_tokens int, ids array<int>"
@@ -46,38 +49,85 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Chunks whose normal form and pieces are plain to see: ASCII and Latin-1 letters, digits, marks but ' and <.
+_SIMPLE = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-;=-@\[-`{-~]+")
+_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class ChunkEncoder:
-    """Ids of a text as little-endian unsigned 32-bit integers."""
+    """Ids of a text as little-endian unsigned 32-bit integers.
+
+    Simple chunks are cut into letters, digits and marks as the tokenizer cuts them, and the tokenizer's
+    model encodes each piece once; all other chunks go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
-        self.tokenizer, self.known, self.remembered = Tokenizer.from_file(path), {}, remembered
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters, self.remembered = self.tokenizer.model, _byte_letters(), remembered
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.by_piece = _cuts_like_pieces(self.tokenizer)
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        if self.by_piece and _SIMPLE.fullmatch(text):
+            return b"".join(map(self._piece, _PIECES.findall(text.lower())))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """The texts' chunks; all of them are known afterwards."""
-        chunks = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.remembered:
             self.known = {}
-        new = list(set().union(*chunks).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part],
-                                                                       add_special_tokens=False)):
-                self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-        return chunks
+        if len(self.pieces) > self.remembered:
+            self.pieces = {}
+        chunks = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        for c in set().union(*chunks).difference(self.known):
+            self.known[c] = self._chunk(c)
+        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(map(self.known.__getitem__, c)) for c in self.learn(texts)]
+
+def _cuts_like_pieces(tokenizer) -> bool:
+    """Whether the tokenizer encodes simple chunks piece by piece, seen on one that has every kind."""
+    probe = "Ab9é##Çx12!?zÀ"
+    e = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(probe)) if tokenizer.pre_tokenizer and tokenizer.normalizer else []
+    letters = _byte_letters()
+    return [x for x, _ in e] == [p.encode().decode("latin-1").translate(letters) for p in _PIECES.findall(probe.lower())]
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this Python worker; it outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, number = ChunkEncoder(path), 0, TaskContext.get().partitionId()
+        coder, before, number = encoder(path), 0, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                each = [b + end for b in encoder.encode(part.column(1).to_pylist())]
+                each = [b + end for b in coder.encode(part.column(1).to_pylist())]
                 n = np.array([len(b) // 4 for b in each], np.int64)
                 stops = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)),
