@@ -8,9 +8,9 @@ parallel by stripe; a filter on ``doc_id`` skips files, stripes and row groups b
 metadata.  Rows carry their file's number and the ids before them in the file, so a
 document's global start is one sum over the files' totals.
 
-Encoding is per chunk between ASCII white space with a bounded memory of encoded
-chunks: the tokenizer drops white space and no token spans it, so a text's ids are
-its chunks' ids joined (tests compare with whole-text encoding).
+Encoding is per piece with a bounded memory of encoded pieces: the tokenizer drops white space,
+cuts text into letters, digits and marks and encodes each by itself, so a text's ids are its
+pieces' ids joined (tests compare with whole-text encoding).
 
 Nulls: a null text is empty and gets the end id only; null ids sort first.  Repeated
 ids keep all their rows, ordered by text.  Empty input writes no rows and reads as none.
@@ -37,8 +37,8 @@ from .common import shared_dir, table
 NAME = "op9_orc_tokens"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Encoded chunks that a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+#: Encoded pieces that a worker remembers before it starts afresh.
+REMEMBERED = 800_000
 ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 SCHEMA = "doc_id long, file int, before long, n_tokens int, ids array<int>"
@@ -56,50 +56,54 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: Chunks whose normal form and pieces are plain to see: ASCII and Latin-1 letters, digits, marks but ' and <.
-_SIMPLE = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-;=-@\[-`{-~]+")
-_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Text whose normal form and pieces are plain to see: ASCII and Latin-1 letters, digits, white space, marks but ' and <.
+_SIMPLE = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-;=-@\[-`{-~ \t\n\r\f\v]*")
+_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
+
+class _Pieces(dict):
+    """Ids of pieces as bytes; a piece not met before is encoded by the tokenizer's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
 
 class ChunkEncoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
-    Simple chunks are cut into letters, digits and marks as the tokenizer cuts them, and the tokenizer's
-    model encodes each piece once; all other chunks go through the whole tokenizer.
+    Simple text is cut into letters, digits and marks as the tokenizer cuts it, and the tokenizer's
+    model encodes each piece once.  Of other text, the chunks between white space that are simple are
+    encoded so, and the rest by the whole tokenizer.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters, self.remembered = self.tokenizer.model, _byte_letters(), remembered
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces, self.remembered = _Pieces(self.tokenizer.model), remembered
         self.by_piece = _cuts_like_pieces(self.tokenizer)
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            found = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
-
-    def _chunk(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
+    def _chunk(self, text: str) -> bytes:
         if self.by_piece and _SIMPLE.fullmatch(text):
-            return b"".join(map(self._piece, _PIECES.findall(text.lower())))
+            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.remembered:
-            self.known = {}
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
         if len(self.pieces) > self.remembered:
-            self.pieces = {}
-        chunks = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        for c in set().union(*chunks).difference(self.known):
-            self.known[c] = self._chunk(c)
-        return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
+            self.pieces.clear()
+        if self.by_piece and _SIMPLE.fullmatch(text):
+            return self._chunk(text)
+        chunks = text.encode("utf-8", "replace").split()
+        return b"".join([self._chunk(c.decode("utf-8", "replace")) for c in chunks])
 
 
 def _cuts_like_pieces(tokenizer) -> bool:
@@ -127,7 +131,7 @@ def _encode(path: str, end_id: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                each = [b + end for b in coder.encode(part.column(1).to_pylist())]
+                each = [coder.encode(t) + end for t in part.column(1).to_pylist()]
                 n = np.array([len(b) // 4 for b in each], np.int64)
                 stops = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)),
