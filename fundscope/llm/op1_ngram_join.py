@@ -3,14 +3,15 @@
 Documents are sets of word n-grams; two link when ``100 * |A & B| >= percent * |A | B|``.
 
 * Equal sets are one set with a weight, found by an aggregate.
-* Sets are partitioned into groups of similar sets: same size class and same two least hashes under
-  two hash orders.  Large groups are cut into blocks of a bounded number of tokens.
 * The matrix says which groups hold which tokens.  Its rows are not single tokens but parts of
   sets: a size class with at most ``H`` differing tokens between linked sets cuts the tokens into
   ``H + 2`` parts by hash, so two linked sets agree on at least two whole parts, and on a part that is not
   empty unless two parts of both are.  A common passage or line fills no part alone and draws no
   candidates.  Sets are entered under their own class's parts and looked up under their own and the
   next lower class's, which is where every linked set of smaller or equal size is.
+* Sets that share a part with another are partitioned into groups of similar sets: a set's group is the
+  part of it that most sets have, so near copies of one text fall into a few groups however many they
+  are.  Large groups are cut into blocks of a bounded number of tokens.
 * A query set and a group with a common part meet in a cell.  The cell holds the token union of
   the group's block; the number of the query's tokens in that union bounds its overlap with every
   member.  Only groups whose bound reaches ``percent`` of the query's size are opened, and then all
@@ -104,21 +105,13 @@ def part_marks(tokens: np.ndarray, kind: int, differ: int) -> np.ndarray:
     return marks if empty.sum() >= 2 else marks[~empty]
 
 
-def _describe(words: int, percent: int):
+def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = SizeClasses(percent)
         for batch in batches:
-            n, sets, group = [], [], []
-            for text in batch.column(1).to_pylist():
-                t = shingles(text, words)
-                n.append(len(t))
-                sets.append(set_hash(t) if len(t) else None)
-                # least hash of two orders, and the size class
-                least = [int(t[0]), int(_mix(t ^ _M1).min()), classes.of(len(t))] if len(t) else None
-                group.append(int(_mix(np.array([least[0] ^ (least[1] >> 1) ^ (least[2] << 40)], np.uint64)).view(np.int64)[0])
-                             if least else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.int64()),
-                                              pa.array(group, pa.int64())], names=["doc_id", "n", "set", "g"])
+            each = [shingles(text, words) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(t) for t in each], pa.int64()),
+                 pa.array([set_hash(t) if len(t) else None for t in each], pa.int64())], names=["doc_id", "n", "set"])
     return run
 
 
@@ -163,12 +156,10 @@ def open_cell(members: list[tuple], queries: list[tuple], percent: int) -> list[
     union, owner = union[order], owner[order]
     sizes = np.array([len(m[2]) for m in members])
     names, weights = np.array([m[0] for m in members], np.int64), np.array([m[1] for m in members], np.int64)
-    links, forest, parent = {}, [], {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    place = {m[0]: i for i, m in enumerate(members)}
+    for q in queries:
+        place.setdefault(q[0], len(place))
+    links, label, forest = np.zeros(len(place), np.int64), np.arange(len(place)), []
 
     for name, weight, tokens in queries:
         first, last = np.searchsorted(union, tokens, "left"), np.searchsorted(union, tokens, "right")
@@ -181,15 +172,15 @@ def open_cell(members: list[tuple], queries: list[tuple], percent: int) -> list[
         linked = np.flatnonzero((100 * common >= percent * (sizes + n - common)) & ((sizes < n) | (sizes == n) & (names < name)))
         if not len(linked):
             continue
-        links[name] = links.get(name, 0) + int(weights[linked].sum())
-        for i in linked:
-            other = int(names[i])
-            links[other] = links.get(other, 0) + weight
-            a, b = root(name), root(other)
-            if a != b:
-                parent[a] = b
-                forest.append((name, other, 0))
-    return [(s, None, k) for s, k in links.items()] + forest
+        me = place[name]
+        links[me] += weights[linked].sum()
+        links[linked] += weight
+        trees, one = np.unique(label[linked], return_index=True)
+        new = trees != label[me]  # trees that the query now joins with its own
+        forest += [(name, int(x), 0) for x in names[linked[one[new]]]]
+        if new.any():
+            label[np.isin(label, trees[new])] = label[me]
+    return [(s, None, int(links[i])) for s, i in place.items() if links[i]] + forest
 
 
 def _cells(percent: int):
@@ -216,16 +207,18 @@ def _cells(percent: int):
 def jaccard_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their set, sets with weights, (a, b, links) rows of the opened cells)."""
     described = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _describe(words, percent), "doc_id long, n long, set long, g long"), "join-sets")
+        _describe(words), "doc_id long, n long, set long"), "join-sets")
     sets = stored(described.filter(F.col("set").isNotNull()).groupBy("set").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("g").alias("g")), "join-reps")
+        F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n")), "join-reps")
 
     marks = docs.select("text").mapInArrow(_marks(words, percent), "mark long, set long")
     every = Window.partitionBy("mark")
-    shared = marks.withColumn("_a", F.min("set").over(every)).withColumn("_b", F.max("set").over(every)).filter("_a <> _b")
-    shared = stored(shared.select("mark", "set").distinct(), "join-marks")
+    shared = (marks.withColumn("_a", F.min("set").over(every)).withColumn("_b", F.max("set").over(every))
+              .withColumn("times", F.count("*").over(every)).filter("_a <> _b"))
+    shared = stored(shared.select("mark", "set", "times").distinct(), "join-marks")
 
-    involved = stored(sets.join(shared.select("set").distinct(), "set"), "join-involved")
+    groups = shared.groupBy("set").agg(F.max(F.struct("times", "mark")).alias("most")).select("set", F.col("most.mark").alias("g"))
+    involved = stored(sets.join(groups, "set"), "join-involved")
     known = shared.join(involved.select("set", "n", "g"), "set")
     matrix = (known.groupBy("mark", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("set").alias("_a"), F.max("set").alias("_b"))
               .withColumnRenamed("g", "group"))
