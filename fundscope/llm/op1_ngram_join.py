@@ -10,8 +10,8 @@ Documents are sets of word n-grams; two link when ``100 * |A & B| >= percent * |
   candidates.  Sets are entered under their own class's parts and looked up under their own and the
   next lower class's, which is where every linked set of smaller or equal size is.
 * Sets that share a part with another are partitioned into groups of similar sets: a set's group is the
-  part of it that most sets have, so near copies of one text fall into a few groups however many they
-  are.  Large groups are cut into blocks of a bounded number of tokens.
+  most common part of the sets that it shares a part with, so near copies of one text fall into a few groups
+  however many they are.  Large groups are cut into blocks of a bounded number of tokens.
 * A query set and a group with a common part meet in a cell.  The cell holds the token union of
   the group's block; the number of the query's tokens in that union bounds its overlap with every
   member.  Only groups whose bound reaches ``percent`` of the query's size are opened, and then all
@@ -217,7 +217,10 @@ def jaccard_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
               .withColumn("times", F.count("*").over(every)).filter("_a <> _b"))
     shared = stored(shared.select("mark", "set", "times").distinct(), "join-marks")
 
-    groups = shared.groupBy("set").agg(F.max(F.struct("times", "mark")).alias("most")).select("set", F.col("most.mark").alias("g"))
+    # the most common part of a set, then of the sets that it shares a part with
+    own = shared.groupBy("set").agg(F.max(F.struct("times", F.col("mark").alias("part"))).alias("top"))
+    near = shared.join(own, "set").groupBy("mark").agg(F.max("top").alias("top"))
+    groups = shared.select("mark", "set").join(near, "mark").groupBy("set").agg(F.max("top").alias("top")).select("set", F.col("top.part").alias("g"))
     involved = stored(sets.join(groups, "set"), "join-involved")
     known = shared.join(involved.select("set", "n", "g"), "set")
     matrix = (known.groupBy("mark", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("set").alias("_a"), F.max("set").alias("_b"))
