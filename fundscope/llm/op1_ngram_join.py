@@ -5,14 +5,14 @@ Documents are sets of word n-grams; two link when ``100 * |A & B| >= percent * |
 * Equal sets are one set with a weight, found by an aggregate.
 * The matrix says which groups hold which tokens.  Its rows are not single tokens but parts of
   sets: a size class with at most ``H`` differing tokens between linked sets cuts the tokens into
-  ``H + 2`` parts by hash, so two linked sets agree on at least two whole parts, and on a part that is not
-  empty unless two parts of both are.  A common passage or line fills no part alone and draws no
-  candidates.  Sets are entered under their own class's parts and looked up under their own and the
+  ``P > H`` parts by hash, so two linked sets agree on at least ``P - H`` whole parts, of which no more are empty
+  than either set has.  That many common parts are asked for; a common passage or line fills few parts
+  alone and draws no candidates.  (Sets with as many empty parts also enter those.)  Sets are entered under their own class's parts and looked up under their own and the
   next lower class's, which is where every linked set of smaller or equal size is.
 * Sets that share a part with another are partitioned into groups of similar sets: a set's group is the
   most common part of the sets that it shares a part with, so near copies of one text fall into a few groups
   however many they are.  Large groups are cut into blocks of a bounded number of tokens.
-* A query set and a group with a common part meet in a cell.  The cell holds the token union of
+* A query set and a group with enough common parts meet in a cell.  The cell holds the token union of
   the group's block; the number of the query's tokens in that union bounds its overlap with every
   member.  Only groups whose bound reaches ``percent`` of the query's size are opened, and then all
   members are compared exactly, by counting over the union's postings.
@@ -93,25 +93,49 @@ class SizeClasses:
         return int(np.searchsorted(self.tops, size))
 
 
+def part_count(differ: int) -> int:
+    return differ + 2 + differ // 5
+
+
+def cut(tokens: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each token, and the tokens of each part."""
+    parts = part_count(differ)
+    part = ((tokens >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+    return part, np.bincount(part, minlength=parts)
+
+
+def common_parts(tokens: np.ndarray, differ: int) -> int:
+    """How many parts, none of them empty, a linked set has in common with this one; below 1: unknown."""
+    return part_count(differ) - differ - int((cut(tokens, differ)[1] == 0).sum())
+
+
 def part_marks(tokens: np.ndarray, kind: int, differ: int) -> np.ndarray:
-    """One hash per part of the set under a class's partition of the tokens."""
-    parts = differ + 2
-    part = (tokens >> np.uint64(7)) % np.uint64(parts)
-    total, count = np.zeros(parts, np.uint64), np.bincount(part.astype(np.int64), minlength=parts)
+    """One hash per part of the set under a class's partition of the tokens; the last bit tells odd classes."""
+    part, count = cut(tokens, differ)
+    total = np.zeros(len(count), np.uint64)
     np.add.at(total, part, _mix(tokens ^ _GOLD))
-    name = np.arange(parts, dtype=np.uint64) + (np.uint64(kind) << np.uint64(32))
-    marks = _mix(_mix(name + _M1) ^ (total + count.astype(np.uint64) * _M2)).view(np.int64)
+    name = np.arange(len(count), dtype=np.uint64) + (np.uint64(kind) << np.uint64(32))
+    marks = _mix(_mix(name + _M1) ^ (total + count.astype(np.uint64) * _M2))
+    marks = ((marks & ~np.uint64(1)) | np.uint64(kind & 1)).view(np.int64)
     empty = count == 0
-    return marks if empty.sum() >= 2 else marks[~empty]
+    return marks if empty.sum() >= len(count) - differ else marks[~empty]
 
 
-def _describe(words: int):
+def _describe(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = SizeClasses(percent)
         for batch in batches:
             each = [shingles(text, words) for text in batch.column(1).to_pylist()]
+            need = [[None] * len(each), [None] * len(each)]  # common parts asked for, under even and odd classes
+            for i, t in enumerate(each):
+                own = classes.of(len(t)) if len(t) else -1
+                for kind in (own, own - 1):
+                    if kind >= 0 and classes.differ[kind] > 0:
+                        need[kind & 1][i] = max(1, common_parts(t, int(classes.differ[kind])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in each], pa.int64()),
-                 pa.array([set_hash(t) if len(t) else None for t in each], pa.int64())], names=["doc_id", "n", "set"])
+                 pa.array([set_hash(t) if len(t) else None for t in each], pa.int64()),
+                 *[pa.array(x, pa.int32()) for x in need]], names=["doc_id", "n", "set", "even", "odd"])
     return run
 
 
@@ -207,9 +231,9 @@ def _cells(percent: int):
 def jaccard_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their set, sets with weights, (a, b, links) rows of the opened cells)."""
     described = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _describe(words), "doc_id long, n long, set long"), "join-sets")
+        _describe(words, percent), "doc_id long, n long, set long, even int, odd int"), "join-sets")
     sets = stored(described.filter(F.col("set").isNotNull()).groupBy("set").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n")), "join-reps")
+        F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("even").alias("even"), F.max("odd").alias("odd")), "join-reps")
 
     marks = docs.select("text").mapInArrow(_marks(words, percent), "mark long, set long")
     every = Window.partitionBy("mark")
@@ -222,13 +246,17 @@ def jaccard_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
     near = shared.join(own, "set").groupBy("mark").agg(F.max("top").alias("top"))
     groups = shared.select("mark", "set").join(near, "mark").groupBy("set").agg(F.max("top").alias("top")).select("set", F.col("top.part").alias("g"))
     involved = stored(sets.join(groups, "set"), "join-involved")
-    known = shared.join(involved.select("set", "n", "g"), "set")
+    known = shared.select("mark", "set").join(involved.select("set", "n", "g", "even", "odd"), "set")
     matrix = (known.groupBy("mark", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("set").alias("_a"), F.max("set").alias("_b"))
               .withColumnRenamed("g", "group"))
-    # a group is asked by the sets that share a part and whose size a member can match; a lone set does not ask itself
-    asked = (known.join(matrix, "mark").filter((F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
-                                              & ~((F.col("_a") == F.col("_b")) & (F.col("_a") == F.col("set"))))
-             .select("set", "n", "group").distinct())
+    # a group is asked by the sets that share enough parts with it and whose size a member can match; a lone set does
+    # not ask itself
+    met = (known.join(matrix, "mark").filter((F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
+                                            & ~((F.col("_a") == F.col("_b")) & (F.col("_a") == F.col("set")))))
+    odd = F.col("mark").bitwiseAND(F.lit(1)) == 1
+    asked = (met.groupBy("set", "group").agg(F.first("n").alias("n"), F.first("even").alias("even"), F.first("odd").alias("odd"),
+                                            F.count_if(odd).alias("_odd"), F.count_if(~odd).alias("_even"))
+             .filter((F.col("_odd") >= F.col("odd")) | (F.col("_even") >= F.col("even"))).select("set", "n", "group"))
     asked = stored(asked, "join-asked")
 
     # blocks of members and of queries, by the tokens of a group
