@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import slices, stored, table
 from .components import components
 
 NAME = "op1_ngram_jaccard_join"
@@ -124,7 +124,7 @@ def part_marks(tokens: np.ndarray, kind: int, differ: int) -> np.ndarray:
 def _describe(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = SizeClasses(percent)
-        for batch in batches:
+        for batch in slices(batches):
             each = [shingles(text, words) for text in batch.column(1).to_pylist()]
             need = [[None] * len(each), [None] * len(each)]  # common parts asked for, under even and odd classes
             for i, t in enumerate(each):
@@ -142,27 +142,26 @@ def _describe(words: int, percent: int):
 def _marks(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = SizeClasses(percent), set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                marks, sets = [], []
-                for text in batch.column(0).slice(at, 500).to_pylist():
-                    t = shingles(text, words)
-                    if not len(t) or (name := set_hash(t)) in seen:
-                        continue
-                    seen.add(name)
-                    own = classes.of(len(t))
-                    for kind in (own, own - 1):
-                        if kind >= 0 and classes.differ[kind] > 0:
-                            marks.append(part_marks(t, kind, int(classes.differ[kind])))
-                            sets.append(np.full(len(marks[-1]), name, np.int64))
-                if marks:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks)), pa.array(np.concatenate(sets))], names=["mark", "set"])
+        for batch in slices(batches):
+            marks, sets = [], []
+            for text in batch.column(0).to_pylist():
+                t = shingles(text, words)
+                if not len(t) or (name := set_hash(t)) in seen:
+                    continue
+                seen.add(name)
+                own = classes.of(len(t))
+                for kind in (own, own - 1):
+                    if kind >= 0 and classes.differ[kind] > 0:
+                        marks.append(part_marks(t, kind, int(classes.differ[kind])))
+                        sets.append(np.full(len(marks[-1]), name, np.int64))
+            if marks:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks)), pa.array(np.concatenate(sets))], names=["mark", "set"])
     return run
 
 
 def _tokens(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(s, t.tobytes()) for s, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                      if len(t := shingles(text, words)) and set_hash(t) == s]  # ids may repeat with other texts
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())],
@@ -215,7 +214,7 @@ def _cells(percent: int):
             found = open_cell([(s, *x) for s, x in members.items()], [(s, *x) for s, x in queries.items()], percent) if members and queries else []
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], names=["a", "b", "links"])
 
-        for batch in batches:
+        for batch in slices(batches):
             g, b, q, asks, name, weight, tokens = (c.to_pylist() for c in batch.columns)
             for i in range(len(g)):
                 if (now := (g[i], b[i], q[i])) != key:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import is_held_out, stored, table
+from .common import is_held_out, slices, stored, table
 
 NAME = "op2_lexicon_toxicity"
 #: Labelled rows that the model is fitted on, about.
@@ -155,7 +155,7 @@ class LexiconAutomaton:
 class Finder:
     """Hits of a model's lexicon in texts; tokens looked up before are remembered, up to a bound."""
 
-    def __init__(self, model: Model, remembered: int = 300_000):
+    def __init__(self, model: Model, remembered: int = 200_000):
         self.model, self.automaton, self.remembered = model, LexiconAutomaton(model.terms), remembered
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[str, int]] = {}
@@ -207,7 +207,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [pa.array(keys)] + [pa.array([found[k][i] for k in keys], pa.float64()) for i in range(3)]
         return pa.RecordBatch.from_arrays(cols, names=["term", "texts", "toxic_use", "clean_use"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             use = Counter()
             for word, n in Counter(_TOKEN.findall((text or "").lower())).items():
@@ -220,7 +220,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row = found.setdefault(term, [0.0, 0.0, 0.0])
                 row[0] += toxic
                 row[2 - toxic] += math.log2(1 + n)
-            if len(found) > 400_000:
+            if len(found) > 150_000:
                 yield flush()
                 found.clear()
     if found:
@@ -242,7 +242,7 @@ def _unexplained(model: Model):
     """Texts without a hit of the model's lexicon."""
     def run(batches):
         finder = Finder(model)
-        for batch in batches:
+        for batch in slices(batches):
             none = [finder.hits.keys().isdisjoint(finder.tokens(t)) for t in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(none, pa.bool_()))
     return run
@@ -278,7 +278,7 @@ def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]
 def _near_misses(model: Model):
     def run(batches):
         finder = Finder(model)
-        for batch in batches:
+        for batch in slices(batches):
             out = [(t, toxic) for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
                    for t in set(finder.tokens(text)) if finder.hits.get(t, ("", 0))[1]]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([x for _, x in out], pa.int32())],
@@ -289,7 +289,7 @@ def _near_misses(model: Model):
 def _features(model: Model):
     def run(batches):
         finder = Finder(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([finder.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)],
                 names=["x", "toxic"])
@@ -343,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 def _score(model: Model, names: list[str], name: str):
     def run(batches):
         finder = Finder(model)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([finder.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.score(x))], names=[*names, name])
     return run

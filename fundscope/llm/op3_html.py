@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 NAME = "op3_html_main_text"
 #: Labelled pages that the weights are counted on, about.
@@ -139,7 +139,7 @@ def _is_labelled(page: str) -> bool:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: feature, words or tags in the main text, and outside it."""
     inside, outside = Counter(), Counter()
-    for batch in batches:
+    for batch in slices(batches):
         for page in batch.column(0).to_pylist():
             if not page or not _is_labelled(page):
                 continue
@@ -218,7 +218,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def _extract(weights: dict[str, float]):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(p, weights) for p in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=[*batch.schema.names[1:], "text", "n_chars"])

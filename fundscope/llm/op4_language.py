@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import is_held_out, table
+from .common import is_held_out, slices, table
 
 NAME = "op4_piece_language_id"
 VOCABULARY = "piece_bpe_32k.model"
@@ -192,7 +192,7 @@ def _gather(path: str, langs: list[str]):
                 c.clear()
             return total
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen[number[lang]].update(_WORD.findall(text.lower()))
                 if sum(map(len, seen)) > REMEMBERED // 2:
@@ -232,29 +232,27 @@ def _predict(model: Model):
         pieces, langs = Pieces(model.path), model.langs
         index: dict[str, int] = {}
         scores = np.zeros((0, len(langs)))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                words = [_WORD.findall((t or "").lower()) for t in part.column(1).to_pylist()]
-                if len(index) > REMEMBERED:
-                    index, scores = {}, np.zeros((0, len(langs)))
-                new = list(dict.fromkeys(w for ws in words for w in ws if w not in index))
-                if new and langs:
-                    index.update(zip(new, range(len(index), len(index) + len(new))))
-                    scores = np.vstack([scores, word_scores(pieces, model.logp, new)])
-                preds, probs = [], []
-                for ws in words:
-                    if not langs or not any(ch.isalpha() for w in ws for ch in w):
-                        preds.append(UNDETERMINED)
-                        probs.append(0.0)
-                        continue
-                    z = scores[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0)
-                    p = np.exp(z - z.max())
-                    best = int(z.argmax())
-                    preds.append(langs[best])
-                    probs.append(float(p[best] / p.sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(preds, pa.string()), pa.array(probs, pa.float64())],
-                                                 names=["doc_id", "lang_pred", "score"])
+        for batch in slices(batches):
+            words = [_WORD.findall((t or "").lower()) for t in batch.column(1).to_pylist()]
+            if len(index) > REMEMBERED:
+                index, scores = {}, np.zeros((0, len(langs)))
+            new = list(dict.fromkeys(w for ws in words for w in ws if w not in index))
+            if new and langs:
+                index.update(zip(new, range(len(index), len(index) + len(new))))
+                scores = np.vstack([scores, word_scores(pieces, model.logp, new)])
+            preds, probs = [], []
+            for ws in words:
+                if not langs or not any(ch.isalpha() for w in ws for ch in w):
+                    preds.append(UNDETERMINED)
+                    probs.append(0.0)
+                    continue
+                z = scores[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0)
+                p = np.exp(z - z.max())
+                best = int(z.argmax())
+                preds.append(langs[best])
+                probs.append(float(p[best] / p.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(preds, pa.string()), pa.array(probs, pa.float64())],
+                                             names=["doc_id", "lang_pred", "score"])
     return run
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 NAME = "op7_suffix_array_decontaminate"
 WINDOW = 13
@@ -226,7 +226,7 @@ def _scan(block: BenchmarkBlock):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, parts, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if (found := _held_words(block, words)) is not None:
@@ -334,7 +334,7 @@ def _longest(block: BenchmarkBlock):
 
     def scan(batches):
         docs, parts, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (found := _held_words(block, words_of(text))) is not None:
                     parts.append((found[0], np.full(len(found[0]), len(docs)), found[1]))
@@ -358,18 +358,17 @@ def judged(matches: DataFrame) -> DataFrame:
 
 def _keep_clean(block: BenchmarkBlock):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                rows, parts, words = batch.slice(at, 2_000), [], []
-                for i, text in enumerate(rows.column(0).to_pylist()):
-                    each = words_of(text)
-                    words.append(len(each))
-                    if (found := _held_words(block, each)) is not None:
-                        parts.append((found[0], np.full(len(found[0]), i), found[1]))
-                spans, _ = _found(block, parts)
-                hit = {i: sum(n for _, n in s) for i, s in spans.items()}
-                clean = [not (hit.get(i) and hit[i] * HIT_FACTOR >= n) for i, n in enumerate(words)]
-                yield pa.RecordBatch.from_arrays(rows.columns[1:], names=rows.schema.names[1:]).filter(pa.array(clean, pa.bool_()))
+        for rows in slices(batches, 2_000):
+            parts, words = [], []
+            for i, text in enumerate(rows.column(0).to_pylist()):
+                each = words_of(text)
+                words.append(len(each))
+                if (found := _held_words(block, each)) is not None:
+                    parts.append((found[0], np.full(len(found[0]), i), found[1]))
+            spans, _ = _found(block, parts)
+            hit = {i: sum(n for _, n in s) for i, s in spans.items()}
+            clean = [not (hit.get(i) and hit[i] * HIT_FACTOR >= n) for i, n in enumerate(words)]
+            yield pa.RecordBatch.from_arrays(rows.columns[1:], names=rows.schema.names[1:]).filter(pa.array(clean, pa.bool_()))
     return run
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 NAME = "op8_chat_format"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -146,7 +146,7 @@ def _format(mappings: tuple[Mapping, ...]):
     known = {fingerprint(m.paths): m for m in mappings}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for conv, turn, record in zip(*(c.to_pylist() for c in batch.columns)):
                 mark, name, turns = turns_of(record, known)
@@ -188,7 +188,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                           names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    for batch in batches:
+    for batch in slices(batches):
         done = []
         for conv, piece, a, b in zip(*(c.to_pylist() for c in batch.columns)):
             if state is None or state[0] != conv:

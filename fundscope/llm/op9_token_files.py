@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, slices, table
 
 NAME = "op9_orc_tokens"
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Encoded pieces that a worker remembers before it starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 SCHEMA = "doc_id long, file int, before long, n_tokens int, ids array<int>"
@@ -128,18 +128,16 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, before, number = encoder(path), 0, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                each = [coder.encode(t) + end for t in part.column(1).to_pylist()]
-                n = np.array([len(b) // 4 for b in each], np.int64)
-                stops = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)),
-                                               pa.array(np.frombuffer(b"".join(each), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.full(len(n), number, np.int32)), pa.array(before + stops - n),
-                     pa.array(n.astype(np.int32)), ids], names=["doc_id", "file", "before", "n_tokens", "ids"])
-                before += int(stops[-1])
+        for part in slices(batches):
+            each = [coder.encode(t) + end for t in part.column(1).to_pylist()]
+            n = np.array([len(b) // 4 for b in each], np.int64)
+            stops = np.cumsum(n)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)),
+                                           pa.array(np.frombuffer(b"".join(each), "<u4").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(np.full(len(n), number, np.int32)), pa.array(before + stops - n),
+                 pa.array(n.astype(np.int32)), ids], names=["doc_id", "file", "before", "n_tokens", "ids"])
+            before += int(stops[-1])
 
     return run
 
