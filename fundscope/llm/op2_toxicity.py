@@ -198,33 +198,41 @@ def quoted(text: str, start: int, end: int) -> bool:
     return marked or bool(_REPORTING.search(before))
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: term, texts and use in toxic texts, use in clean texts.  Use is log2(1 + occurrences) per text."""
-    found: dict[str, list[float]] = {}
+def _term_counts(model: Model):
+    """Per task, of the texts without a hit of the model: term, texts and use in toxic texts, use in clean texts.
 
-    def flush():
+    Use is log2(1 + occurrences) per text.
+    """
+    def flush(found):
         keys = list(found)
         cols = [pa.array(keys)] + [pa.array([found[k][i] for k in keys], pa.float64()) for i in range(3)]
         return pa.RecordBatch.from_arrays(cols, names=["term", "texts", "toxic_use", "clean_use"])
 
-    for batch in slices(batches):
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            use = Counter()
-            for word, n in Counter(_TOKEN.findall((text or "").lower())).items():
-                use[word] += n
-                for k in STEMS:
-                    if len(word) < k:
-                        break
-                    use[word[:k] + "*"] += n
-            for term, n in use.items():
-                row = found.setdefault(term, [0.0, 0.0, 0.0])
-                row[0] += toxic
-                row[2 - toxic] += math.log2(1 + n)
-            if len(found) > 150_000:
-                yield flush()
-                found.clear()
-    if found:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, found = Finder(model), {}
+        for batch in slices(batches):
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = Counter(finder.tokens(text))
+                if not finder.hits.keys().isdisjoint(words):
+                    continue
+                use = Counter()
+                for word, n in words.items():
+                    use[word] += n
+                    for k in STEMS:
+                        if len(word) < k:
+                            break
+                        use[word[:k] + "*"] += n
+                for term, n in use.items():
+                    row = found.setdefault(term, [0.0, 0.0, 0.0])
+                    row[0] += toxic
+                    row[2 - toxic] += math.log2(1 + n)
+                if len(found) > 150_000:
+                    yield flush(found)
+                    found = {}
+        if found:
+            yield flush(found)
+
+    return run
 
 
 def _choose(rows, toxic: int, clean: int) -> dict[str, float]:
@@ -238,16 +246,6 @@ def _choose(rows, toxic: int, clean: int) -> dict[str, float]:
     return chosen
 
 
-def _unexplained(model: Model):
-    """Texts without a hit of the model's lexicon."""
-    def run(batches):
-        finder = Finder(model)
-        for batch in slices(batches):
-            none = [finder.hits.keys().isdisjoint(finder.tokens(t)) for t in batch.column(0).to_pylist()]
-            yield batch.filter(pa.array(none, pa.bool_()))
-    return run
-
-
 def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """Choose terms in rounds: each looks at the texts that no term chosen before is in.
 
@@ -256,10 +254,7 @@ def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]
     """
     model = Model()
     for _ in range(ROUNDS):
-        rest = sample.select("text", "toxic")
-        if model.terms:
-            rest = rest.mapInArrow(_unexplained(model), rest.schema)
-        counts = (rest.mapInArrow(_term_counts, "term string, texts double, toxic_use double, clean_use double")
+        counts = (sample.select("text", "toxic").mapInArrow(_term_counts(model), "term string, texts double, toxic_use double, clean_use double")
                   .groupBy("term").agg(*[F.sum(c).alias(c) for c in ("texts", "toxic_use", "clean_use")]))
         a, b = F.col("toxic_use"), F.col("clean_use")
         share = toxic / (toxic + clean)

@@ -156,9 +156,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                       pa.array([outside[k] for k in keys], pa.int64())], names=["feature", "n_in", "n_out"])
 
 
-def _features(place) -> tuple[str, str, str]:
+def _features(place) -> list[str]:
     element, block, link = place
-    return f"element {element}", f"block {block}", f"link {link}"
+    return [f"element {element}", f"block {block}", *["link"] * link]
 
 
 def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", pages_used: int = FIT_PAGES) -> dict[str, float]:
