@@ -246,12 +246,15 @@ def vector_topk(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "
                 if exclude_self:
                     d = np.where(q_ids[:, None] == ids[None, :], np.inf, d)
                 kk = min(k, d.shape[1])
-                sel = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-                rows_q = np.repeat(q_ids, kk)
-                rows_d = ids[sel].ravel()
-                dist = np.take_along_axis(d, sel, axis=1).ravel()
-                keep = np.isfinite(dist)
-                yield pd.DataFrame({"query_id": rows_q[keep], "doc_id": rows_d[keep], "distance": dist[keep]})
+                # all that may be among the k nearest, ties and rounding included; then exact distances, ties by id
+                kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+                qi, xi = np.nonzero(np.isfinite(d) & (d <= (kth + 1e-9 * (1 + np.abs(kth)))[:, None]))
+                dist = ((q[qi] - x[xi]) ** 2).sum(1) if metric == "l2sq" else d[qi, xi]
+                by = np.lexsort((ids[xi], dist, qi))
+                qi, xi, dist = qi[by], xi[by], dist[by]
+                rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
+                keep = rank < kk
+                yield pd.DataFrame({"query_id": q_ids[qi[keep]], "doc_id": ids[xi[keep]], "distance": dist[keep]})
 
         results.append(base.select("doc_id", "vec", *fcols).mapInPandas(part, out_schema))
     partial = reduce(lambda a, b2: a.unionByName(b2), results)

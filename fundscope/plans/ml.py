@@ -44,8 +44,6 @@ DURATION_DEFAULT = 0
 VALID_GENDERS = ("M", "F")
 VALID_OCCUPATIONS = ("civil_servant", "teacher", "doctor", "engineer", "business_owner", "freelancer", "worker")
 
-LEAKAGE = ("loan_status", "overdue_count", "total_repayment_periods", "actual_repayment_date",
-           "has_overdue_history_flag")
 
 
 def _code(col: str, codes: dict, default: int) -> Column:

@@ -165,14 +165,14 @@ def duplicate_collateral(t: AuditTables, statuses: Sequence[str] = ACTIVE_LOAN_S
     One row per loan with the address's loan count and total, instead of one
     concatenated id list per address: a very busy address would otherwise put
     an unbounded list into one value.  NULL addresses are not grouped."""
-    l = _subject(t.loans.where(F.col("status").isin(*statuses) & F.col("address").isNotNull()),
-                 "person_id", subject)
+    l = t.loans.where(F.col("status").isin(*statuses) & F.col("address").isNotNull())
     # the concatenated list is of DISTINCT statuses: bounded by the status domain
     statuses = F.expr("listagg(DISTINCT status, ',') WITHIN GROUP (ORDER BY status)")
     per_addr = (l.groupBy("address").agg(F.count(F.lit(1)).alias("loan_count"),
                                          F.sum("amount").alias("total_amount"), statuses.alias("statuses"))
                   .where(F.col("loan_count") > 1))
-    return l.join(per_addr, "address").select(
+    # the subject is looked up after counting: the loans that share an address are other persons', too
+    return _subject(l.join(per_addr, "address"), "person_id", subject).select(
         "address", "loan_id", "person_id", "amount", "loan_count", F.round("total_amount", 2).alias("total_amount"),
         "statuses")
 

@@ -67,9 +67,3 @@ def pin(df):
     Also cuts lineage, so a lost executor recomputes from the checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    root = ensure_checkpoint_dir(spark)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"

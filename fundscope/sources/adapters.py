@@ -175,10 +175,6 @@ ADAPTERS = {
 }
 
 
-def adapt(cat: Catalog, name: str) -> DataFrame:
-    return ADAPTERS[name](cat)
-
-
 # DuckDB text of the same derivations, used by the oracle queries.
 SQL = {
     "raw_contracts": """raw_contracts AS (

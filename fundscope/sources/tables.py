@@ -27,7 +27,3 @@ class Catalog:
         if name in DRIVER_TABLES:
             return read_table(self.spark, self.data_dir, name)
         raise AttributeError(name)
-
-    def register_views(self) -> None:
-        for t in DRIVER_TABLES:
-            read_table(self.spark, self.data_dir, t).createOrReplaceTempView(t)

@@ -74,16 +74,3 @@ def test_save_run_and_state(spark, small_dir, tmp_path):
                                 "table_name string, column_name string, last_value string")
     got = {r["table_name"]: r["last_value"] for r in SY.advance_state(state, cur).collect()}
     assert got == {"a": "3", "b": "5", "c": "9"}
-
-
-def test_synthetic_portfolio_feeds_models(spark):
-    from fundscope.plans import portfolio as PF
-    cust, con, rep = PF.generate(spark, 2000, seed=7)
-    assert cust.count() == 2000 and 1400 < con.count() < 1800
-    r = cust.agg(F.min("age"), F.max("age"), F.min("credit_score"), F.max("credit_score")).first()
-    assert r[0] >= 22 and r[1] <= 59 and r[2] >= 300 and r[3] <= 850
-    assert rep.where(F.col("period") > 24).count() == 0
-    gold = M.fct_loan_features(M.stg_contracts(con), M.stg_customers(cust), M.stg_repayments(rep))
-    assert gold.count() == con.count() and gold.where("target_label = 1").count() > 0
-    again = PF.generate(spark, 2000, seed=7)[1]
-    assert again.exceptAll(con).count() == 0

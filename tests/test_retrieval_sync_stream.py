@@ -98,7 +98,10 @@ def test_type_mapping_and_files(spark, tmp_path):
     assert SY.source_type_to_spark("NUMBER", None, None) == T.DecimalType(38, 0)
     assert SY.source_type_to_spark("NUMBER", 12, 2) == T.DecimalType(12, 2)
     assert SY.source_type_to_spark("DATE") == T.TimestampNTZType()
+    assert SY.source_type_to_spark("TIMESTAMP(6) WITH TIME ZONE") == T.TimestampNTZType()
     assert SY.source_type_to_spark("XMLTYPE") == T.StringType()
+    assert SY.source_type_to_spark("VARCHAR2") == SY.source_type_to_spark("LONG") == T.StringType()
+    assert SY.source_type_to_spark("LONG RAW") == T.BinaryType()
     p = tmp_path / "in.csv"
     p.write_text("id,amount\n1,2.5\n2,oops\n3,4\n")
     schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("amount", T.DoubleType())])
@@ -171,3 +174,36 @@ def test_copy_profile_union_pattern_save(spark, small_dir, tmp_path):
     assert sorted(r["_dbt_source_relation"] for r in u.collect()) == ["events_day_0", "events_day_1"]
     gold = M.materialise(M.build_gold(cat), str(tmp_path / "gold"))
     assert gold.count() == M.build_gold(cat).count()
+
+
+def test_jdbc_literals():
+    import datetime as dt
+    preds = SY.jdbc_predicates("k", [dt.date(2024, 1, 1), dt.datetime(2024, 5, 6, 7, 8, 9)])
+    assert preds[1] == "k > DATE '2024-01-01' AND k <= TIMESTAMP '2024-05-06 07:08:09'"
+    assert SY.jdbc_predicates("k", ["O'Hara"])[0] == "k <= 'O''Hara'"
+    assert SY.jdbc_predicates("k", []) == ["k IS NOT NULL", "k IS NULL"]
+
+
+def test_vector_topk_ties_by_id(spark):
+    from fundscope.operators import retrieval as RT
+    base = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(20, 0, -1)], "doc_id long, vec array<double>").coalesce(1)
+    q = spark.createDataFrame([(0, [1.0, 2.5])], "query_id long, vec array<double>")
+    for metric in ("l2sq", "cosine"):
+        assert sorted(r["doc_id"] for r in RT.vector_topk(q, base, 3, metric).collect()) == [1, 2, 3]
+
+
+def test_statistics_keep_the_null_group(spark):
+    from fundscope.operators import stats as ST
+    df = spark.createDataFrame([(None, i, float(x)) for i, x in enumerate([1, 1, 1, 1, 1, 1, 1, 1, 50])] + [("a", 1, 2.0)], "g string, t long, x double")
+    assert {r["g"]: r["median"] for r in ST.summary(df, "x", ["g"]).collect()} == {None: 1.0, "a": 2.0}
+    assert [r["g"] for r in ST.trend(df, "x", ["t"], ["g"]).collect()] == [None]
+    assert [r["x"] for r in ST.zscore(df, "x", 2.0, ["g"]).collect()] == [50.0]
+
+
+def test_duplicate_collateral_of_one_person(spark):
+    from types import SimpleNamespace
+    loans = spark.createDataFrame([(1, 1, "home", 5.0, R.ACTIVE_LOAN_STATUSES[0]), (2, 2, "home", 7.0, R.ACTIVE_LOAN_STATUSES[0])],
+                                  "loan_id long, person_id long, address string, amount double, status string")
+    t = SimpleNamespace(loans=loans)
+    assert [r["loan_count"] for r in R.duplicate_collateral(t, subject=1).collect()] == [2]
+    assert R.duplicate_collateral(t).count() == 2
