@@ -1,26 +1,23 @@
 """Keyword and vector retrieval over a document table, for a table of queries.
 
-Nothing here pairs every query with every document as rows:
-
-* Substring tests ("keyword occurs in the text") go through an n-gram inverted
-  index.  Each needle joins only on its rarest gram (exact: a text containing
-  the needle contains all of its grams), and candidates are verified with
-  ``instr``.  Candidate volume is bounded by that gram's document frequency.
-  Needles without whitespace (keywords) are matched against the distinct
-  token vocabulary instead of the full texts, then mapped through postings.
-* Whole-token overlap is an equi-join on tokens.
-* Exact vector top-k scans base-vector partitions with a broadcast block of
-  query vectors (its size is checked), keeps a top-k per partition, then
-  merges those small lists.
+Queries and documents meet in cells, never as pairs of rows and never through the
+driver.  Queries are cut into blocks of bounded size, documents into shards; a cell
+(block, shard) is one group of a repartitioned table in which the block's queries come
+first and the shard's documents stream past them.  A cell keeps what its queries need
+(their k best, or their hits), so at most k x queries x shards rows are shuffled
+afterwards.  A frequent word or a hot label is spread over all shards.
+
+* Substring tests search each text once with an Aho-Corasick automaton of the block.
+* Whole-token overlap looks each distinct token of a text up in the block's tokens.
+* Vector search compares a block with one Arrow batch of base vectors at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -28,87 +25,174 @@ from pyspark.sql import functions as F
 
 # Words dropped from keyword queries.
 STOP_WORDS = ("查询", "查找", "分析", "审计", "检查")
-MAX_GRAM = 3
-SHORT_NEEDLE = 16
 # whitespace runs that separate words (ASCII whitespace, as str.split on ASCII text)
 WS = r"[ \t\n\x0B\f\r]+"
-
-
-def _grams(text: Column, n: int) -> Column:
-    """Distinct length-n substrings of ``text`` in one linear regex pass
-    (overlapping matches via a lookahead; position-by-position ``substring``
-    on UTF-8 text would be quadratic)."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-
-
-def gram_index(docs: DataFrame, id_col: str, text_col: str, sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """Distinct (doc, gram) rows for gram sizes ``sizes`` over lower-cased text.
-    Grams are de-duplicated inside each document (no shuffle); sizes never
-    collide, so the union is already distinct."""
-    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("_lt"))
-    parts = [low.select("doc_id", F.explode(_grams(F.col("_lt"), n)).alias("gram")) for n in sizes]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def substring_matches(needles: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      index: DataFrame | None = None, verify_buckets: int = 8) -> DataFrame:
-    """``needle_id, doc_id`` for every needle (``needle_id, needle``) that occurs
-    in a document's lower-cased text.  Needles are lower-cased; empty needles
-    are ignored.
-
-    Needles of up to ``MAX_GRAM`` characters are their own gram, so the index
-    answers them exactly.  Longer needles are verified against the text; their
-    candidates are grouped per (document, needle bucket) so a document's text
-    travels at most ``verify_buckets`` times, not once per candidate."""
-    nd = needles.select("needle_id", F.lower("needle").alias("needle")).where(F.length("needle") > 0)
-    idx = index if index is not None else gram_index(docs, id_col, text_col)
-    df_ = idx.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ln = F.length("needle")
-    grams = F.when(ln >= MAX_GRAM, _grams(F.col("needle"), MAX_GRAM))
-    for n in range(MAX_GRAM - 1, 0, -1):
-        grams = grams.when(ln == n, F.array(F.col("needle")))
-    ngrams = nd.select("needle_id", "needle", F.explode(grams).alias("gram"))
-    # rarest gram per needle; a gram missing from every document means no match at all
-    with_df = ngrams.join(df_, "gram", "left").select("needle_id", "needle", "gram",
-                                                      F.coalesce("df", F.lit(0)).alias("df"))
-    rare = with_df.groupBy("needle_id", "needle").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"),
-                                                       F.min("df").alias("df")).where(F.col("df") > 0)
-    cand = rare.join(idx, "gram").select("needle_id", "needle", "doc_id")
-    short = cand.where(F.length("needle") <= MAX_GRAM).select("needle_id", "doc_id")
-    long_ = cand.where(F.length("needle") > MAX_GRAM)
-    grouped = long_.groupBy("doc_id", F.pmod(F.xxhash64("needle"), F.lit(verify_buckets)).alias("_b")).agg(
-        F.collect_list(F.struct("needle_id", "needle")).alias("_cands"))
-    text = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("_t"))
-    verified = grouped.join(text, "doc_id").select(
-        "doc_id", F.explode(F.filter("_cands", lambda c: F.instr(F.col("_t"), c["needle"]) > 0)).alias("c"))
-    return short.unionByName(verified.select(F.col("c.needle_id").alias("needle_id"), "doc_id"))
-
-
-def word_matches(words: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``needle_id, doc_id`` for needles without whitespace that occur in the
-    lower-cased text.  Such a needle can only occur inside one
-    whitespace-delimited token, so it is matched against the distinct token
-    vocabulary (much smaller than the text) and mapped to documents through
-    (token, document) postings.  Exact, like ``substring_matches``."""
-    toks = docs.select(F.col(id_col).alias("doc_id"),
-                       F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), WS))).alias("tok")) \
-        .where(F.length("tok") > 0)
-    vocab = toks.select("tok").distinct()
-    nd = words.select("needle_id", F.lower("needle").alias("needle")).where(F.length("needle") > 0)
-    short = nd.where(F.length("needle") <= SHORT_NEEDLE)
-    # short needles: every substring of a vocabulary token up to the longest short
-    # needle (<= SHORT_NEEDLE chars, so at most SHORT_NEEDLE x len(token) per token),
-    # equi-joined with the needles -- exact, no verification pass
-    m = short.agg(F.max(F.length("needle")).alias("_m"))
-    ln = F.length("tok")
-    subs = vocab.crossJoin(F.broadcast(m)).select("tok", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.least(ln, F.col("_m"))),
-        lambda k: F.transform(F.sequence(F.lit(1), ln - k + 1), lambda i: F.substring("tok", i, k)))))).alias("sub"))
-    in_vocab_short = subs.join(short, subs.sub == short.needle).select("needle_id", "tok")
-    long_ = nd.where(F.length("needle") > SHORT_NEEDLE)
-    in_vocab_long = substring_matches(long_, vocab, "tok", "tok").withColumnRenamed("doc_id", "tok")
-    in_vocab = in_vocab_short.unionByName(in_vocab_long)
-    return in_vocab.join(toks, "tok").select("needle_id", "doc_id").distinct()
+#: A block holds about so many queries, and so many characters of their terms.
+BLOCK_QUERIES, BLOCK_CHARS = 2048, 1 << 20
+#: A shard holds about so many characters of texts, or so many vectors.
+SHARD_CHARS, SHARD_VECTORS = 64 << 20, 1 << 17
+#: Documents or vectors that are compared with a block at a time.
+BATCH = 512
+
+
+def _spread(queries: DataFrame, base: DataFrame, keys: Sequence[str], blocks: DataFrame) -> DataFrame:
+    """Cells of ``queries`` and ``base`` (keys, id, payload): one table
+    (cell, is_base, q, d, payload), each cell together, its queries first.
+    ``blocks`` gives per key (all rows, if there is none) the numbers of query blocks and base shards."""
+    def sized(df: DataFrame) -> DataFrame:
+        return df.join(blocks, list(keys)) if keys else df.crossJoin(F.broadcast(blocks))  # one row
+
+    q = sized(queries).select(*keys, F.pmod(F.xxhash64("id"), "n_blocks").alias("_b"),
+                              F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)).alias("_s"),
+                              F.lit(False).alias("is_base"), F.col("id").alias("q"), F.lit(None).cast(base.schema["id"].dataType).alias("d"), "payload")
+    b = sized(base).select(*keys, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("_b"),
+                           F.pmod(F.xxhash64("id"), "n_shards").alias("_s"),
+                           F.lit(True).alias("is_base"), F.lit(None).cast(queries.schema["id"].dataType).alias("q"),
+                           F.col("id").alias("d"), "payload")
+    cell = [*keys, "_b", "_s"]
+    # cells are told apart by a text, so that the tasks need not know the keys' types
+    return (q.unionByName(b).repartition(*cell).sortWithinPartitions(*cell, "is_base")
+            .select(F.to_json(F.struct(*cell)).alias("cell"), "is_base", "q", "d", "payload"))
+
+
+def _cells(kernel):
+    """A ``mapInArrow`` function: per cell ``kernel(ids, payloads)`` is built from the queries, takes
+    batches of the base through ``add`` and gives its rows in ``close``; both return record batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, q_ids, q_load, cell = None, [], [], None
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                keys, is_base, q, d, load = (c.to_pylist() for c in batch.slice(at, BATCH).columns)
+                i = 0
+                while i < len(keys):
+                    if keys[i] != now:
+                        if cell is not None:
+                            yield from cell.close()
+                        now, q_ids, q_load, cell = keys[i], [], [], None
+                    end = i
+                    while end < len(keys) and keys[end] == now and is_base[end] == is_base[i]:
+                        end += 1
+                    if not is_base[i]:
+                        q_ids += q[i:end]
+                        q_load += load[i:end]
+                    elif q_ids:
+                        if cell is None:
+                            cell = kernel(q_ids, q_load)
+                        yield from cell.add(d[i:end], load[i:end])
+                    i = end
+        if cell is not None:
+            yield from cell.close()
+    return run
+
+
+class _Best:
+    """The k best (largest ``rank``, then least id) rows of each query, ties included as they come."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.rank, self.ids, self.value = k, np.full((n, 0), 0.0), None, np.full((n, 0), 0.0)
+
+    def add(self, rank: np.ndarray, ids: np.ndarray, value: np.ndarray) -> None:
+        """``rank`` and ``value`` are (queries x rows); -inf is no hit."""
+        ids = np.broadcast_to(ids, rank.shape)
+        if self.ids is not None:
+            rank, value = np.hstack([self.rank, rank]), np.hstack([self.value, value])
+            ids = np.hstack([self.ids, ids])
+        if rank.shape[1] > self.k:
+            order = np.lexsort((ids, -rank), axis=1)[:, :self.k]
+            rank, ids, value = (np.take_along_axis(x, order, 1) for x in (rank, ids, value))
+        self.rank, self.ids, self.value = rank, ids, value
+
+    def rows(self, q_ids: Sequence) -> tuple[list, list, np.ndarray]:
+        if self.ids is None:
+            return [], [], np.zeros(0)
+        q, j = np.nonzero(self.rank > -np.inf)
+        return [q_ids[i] for i in q], self.ids[q, j].tolist(), self.value[q, j]
+
+
+def _batch(q_ids: list, d_ids: list, value, types) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q_ids, types[0]), pa.array(d_ids, types[1]), pa.array(value, types[2])],
+                                      names=["query_id", "doc_id", "hits"])
+
+
+class _TermCell:
+    """Counts how many terms of each query of a block a text holds (a term given twice counts twice)."""
+
+    def __init__(self, q_ids: list, terms: list, whole: bool, k: int | None, cap: float, types):
+        self.q_ids, self.types, self.whole, self.cap = q_ids, types, whole, cap
+        place: dict[str, int] = {}
+        holders: list[list[int]] = []
+        for q, words in enumerate(terms):
+            for w in words:
+                if w not in place:
+                    place[w] = len(holders)
+                    holders.append([])
+                holders[place[w]].append(q)
+        self.holders = [np.array(h, np.int64) for h in holders]
+        self.size = np.array([max(1, len(t)) for t in terms], np.int64)
+        self.best = _Best(len(q_ids), k) if k else None
+        if whole:
+            self.tokens = {w.encode(): i for w, i in place.items()}
+        else:
+            import ahocorasick
+            self.automaton = ahocorasick.Automaton()
+            for w, i in place.items():
+                self.automaton.add_word(w, i)
+            self.automaton.make_automaton()
+
+    def _found(self, text) -> set[int]:
+        if self.whole:
+            return {self.tokens[w] for w in self.tokens.keys() & text[0].encode().split()}  # bytes split at ASCII spaces
+        return {i for _, i in self.automaton.iter(text[0])}
+
+    def add(self, ids: list, texts: list):
+        hits = np.zeros((len(ids), len(self.q_ids)), np.int64)
+        for j, text in enumerate(texts):
+            found = self._found(text)
+            if found:
+                hits[j] = np.bincount(np.concatenate([self.holders[i] for i in found]), minlength=len(self.q_ids))
+        if self.best is None:
+            j, q = np.nonzero(hits)
+            yield _batch([self.q_ids[i] for i in q], [ids[i] for i in j], hits[j, q], self.types)
+            return
+        hits = hits.T
+        rank = np.where(hits > 0, np.minimum(hits / self.size[:, None], self.cap), -np.inf)
+        self.best.add(rank, np.array(ids), hits.astype(np.float64))
+
+    def close(self):
+        if self.best is not None:
+            q, d, value = self.best.rows(self.q_ids)
+            yield _batch(q, d, value.astype(np.int64), self.types)
+
+
+def _arrow_type(df: DataFrame, col: str) -> tuple[str, pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
+    t = df.schema[col].dataType
+    return t.simpleString(), to_arrow_type(t)
+
+
+def term_hits(queries: DataFrame, docs: DataFrame, whole: bool, k: int | None = None, cap: float = 1.0) -> DataFrame:
+    """``query_id, doc_id, hits``: how many of the query's ``terms`` (an array) the document holds, where any.
+
+    ``docs.terms`` is an array of one text.  ``whole``: terms are compared with its words (split at ASCII white
+    space); else they are looked for anywhere inside it.  ``k`` keeps the documents with the largest share of
+    terms, at most ``cap`` of it counting, ties by id: k per query and shard, the caller cuts to k per query."""
+    q = queries.select(F.col("query_id").alias("id"), F.col("terms").alias("payload")).where(F.size("terms") > 0)
+    d = docs.select(F.col("doc_id").alias("id"), F.col("terms").alias("payload")).where(F.size("terms") > 0)
+    chars = F.aggregate("payload", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w))
+    at_least = docs.sparkSession.sparkContext.defaultParallelism
+    blocks = q.agg(F.greatest(F.ceil(F.count("*") / BLOCK_QUERIES), F.ceil(F.sum(chars) / BLOCK_CHARS), F.lit(1))
+                   .cast("int").alias("n_blocks")).crossJoin(
+        d.agg(F.greatest(F.ceil(F.sum(chars) / SHARD_CHARS), F.lit(at_least)).cast("int").alias("n_shards")))
+    qt, dt = _arrow_type(queries, "query_id"), _arrow_type(docs, "doc_id")
+    types = (qt[1], dt[1], pa.int64())
+    return _spread(q, d, [], blocks).mapInArrow(
+        _cells(lambda ids, terms: _TermCell(ids, terms, whole, k, cap, types)),
+        f"query_id {qt[0]}, doc_id {dt[0]}, hits long")
+
+
+def _words(text: Column) -> Column:
+    """Distinct non-empty words, in the order of their first use."""
+    return F.filter(F.array_distinct(F.split(text, WS)), lambda w: F.length(w) > 0)
 
 
 def _top_per_query(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
@@ -129,136 +213,113 @@ def knowledge_text(kb: DataFrame) -> DataFrame:
 def substring_search(queries: DataFrame, kb: DataFrame, k: int | None = None) -> DataFrame:
     """Documents whose title/tags/content contain the query text
     (case-insensitive), newest first, optional top-k per query."""
-    docs = knowledge_text(kb)
-    needles = queries.select(F.col("query_id").alias("needle_id"), F.col("query").alias("needle"))
-    m = substring_matches(needles, docs, "id", "search_text").withColumnRenamed("needle_id", "query_id")
+    docs = knowledge_text(kb).select(F.col("id").alias("doc_id"), F.array(F.lower("search_text")).alias("terms"))
+    needles = queries.where(F.length("query") > 0).select("query_id", F.array(F.lower("query")).alias("terms"))
+    m = term_hits(needles, docs, whole=False).drop("hits")
     out = m.join(kb.select(F.col("id").alias("doc_id"), "title", "created_at"), "doc_id")
     return _top_per_query(out, k, F.col("created_at").desc(), F.col("doc_id"))
 
 
 # ---------------------------------------------------------------- RET-2 keyword hits
 def query_keywords(queries: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """Distinct whitespace tokens longer than one character, minus stop words."""
-    words = queries.select("query_id", F.explode(F.split(F.col("query"), WS)).alias("kw"))
-    return words.where((F.length("kw") > 1) & ~F.col("kw").isin(*stop_words)).distinct()
+    """``query_id, terms``: lower-cased distinct whitespace tokens longer than one character, minus stop
+    words; tokens that differ in case only are told apart."""
+    kept = F.filter(_words(F.col("query")), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words))
+    return queries.select("query_id", F.transform(kept, F.lower).alias("terms"))
 
 
 def keyword_search(queries: DataFrame, kb: DataFrame, k: int | None = 3) -> DataFrame:
     """Score = number of the query's keywords found (as substrings) in the
     lower-cased title+tags+content; top-k per query (ties by doc id)."""
-    kws = query_keywords(queries)
-    distinct_kw = kws.select(F.lower("kw").alias("needle")).distinct().withColumn("needle_id", F.col("needle"))
-    docs = knowledge_text(kb)
-    hits = word_matches(distinct_kw, docs, "id", "search_text")
-    # each distinct keyword counts once (keywords differing only in case count separately)
-    per = kws.select("query_id", "kw", F.lower("kw").alias("needle_id")).join(hits, "needle_id")
-    scored = per.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    docs = knowledge_text(kb).select(F.col("id").alias("doc_id"), F.array(F.lower("search_text")).alias("terms"))
+    scored = term_hits(query_keywords(queries), docs, False, k).withColumnRenamed("hits", "score")
     return _top_per_query(scored, k, F.col("score").desc(), F.col("doc_id"))
 
 
 # ---------------------------------------------------------------- RET-3 overlap
+def _overlap(queries: DataFrame, docs: DataFrame, whole: bool, k: int | None, weight: float, cap: float) -> DataFrame:
+    terms = queries.select("query_id", _words(F.lower("query")).alias("terms"))
+    hits = term_hits(terms, docs, whole, k, cap / weight)
+    out = hits.join(terms.select("query_id", F.size("terms").alias("n")), "query_id").select(
+        "query_id", "doc_id", F.col("hits").alias("overlap"),
+        F.round(F.least(F.col("hits") / F.col("n") * weight, F.lit(cap)), 6).alias("score"))
+    return _top_per_query(out, k, F.col("score").desc(), F.col("doc_id"))
+
+
 def token_overlap(queries: DataFrame, kb: DataFrame, k: int | None = None) -> DataFrame:
     """Whole-token overlap of lower-cased whitespace tokens between the query
     and content + ' ' + title: score = min(overlap / |query tokens| * 0.8, 0.8)."""
-    qt = queries.select("query_id", F.explode(F.split(F.lower("query"), WS)).alias("tok")) \
-        .where(F.length("tok") > 0).distinct()
-    qn = qt.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_query_tokens"))
-    dt = kb.select(F.col("id").alias("doc_id"), F.explode(F.split(F.lower(F.concat_ws(" ", "content", "title")),
-                                                                  WS)).alias("tok")) \
-        .where(F.length("tok") > 0).distinct()
-    ov = qt.join(dt, "tok").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
-    out = ov.join(qn, "query_id").select(
-        "query_id", "doc_id", "overlap",
-        F.round(F.least(F.col("overlap") / F.col("n_query_tokens") * 0.8, F.lit(0.8)), 6).alias("score"))
-    return _top_per_query(out, k, F.col("score").desc(), F.col("doc_id"))
+    docs = kb.select(F.col("id").alias("doc_id"), F.array(F.lower(F.concat_ws(" ", "content", "title"))).alias("terms"))
+    return _overlap(queries, docs, True, k, 0.8, 0.8)
 
 
 def substring_overlap(queries: DataFrame, kb: DataFrame, k: int | None = None) -> DataFrame:
     """Share of the query's distinct lower-cased words that occur as substrings
     of title + ' ' + content: score = min(share, 0.9)."""
-    qt = queries.select("query_id", F.explode(F.split(F.lower("query"), WS)).alias("w")) \
-        .where(F.length("w") > 0).distinct()
-    qn = qt.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_query_tokens"))
-    docs = kb.select("id", F.concat_ws(" ", "title", "content").alias("t"))
-    needles = qt.select(F.col("w").alias("needle")).distinct().withColumn("needle_id", F.col("needle"))
-    hits = word_matches(needles, docs, "id", "t")
-    per = qt.select("query_id", F.col("w").alias("needle_id")).join(hits, "needle_id")
-    ov = per.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
-    out = ov.join(qn, "query_id").select(
-        "query_id", "doc_id", "overlap",
-        F.round(F.least(F.col("overlap") / F.col("n_query_tokens"), F.lit(0.9)), 6).alias("score"))
-    return _top_per_query(out, k, F.col("score").desc(), F.col("doc_id"))
+    docs = kb.select(F.col("id").alias("doc_id"), F.array(F.lower(F.concat_ws(" ", "title", "content"))).alias("terms"))
+    return _overlap(queries, docs, False, k, 1.0, 0.9)
 
 
 # ---------------------------------------------------------------- RET-4 vectors
-MAX_BROADCAST_BYTES = 64 << 20
+class _VectorCell:
+    """The k nearest base vectors of each query of a block."""
+
+    def __init__(self, q_ids: list, vectors: list, k: int, metric: str, exclude_self: bool, types):
+        self.q_ids, self.types, self.metric, self.exclude_self = q_ids, types, metric, exclude_self
+        self.ids, self.q = np.array(q_ids), np.array(vectors, np.float64)
+        self.norm = np.linalg.norm(self.q, axis=1)
+        self.best = _Best(len(q_ids), k)
+
+    def add(self, ids: list, vectors: list):
+        x, ids = np.array(vectors, np.float64), np.array(ids)
+        if self.metric == "cosine":
+            d = 1.0 - (self.q @ x.T) / np.maximum(self.norm[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
+        else:
+            d = (self.q * self.q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * self.q @ x.T
+        if self.exclude_self:
+            d[self.ids[:, None] == ids[None, :]] = np.inf
+        if self.metric == "l2sq":
+            # the product form loses digits: whatever may be among the k nearest is computed again from differences
+            k = min(self.best.k, d.shape[1])
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+            near = np.isfinite(d) & (d <= (kth + 1e-9 * (1 + self.norm ** 2 + np.abs(kth)))[:, None])
+            qi, xi = np.nonzero(near)
+            exact = np.full(d.shape, np.inf)
+            for at in range(0, len(qi), 65536):
+                a, b = qi[at:at + 65536], xi[at:at + 65536]
+                exact[a, b] = ((self.q[a] - x[b]) ** 2).sum(1)
+            d = exact
+        self.best.add(-d, ids, d)
+        return ()
+
+    def close(self):
+        yield _batch(*self.best.rows(self.q_ids), self.types)
 
 
 def vector_topk(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "l2sq",
                 filter_cols: Sequence[str] = (), exclude_self: bool = False,
-                block_rows: int | None = None) -> DataFrame:
+                block_rows: int = BLOCK_QUERIES) -> DataFrame:
     """Exact k nearest base vectors per query: ``query_id, doc_id, distance, score``.
 
     ``queries(query_id, vec, *filter_cols)``, ``base(doc_id, vec, *filter_cols)``;
-    base rows must match the query on every filter column.  score = 1 - distance
-    (l2sq) or cosine similarity (cosine).  Query vectors go out in blocks whose
-    byte size is checked against ``MAX_BROADCAST_BYTES``; every base partition
-    keeps only its k best per query, and the final merge sees at most
-    k x partitions rows per query."""
+    base rows must match the query on every filter column, which partition the work; a hot value
+    is cut into more cells.  score = 1 - distance (l2sq) or cosine similarity (cosine).  Ties go to the
+    smaller id.  Rows without a vector are left out."""
     if metric not in ("l2sq", "cosine"):
         raise ValueError("metric is l2sq or cosine")
-    spark = base.sparkSession
-    fcols = list(filter_cols)
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    n_q, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
-    if n_q == 0:
-        return spark.createDataFrame([], "query_id long, doc_id long, distance double, score double")
-    row_bytes = 8 * dim + 64 * (1 + len(fcols))
-    per_block = block_rows or max(1, MAX_BROADCAST_BYTES // row_bytes)
-    n_blocks = (n_q + per_block - 1) // per_block
-    qb = queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-    out_schema = "query_id long, doc_id long, distance double"
-    results = []
-    for b in range(n_blocks):
-        # one bounded block of query vectors (<= MAX_BROADCAST_BYTES) shipped to every task
-        block = qb.where(F.col("_blk") == b).select("query_id", "vec", *fcols).toPandas()
-        qid = block["query_id"].to_numpy(dtype=np.int64)
-        qmat = np.vstack(block["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
-        qfil = [block[c].to_numpy() for c in fcols]
-        bc = spark.sparkContext.broadcast((qid, qmat, qfil))
-
-        def part(it, bc=bc):
-            q_ids, q, q_f = bc.value
-            qn = np.linalg.norm(q, axis=1)
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                x = np.vstack(pdf["vec"].map(lambda v: np.asarray(v, dtype=np.float64)).to_list())
-                ids = pdf["doc_id"].to_numpy(dtype=np.int64)
-                if metric == "l2sq":
-                    d = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * q @ x.T
-                    d = np.maximum(d, 0.0)
-                else:
-                    xn = np.linalg.norm(x, axis=1)
-                    d = 1.0 - (q @ x.T) / np.maximum(qn[:, None] * xn[None, :], 1e-300)
-                for j, c in enumerate(fcols):
-                    d = np.where(q_f[j][:, None] == pdf[c].to_numpy()[None, :], d, np.inf)
-                if exclude_self:
-                    d = np.where(q_ids[:, None] == ids[None, :], np.inf, d)
-                kk = min(k, d.shape[1])
-                # all that may be among the k nearest, ties and rounding included; then exact distances, ties by id
-                kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-                qi, xi = np.nonzero(np.isfinite(d) & (d <= (kth + 1e-9 * (1 + np.abs(kth)))[:, None]))
-                dist = ((q[qi] - x[xi]) ** 2).sum(1) if metric == "l2sq" else d[qi, xi]
-                by = np.lexsort((ids[xi], dist, qi))
-                qi, xi, dist = qi[by], xi[by], dist[by]
-                rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-                keep = rank < kk
-                yield pd.DataFrame({"query_id": q_ids[qi[keep]], "doc_id": ids[xi[keep]], "distance": dist[keep]})
-
-        results.append(base.select("doc_id", "vec", *fcols).mapInPandas(part, out_schema))
-    partial = reduce(lambda a, b2: a.unionByName(b2), results)
-    top = _top_per_query(partial, k, F.col("distance").asc(), F.col("doc_id"))
+    keys = list(filter_cols)
+    at_least = 1 if keys else base.sparkSession.sparkContext.defaultParallelism
+    q = queries.where(F.col("vec").isNotNull()).select(*keys, F.col("query_id").alias("id"), F.col("vec").alias("payload"))
+    b = base.where(F.col("vec").isNotNull()).select(*keys, F.col("doc_id").alias("id"), F.col("vec").alias("payload"))
+    n_q = q.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks"))
+    n_b = b.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / SHARD_VECTORS), F.lit(at_least)).cast("int").alias("n_shards"))
+    blocks = (n_q.join(n_b, keys) if keys else n_q.crossJoin(n_b)).where("n_blocks > 0")
+    (q_kind, q_arrow), (d_kind, d_arrow) = _arrow_type(queries, "query_id"), _arrow_type(base, "doc_id")
+    types = (q_arrow, d_arrow, pa.float64())
+    found = _spread(q, b, keys, blocks).mapInArrow(
+        _cells(lambda ids, vectors: _VectorCell(ids, vectors, k, metric, exclude_self, types)),
+        f"query_id {q_kind}, doc_id {d_kind}, hits double").withColumnRenamed("hits", "distance")
+    top = _top_per_query(found, k, F.col("distance").asc(), F.col("doc_id"))
     return top.select("query_id", "doc_id", "distance", (F.lit(1.0) - F.col("distance")).alias("score"))
 
 

@@ -18,15 +18,35 @@ TEXTS = ["The quick brown fox", "jumps over the lazy dog", "Fox and dog are frie
 NEEDLES = ["fox", "the", "o", "og", "lazy dog", "fox and", "zzz", "Dog are", "x"]
 
 
-def test_substring_matches_brute_force(spark):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    nd = spark.createDataFrame([(i, s) for i, s in enumerate(NEEDLES)], "needle_id long, needle string")
-    got = {(r["needle_id"], r["doc_id"]) for r in RT.substring_matches(nd, docs, verify_buckets=3).collect()}
+def test_substring_hits_brute_force(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").select(
+        "doc_id", F.array(F.lower("text")).alias("terms"))
+    nd = spark.createDataFrame([(str(i), [s.lower()]) for i, s in enumerate(NEEDLES)], "query_id string, terms array<string>")
+    got = {(int(r["query_id"]), r["doc_id"]) for r in RT.term_hits(nd, docs, whole=False).collect()}
     exp = {(i, j) for i, s in enumerate(NEEDLES) for j, t in enumerate(TEXTS) if s.lower() in t.lower()}
     assert got == exp
-    words = nd.where(~F.col("needle").contains(" "))
-    got_w = {(r["needle_id"], r["doc_id"]) for r in RT.word_matches(words, docs).collect()}
-    assert got_w == {p for p in exp if " " not in NEEDLES[p[0]]}
+
+
+def test_overlap_top_k_brute_force(spark, monkeypatch):
+    """Many blocks, shards and ties: the k best by share of terms, then id."""
+    monkeypatch.setattr(RT, "BLOCK_QUERIES", 5)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choice(words, 6))) for i in range(700)]
+    qs = [(i, " ".join(rng.choice(words, 4))) for i in range(23)]
+    kb = spark.createDataFrame([(i, "c", "", t, "", None) for i, t in docs],
+                               "id long, category string, title string, content string, tags string, created_at timestamp_ntz")
+    q = spark.createDataFrame(qs, "query_id long, query string")
+    whole, inside = RT.token_overlap(q, kb, k=5).collect(), RT.substring_overlap(q, kb, k=5).collect()
+    for rows, top, holds in ((whole, 0.8, lambda w, t: w in t.split()), (inside, 0.9, lambda w, t: w in t)):
+        got = {}
+        for r in rows:
+            got.setdefault(r["query_id"], set()).add((r["doc_id"], r["overlap"]))
+        for i, text in qs:
+            terms = set(text.split())
+            hits = [(sum(holds(w, t) for w in terms), d) for d, t in docs]
+            best = sorted((h for h in hits if h[0]), key=lambda h: (-min(h[0] / len(terms) * (0.8 if top == 0.8 else 1), top), h[1]))[:5]
+            assert got[i] == {(d, n) for n, d in best}
 
 
 def test_keyword_and_overlap(spark):
