@@ -23,8 +23,8 @@ P = {
     "debt_to_income": dict(threshold=100.0),
     "high_base_before_application": dict(months=6, min_base=1000.0),
     "dormant_reactivated": dict(dormant_days=1.0, min_amount=20.0),
-    "employer_arrears": dict(periods=6, min_missing=3, period="day"),
-    "employer_arrears_consecutive": dict(periods=6, min_missing=3, period="day", consecutive=True),
+    "employer_arrears": dict(periods=6, min_missing=3),
+    "employer_arrears_consecutive": dict(periods=6, min_missing=2, consecutive=True),
     "pre_loan_surge": dict(min_increase=0.5),
     "makeup_arbitrage": dict(multiple=6.0),
     "post_loan_arrears": dict(min_ratio=20.0),
@@ -124,11 +124,13 @@ FROM o GROUP BY person_id""", "o AS (" + _OFF + ")")
 
 def _arrears_sql(p):
     n = p["periods"]
-    grid = (f"grid AS (SELECT employer_id, employer_name, k, CAST(DATE '{AUDIT_AS_OF}' - k AS DATE) AS period_start "
+    first = f"CAST(DATE '{AUDIT_AS_OF}' - INTERVAL {n - 1} MONTH AS DATE)"
+    grid = (f"grid AS (SELECT employer_id, employer_name, k, "
+            f"CAST(date_trunc('month', DATE '{AUDIT_AS_OF}') - k * INTERVAL 1 MONTH AS DATE) AS period_start "
             f"FROM employers, (SELECT CAST(range AS INTEGER) AS k FROM range({n})))")
-    active = (f"active AS (SELECT DISTINCT p.employer_id, d.dep_date AS period_start FROM dep d "
-              f"JOIN persons p USING (person_id) "
-              f"WHERE d.dep_date >= DATE '{AUDIT_AS_OF}' - {n - 1} AND d.dep_date <= DATE '{AUDIT_AS_OF}')")
+    active = (f"active AS (SELECT DISTINCT p.employer_id, CAST(date_trunc('month', d.dep_date) AS DATE) AS period_start "
+              f"FROM dep d JOIN persons p USING (person_id) "
+              f"WHERE d.dep_date >= date_trunc('month', {first}) AND d.dep_date <= DATE '{AUDIT_AS_OF}')")
     missing = ("missing AS (SELECT g.* FROM grid g WHERE NOT EXISTS (SELECT 1 FROM active a "
                "WHERE a.employer_id = g.employer_id AND a.period_start = g.period_start))")
     if p.get("consecutive"):
@@ -149,12 +151,13 @@ S["employer_arrears"] = _arrears_sql(P["employer_arrears"])
 S["employer_arrears_consecutive"] = _arrears_sql(P["employer_arrears_consecutive"])
 
 S["account_opening_anomalies"] = _sql(f"""
-SELECT s.employer_id, s.employer_name, s.account_count,
+SELECT s.employer_id, s.employer_name, s.account_count, s.first_open_date, s.last_open_date,
        coalesce(dm.duplicate_person_count, 0) AS duplicate_person_count
 FROM stats s LEFT JOIN dm USING (employer_id)
 WHERE s.account_count > 1 OR coalesce(dm.duplicate_person_count, 0) > 0""",
                                       f"""stats AS (SELECT employer_id, count(*) AS account_count,
-                         min(employer_name) AS employer_name
+                         min(employer_name) AS employer_name, min(open_date) AS first_open_date,
+                         max(open_date) AS last_open_date
   FROM employers WHERE open_date >= DATE '{AUDIT_AS_OF}' - INTERVAL 12 MONTH GROUP BY employer_id)""",
                                       """dup AS (SELECT id_number FROM persons WHERE id_number IS NOT NULL
   GROUP BY id_number HAVING count(*) > 1)""",
@@ -258,7 +261,26 @@ S["findings"] = "\nUNION ALL\n".join([
     _finding_sql("post_loan_arrears", "employer_id", "employer", "post_loan_arrears", "'high'",
                  ["total_borrowers", "arrears_count"]),
     _finding_sql("overdue_listing", "loan_id", "loan", "overdue", "'low'", ["overdue_seq", "overdue_days"]),
+    _finding_sql("remote_withdrawals", "person_id", "person", "remote_withdrawal", "'medium'", ["ledger_id"]),
+    _finding_sql("high_base_before_application", "loan_id", "loan", "high_base_before_application", "'low'",
+                 ["person_id"]),
+    _finding_sql("off_hours_summary", "person_id", "person", "off_hours", "'low'", ["night_count", "weekend_count"]),
+    _finding_sql("account_opening_anomalies", "employer_id", "employer", "account_opening", "'medium'",
+                 ["account_count", "duplicate_person_count"]),
+    _finding_sql("pre_loan_surge", "employer_id", "employer", "pre_loan_surge", "'high'", ["surge_person_count"]),
+    _finding_sql("makeup_arbitrage", "employer_id", "employer", "makeup_arbitrage", "'high'",
+                 ["arbitrage_person_count"]),
 ])
+S["report_risk_by_type"] = "SELECT risk_type, count(*) AS n FROM (" + S["findings"] + ") f GROUP BY risk_type"
+S["loans_with_status"] = _sql(
+    "SELECT loan_id, person_id, amount, status, apply_date FROM loans WHERE status LIKE '%disb%'")
+S["withdrawals"] = _sql(
+    "SELECT ledger_id, person_id, trans_type, trans_amount, trans_ts, abstract FROM ledger WHERE trans_type LIKE '%purch%'")
+# FLT-2: the optional subject filter, one rule per family
+SUBJECT = {"frequent_withdrawals": ("person_id", 7), "duplicate_collateral": ("person_id", 7), "pre_loan_surge": ("employer_id", 3),
+           "overdue_listing": ("person_id", 7)}
+for rule, (column, value) in SUBJECT.items():
+    S[rule + "_subject"] = f"SELECT * FROM ({S[rule]}) r WHERE {column} = {value}"
 
 S["report_high_score_findings"] = (
     "SELECT * FROM (" + S["findings"] + ") f WHERE score > 80 "
@@ -266,9 +288,7 @@ S["report_high_score_findings"] = (
 
 
 def _findings(spark, d):
-    params = {k: v for k, v in P.items() if k in (
-        "frequent_withdrawals", "withdrawal_near_balance", "loan_to_value", "debt_to_income", "dormant_reactivated",
-        "employer_arrears", "post_loan_arrears", "overdue_listing")}
+    params = {k: v for k, v in P.items() if k != "employer_arrears_consecutive"}
     return R.findings(_t(spark, d), AUDIT_AS_OF, LEDGER_AS_OF, params)
 
 
@@ -409,3 +429,38 @@ def q_findings(spark, d):
 def q_high_score(spark, d):
     f = _findings(spark, d).where(F.col("score") > 80)
     return f.orderBy(F.col("score").desc(), "risk_type", "subject_id", "evidence").limit(20)
+
+
+@register("report_risk_by_type", S["report_risk_by_type"], "AU-19")
+def q_risk_by_type(spark, d):
+    return R.report(_findings(spark, d), "risk_type").orderBy(F.col("n").desc(), "risk_type")
+
+
+@register("loans_with_status", S["loans_with_status"], "AU-17")
+def q_loans_with_status(spark, d):
+    return R.loans_with_status(_t(spark, d), "%disb%")
+
+
+@register("withdrawals", S["withdrawals"], "AU-17")
+def q_withdrawals(spark, d):
+    return R.withdrawals(_t(spark, d), "%purch%")
+
+
+@register("frequent_withdrawals_subject", S["frequent_withdrawals_subject"], "FLT-2")
+def q_frequent_withdrawals_subject(spark, d):
+    return R.frequent_withdrawals(_t(spark, d), LEDGER_AS_OF, subject=7, **P["frequent_withdrawals"])
+
+
+@register("duplicate_collateral_subject", S["duplicate_collateral_subject"], "FLT-2")
+def q_duplicate_collateral_subject(spark, d):
+    return R.duplicate_collateral(_t(spark, d), subject=7)
+
+
+@register("pre_loan_surge_subject", S["pre_loan_surge_subject"], "FLT-2")
+def q_pre_loan_surge_subject(spark, d):
+    return R.pre_loan_surge(_t(spark, d), AUDIT_AS_OF, subject=3, **P["pre_loan_surge"])
+
+
+@register("overdue_listing_subject", S["overdue_listing_subject"], "FLT-2")
+def q_overdue_listing_subject(spark, d):
+    return R.overdue_listing(_t(spark, d), subject=7, **P["overdue_listing"])

@@ -70,6 +70,43 @@ def stats_zscore(spark, d):
     return ST.zscore(Catalog(spark, d).lineitem, "l_extendedprice", 1.5, by="l_returnflag")
 
 
+# keys with missing values: NULL is a group like any other
+_GAPS = "(SELECT CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS status, o_orderkey, o_orderdate, o_totalprice FROM orders)"
+
+
+def _gaps(spark, d):
+    return Catalog(spark, d).orders.selectExpr("CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS status", "o_orderkey",
+                                               "o_orderdate", "o_totalprice")
+
+
+@register("stats_summary_null_group", _SUMMARY.format(by="status, ", field="o_totalprice", table=_GAPS, group="GROUP BY status"),
+          "ANA-1/AG-6")
+def stats_summary_null_group(spark, d):
+    return _round_summary(ST.summary(_gaps(spark, d), "o_totalprice", by="status"))
+
+
+@register("stats_trend_null_group", f"""
+WITH r AS (SELECT status, o_totalprice AS x, row_number() OVER (PARTITION BY status ORDER BY o_orderdate, o_orderkey) - 1 AS pos,
+                  count(*) OVER (PARTITION BY status) AS n FROM {_GAPS}),
+h AS (SELECT status, avg(CASE WHEN pos < n // 2 THEN x END) AS a1, avg(CASE WHEN pos >= n // 2 THEN x END) AS a2
+      FROM r WHERE n >= 3 GROUP BY status)
+SELECT status, round(a1, 2) AS first_half_avg, round(a2, 2) AS second_half_avg, round(a2 - a1, 2) AS change,
+       round(CASE WHEN a1 <> 0 THEN (a2 - a1) / a1 * 100 ELSE 0.0 END, 2) AS change_percent,
+       CASE WHEN a2 - a1 > 0 THEN 'up' WHEN a2 - a1 < 0 THEN 'down' ELSE 'flat' END AS trend
+FROM h""", "ANA-2/WN-7")
+def stats_trend_null_group(spark, d):
+    return ST.trend(_gaps(spark, d), "o_totalprice", ["o_orderdate", "o_orderkey"], by="status")
+
+
+@register("stats_zscore_null_group", f"""
+WITH s AS (SELECT status, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd FROM {_GAPS} GROUP BY 1)
+SELECT o.*, round(abs((o_totalprice - m) / sd), 2) AS z_score, round(o_totalprice - m, 2) AS deviation
+FROM {_GAPS} o JOIN s ON o.status IS NOT DISTINCT FROM s.status
+WHERE sd > 0 AND abs((o_totalprice - m) / sd) > 1.5""", "ANA-3")
+def stats_zscore_null_group(spark, d):
+    return ST.zscore(_gaps(spark, d), "o_totalprice", 1.5, by="status")
+
+
 @register("stats_zscore_global", """
 WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd FROM orders)
 SELECT o.*, round(abs((o_totalprice - m) / sd), 2) AS z_score, round(o_totalprice - m, 2) AS deviation

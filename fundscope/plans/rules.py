@@ -7,10 +7,9 @@ DataFrame.  Top-k limits are optional (default: complete findings).
 Scale notes
 -----------
 * Rules that look at deposits inside a window around a loan first reduce
-  deposits to one row per (person, day).  The loan-to-deposit range join then
-  matches at most one row per calendar day in the window for each loan, however
-  many deposits a busy person has, so output grows with loans, not with
-  loans x deposits.
+  deposits to one row per (person, day) and loans to one weighted row per
+  (person, application day), so the range join matches days with days, however
+  many deposits and loans a busy person has.
 * "No deposit after the loan date" (a correlated NOT EXISTS with a range) is
   answered from each person's latest deposit date: one aggregate row per person.
 * Per-person ordering (dormant gaps) uses the range-partitioned neighbour
@@ -272,13 +271,15 @@ def account_opening_anomalies(t: AuditTables, as_of, subject=None, limit: int |
     aggregated before joining, so no join fan-out inflates them."""
     emp = _subject(t.employers.where(F.col("open_date") >= F.add_months(_d(as_of), -12)), "employer_id", subject)
     stats = emp.groupBy("employer_id").agg(F.count(F.lit(1)).alias("account_count"),
-                                           F.min("employer_name").alias("employer_name"))
+                                           F.min("employer_name").alias("employer_name"),
+                                           F.min("open_date").alias("first_open_date"),
+                                           F.max("open_date").alias("last_open_date"))
     dup_ids = (t.persons.where(F.col("id_number").isNotNull()).groupBy("id_number")
                .agg(F.count(F.lit(1)).alias("dup_count")).where(F.col("dup_count") > 1).select("id_number"))
     dup_members = (t.persons.join(dup_ids, "id_number").groupBy("employer_id")
                    .agg(F.count(F.lit(1)).alias("duplicate_person_count")))
     out = stats.join(dup_members, "employer_id", "left").select(
-        "employer_id", "employer_name", "account_count",
+        "employer_id", "employer_name", "account_count", "first_open_date", "last_open_date",
         F.coalesce(F.col("duplicate_person_count"), F.lit(0)).alias("duplicate_person_count"))
     out = out.where((F.col("account_count") > 1) | (F.col("duplicate_person_count") > 0))
     return _top(out, limit, F.col("duplicate_person_count").desc(), F.col("employer_id"))
@@ -288,16 +289,16 @@ def _daily_deposits(t: AuditTables, memo_patterns: Sequence[str], extra: dict |
     """One row per (person, day): deposit sum and count (plus optional conditional sums)."""
     aggs = [F.sum("amount").alias("day_sum"), F.count(F.lit(1)).alias("day_cnt")]
     for name, cond in (extra or {}).items():
-        aggs += [F.sum(F.when(cond, F.col("amount")).otherwise(0.0)).alias(f"{name}_sum"),
-                 F.count_if(cond).alias(f"{name}_cnt")]
+        aggs += [F.sum(F.when(cond, F.col("amount")).otherwise(0.0)).alias(f"{name}_sum")]
     return _deposit_filter(t.deposits, memo_patterns).groupBy("person_id", "dep_date").agg(*aggs)
 
 
 def _recent_loans(t: AuditTables, as_of, years: int = 1, status: str | None = None) -> DataFrame:
+    """One row per (person, application day), with the number of its loans as weight."""
     l = t.loans.where(F.col("apply_date") >= F.add_months(_d(as_of), -12 * years))
     if status:
         l = l.where(F.col("status") == status)
-    return l.select("loan_id", "person_id", "apply_date")
+    return l.groupBy("person_id", "apply_date").agg(F.count(F.lit(1)).alias("loans"))
 
 
 def _with_employer(df: DataFrame, t: AuditTables, subject) -> DataFrame:
@@ -320,9 +321,9 @@ def pre_loan_surge(t: AuditTables, as_of, min_increase: float = 0.5, subject=Non
     normal = F.col("dep_date") <= F.add_months(a, -6)
     recent = F.col("dep_date") >= F.add_months(a, -6)
     per = j.groupBy("person_id", "employer_id", "employer_name").agg(
-        F.try_divide(F.sum(F.when(normal, F.col("day_sum"))), F.sum(F.when(normal, F.col("day_cnt"))))
+        F.try_divide(F.sum(F.when(normal, F.col("day_sum") * F.col("loans"))), F.sum(F.when(normal, F.col("day_cnt") * F.col("loans"))))
          .alias("avg_normal"),
-        F.try_divide(F.sum(F.when(recent, F.col("day_sum"))), F.sum(F.when(recent, F.col("day_cnt"))))
+        F.try_divide(F.sum(F.when(recent, F.col("day_sum") * F.col("loans"))), F.sum(F.when(recent, F.col("day_cnt") * F.col("loans"))))
          .alias("avg_recent"))
     inc = F.try_divide(F.col("avg_recent") - F.col("avg_normal"), F.col("avg_normal"))
     per = per.where(F.col("avg_normal").isNotNull() & F.col("avg_recent").isNotNull() & (inc >= min_increase))
@@ -352,7 +353,7 @@ def makeup_arbitrage(t: AuditTables, as_of, multiple: float = 6.0, subject=None,
     j = loans.join(daily, (loans.person_id == daily.person_id)
                    & (daily.dep_date >= F.add_months(a, -12)) & (daily.dep_date <= a)).drop(daily.person_id)
     per = j.groupBy("person_id", "employer_id", "employer_name", "deposit_base").agg(
-        F.sum("makeup_sum").alias("total_makeup"), F.sum("makeup_cnt").alias("makeup_count"))
+        F.sum(F.col("makeup_sum") * F.col("loans")).alias("total_makeup"))
     per = per.where(F.col("total_makeup") > F.col("deposit_base") * multiple)
     out = per.groupBy("employer_id", "employer_name").agg(
         F.count(F.lit(1)).alias("arbitrage_person_count"),
@@ -395,6 +396,19 @@ def loans_above(t: AuditTables, min_amount: float, limit: int | None = None) ->
     return _top(out, limit, F.col("amount").desc(), F.col("loan_id"))
 
 
+def loans_with_status(t: AuditTables, status_like: str, limit: int | None = None) -> DataFrame:
+    """AU-17: loans whose status text matches a pattern, newest application first."""
+    out = t.loans.where(F.col("status").like(status_like)).select("loan_id", "person_id", "amount", "status", "apply_date")
+    return _top(out, limit, F.col("apply_date").desc(), F.col("loan_id"))
+
+
+def withdrawals(t: AuditTables, type_like: str, limit: int | None = None) -> DataFrame:
+    """AU-17: ledger rows whose type matches a pattern, newest first."""
+    out = t.ledger.where(F.col("trans_type").like(type_like)).select(
+        "ledger_id", "person_id", "trans_type", "trans_amount", "trans_ts", "abstract")
+    return _top(out, limit, F.col("trans_ts").desc(), F.col("ledger_id"))
+
+
 def accounts_by_status(t: AuditTables, status: str) -> DataFrame:
     """AU-17: accounts in a given status."""
     return t.persons.where(F.col("status") == status).select("person_id", "name", "employer_id", "balance")
@@ -434,8 +448,8 @@ def _finding(df: DataFrame, subject: str, subject_type: str, risk_type: str, lev
 
 
 def findings(t: AuditTables, as_of, ledger_as_of=None, params: dict | None = None) -> DataFrame:
-    """All rules as one long table ``subject_id, subject_type, risk_type, score, evidence``.
-    ``params`` maps a rule name to keyword arguments for that rule."""
+    """All rules (AU-1..16) as one long table ``subject_id, subject_type, risk_type, score, evidence``;
+    off-hours operations are counted per person.  ``params`` maps a rule name to keyword arguments for that rule."""
     p = params or {}
     la = ledger_as_of or as_of
     parts = [
@@ -459,5 +473,17 @@ def findings(t: AuditTables, as_of, ledger_as_of=None, params: dict | None = Non
                  "post_loan_arrears", "high", ["total_borrowers", "arrears_count"]),
         _finding(overdue_listing(t, **p.get("overdue_listing", {})), "loan_id", "loan", "overdue",
                  "low", ["overdue_seq", "overdue_days"]),
+        _finding(remote_withdrawals(t, la, **p.get("remote_withdrawals", {})), "person_id", "person",
+                 "remote_withdrawal", "medium", ["ledger_id"]),
+        _finding(high_base_before_application(t, as_of, **p.get("high_base_before_application", {})), "loan_id", "loan",
+                 "high_base_before_application", "low", ["person_id"]),
+        _finding(off_hours_summary(t, **p.get("off_hours_operations", {})), "person_id", "person",
+                 "off_hours", "low", ["night_count", "weekend_count"]),
+        _finding(account_opening_anomalies(t, as_of, **p.get("account_opening_anomalies", {})), "employer_id", "employer",
+                 "account_opening", "medium", ["account_count", "duplicate_person_count"]),
+        _finding(pre_loan_surge(t, as_of, **p.get("pre_loan_surge", {})), "employer_id", "employer",
+                 "pre_loan_surge", "high", ["surge_person_count"]),
+        _finding(makeup_arbitrage(t, as_of, **p.get("makeup_arbitrage", {})), "employer_id", "employer",
+                 "makeup_arbitrage", "high", ["arbitrage_person_count"]),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -78,7 +78,7 @@ def persons(cat: Catalog) -> DataFrame:
     return c.select(
         F.col("c_custkey").alias("person_id"),
         F.col("c_name").alias("name"),
-        F.col("c_nationkey").alias("employer_id"),
+        F.expr("c_custkey div 15").alias("employer_id"),
         F.concat(F.lit("ID"), F.floor(F.abs(F.col("c_acctbal"))).cast("bigint").cast("string")).alias("id_number"),
         (F.abs(F.col("c_acctbal")) / 8.0).alias("deposit_base"),
         F.col("c_acctbal").alias("balance"),
@@ -87,13 +87,14 @@ def persons(cat: Catalog) -> DataFrame:
 
 
 def employers(cat: Catalog) -> DataFrame:
-    n = cat.nation
-    return n.select(
-        F.col("n_nationkey").alias("employer_id"),
-        F.col("n_name").alias("employer_name"),
-        F.col("n_regionkey").alias("employer_type"),
-        F.date_add(F.lit("2000-09-01").cast("date"), (F.col("n_nationkey") * 15).cast("int")).alias("open_date"),
-        (F.lit(50) + F.col("n_nationkey") * 2).cast("int").alias("headcount"),
+    e = cat.supplier
+    k = F.col("s_suppkey")
+    return e.select(
+        k.alias("employer_id"),
+        F.col("s_name").alias("employer_name"),
+        F.col("s_nationkey").alias("employer_type"),
+        F.date_add(F.lit("1999-01-01").cast("date"), (k * 37 % 1000).cast("int")).alias("open_date"),
+        (F.lit(10) + k % 11).cast("int").alias("headcount"),
     )
 
 
@@ -195,16 +196,16 @@ SQL = {
          CASE WHEN l_returnflag = 'R' THEN '2' ELSE '1' END AS status
   FROM lineitem)""",
     "persons": """persons AS (
-  SELECT c_custkey AS person_id, c_name AS name, c_nationkey AS employer_id,
+  SELECT c_custkey AS person_id, c_name AS name, c_custkey // 15 AS employer_id,
          'ID' || CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR) AS id_number,
          abs(c_acctbal) / 8.0 AS deposit_base, c_acctbal AS balance,
          CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'frozen' ELSE 'normal' END AS status
   FROM customer)""",
     "employers": """employers AS (
-  SELECT n_nationkey AS employer_id, n_name AS employer_name, n_regionkey AS employer_type,
-         CAST(DATE '2000-09-01' + CAST(n_nationkey * 15 AS INTEGER) AS DATE) AS open_date,
-         CAST(50 + n_nationkey * 2 AS INTEGER) AS headcount
-  FROM nation)""",
+  SELECT s_suppkey AS employer_id, s_name AS employer_name, s_nationkey AS employer_type,
+         CAST(DATE '1999-01-01' + CAST(s_suppkey * 37 % 1000 AS INTEGER) AS DATE) AS open_date,
+         CAST(10 + s_suppkey % 11 AS INTEGER) AS headcount
+  FROM supplier)""",
     "deposits": """deposits AS (
   SELECT o_orderkey AS deposit_id, o_custkey AS person_id, CAST(o_orderdate AS DATE) AS dep_date,
          o_totalprice / 64.0 AS amount,
