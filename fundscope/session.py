@@ -1,10 +1,7 @@
-"""Session construction and cluster-safe scratch locations."""
+"""Session construction."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import SparkSession
 
 # Defaults for a session this library creates itself (tests, bench).  A session
@@ -31,39 +28,4 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the launcher sets this to shared storage; we only set our own
-    (a fresh folder under ``fallback`` or /tmp) when nothing is configured,
-    which is the local-test case.
-    """
-    cur = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if cur:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(cur)
-        return cur
-    base = fallback or "/tmp"
-    path = os.path.join(base, f"fundscope-ckpt-{uuid.uuid4().hex[:8]}")
-    try:
-        spark.conf.set("spark.checkpoint.dir", path)
-    except Exception:  # core conf may be read-only at runtime; the context dir is what counts
-        pass
-    sc.setCheckpointDir(path)
-    return path
-
-
-def pin(df):
-    """Reliable checkpoint into the shared checkpoint folder (eager).
-
-    Used where two branches of one plan must see the *same* values of a
-    physical property (e.g. ``spark_partition_id()`` after a range exchange):
-    re-running the exchange per branch could sample different range bounds.
-    Also cuts lineage, so a lost executor recomputes from the checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

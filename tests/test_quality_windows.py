@@ -133,3 +133,18 @@ def test_neighbour_large_partial_sampling(spark):
     r = ST.global_rank(df, ["g"], ["v"], num_partitions=32)
     refr = df.withColumn("_pos", F.row_number().over(Window.partitionBy("g").orderBy("v")) - 1)
     assert r.exceptAll(refr).count() == 0
+
+
+def test_neighbour_order_types(spark):
+    """Ranges of text, dates, times and mostly equal values; NULL groups and NULL order values."""
+    rows = spark.range(4000).selectExpr(
+        "CASE WHEN id % 5 > 0 THEN id % 2 END AS g", "id AS tie", "concat('k', id * 7919 % 1009) AS s",
+        "date_add(DATE'2020-01-01', cast(id % 700 AS int)) AS d", "timestamp_ntz'2020-01-01' + make_interval(0,0,0,0,0,0,id*31%997) AS t",
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 1.5 ELSE id * 0.5 END AS x", "id % 2 = 0 AS b")
+    for order in "sdtxb":
+        df = rows.select("g", order, "tie")
+        for groups in (["g"], []):
+            mine = neighbour(df, groups, [order], ["tie"], num_partitions=9)
+            w = Window.partitionBy(*groups).orderBy(order, *(["tie"] if groups else ["g", "tie"]))
+            ref = df.withColumn("lag_tie", F.lag("tie").over(w))
+            assert sorted(map(str, mine.collect())) == sorted(map(str, ref.collect())), (order, groups)
