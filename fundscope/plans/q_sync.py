@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import tables as TB
+from ..session import written_table_dir
 from ..sources import adapters as A
 from ..sources import sync as SY
 from ..sources.tables import Catalog
+from ..streaming import jobs as J
 from . import medallion as M
 from .registry import register
 
@@ -125,17 +128,165 @@ def sync_candidates(spark, d):
     return SY.incremental_candidates(Catalog(spark, d).events)
 
 
+# bounds are approximate quantiles: that every row is in the chunk whose bounds hold it, that chunks follow one another and
+# that none holds twice its share are the answers that do not depend on them
 @register("sync_key_ranges", A.with_ctes("raw_repayments") + """
-SELECT count(*) AS total_rows, count(*) AS assigned_rows, CAST(1 AS BIGINT) AS max_chunks_per_row,
+SELECT count(*) AS total_rows, count(*) AS assigned_rows, CAST(0 AS BIGINT) AS misplaced_rows, true AS chunks_are_balanced,
        count(*) FILTER (WHERE actual_date IS NULL) AS null_key_rows
 FROM raw_repayments""", "SRC-1/SRC-2/SRC-3")
 def sync_key_ranges(spark, d):
-    rp = A.raw_repayments(Catalog(spark, d)).withColumn("_rid", F.monotonically_increasing_id())
-    ranges = SY.key_ranges(rp, "actual_date", 8)
-    tagged = SY.assign_chunks(rp, "actual_date", ranges)
-    per_row = tagged.groupBy("_rid").agg(F.count(F.lit(1)).alias("k"),
-                                         F.max(F.col("actual_date").isNull().cast("int")).alias("is_null"))
-    total = rp.agg(F.count(F.lit(1)).alias("total_rows"))
-    got = per_row.agg(F.count(F.lit(1)).alias("assigned_rows"), F.max("k").alias("max_chunks_per_row"),
-                      F.count_if(F.col("is_null") == 1).alias("null_key_rows"))
-    return total.crossJoin(got)
+    rp = A.raw_repayments(Catalog(spark, d)).select("actual_date")
+    ranges = SY.key_ranges(rp, "actual_date", 8).cache()
+    k, low, high = F.col("actual_date"), F.col("lower_exclusive"), F.col("upper_inclusive")
+    inside = F.when(F.col("is_null_range"), k.isNull()).otherwise(
+        k.isNotNull() & F.coalesce(k > low, F.lit(True)) & F.coalesce(k <= high, F.lit(True)))
+    per = (SY.assign_chunks(rp, "actual_date", ranges).join(ranges, "chunk_id", "left")
+           .groupBy("chunk_id", "is_null_range").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("bad")))
+    total = rp.agg(F.count(F.lit(1)).alias("total_rows"), F.count("actual_date").alias("keyed"))
+    got = per.agg(F.sum("n").alias("assigned_rows"), F.sum("bad").alias("misplaced_rows"),
+                  F.max(F.when(~F.col("is_null_range"), F.col("n"))).alias("largest"),
+                  F.coalesce(F.sum(F.when(F.col("is_null_range"), F.col("n"))), F.lit(0)).alias("null_key_rows"))
+    return total.crossJoin(got).select("total_rows", "assigned_rows", "misplaced_rows",
+                                       (F.col("largest") * 8 <= F.col("keyed") * 2).alias("chunks_are_balanced"), "null_key_rows")
+
+
+# ---------------------------------------------------------------- written tables
+def _copied(spark, d):
+    """Orders with their dictionary, customers with one that does not hold: the copies' root and the report."""
+    cat, root = Catalog(spark, d), written_table_dir(spark, "copy")
+    report = SY.copy_tables(spark, {"orders": cat.orders, "customer": cat.customer, "none": cat.orders.limit(0)}, root, {
+        "orders": {"o_orderkey": ("NUMBER", 18, 0), "o_totalprice": ("NUMBER", 16, 2)}, "customer": {"c_name": ("NUMBER", 9, 0)}})
+    return root, report
+
+
+@register("sync_copy", """
+SELECT 'orders' AS table_name, 'typed' AS mode, count(*) AS row_count FROM orders
+UNION ALL SELECT 'customer', 'string', count(*) FROM customer UNION ALL SELECT 'none', 'skipped', 0""", "SRC-6")
+def sync_copy(spark, d):
+    return _copied(spark, d)[1]
+
+
+@register("sync_migration_check", """
+SELECT 'orders' AS table_name, count(*) AS source_count, count(*) AS target_count, CAST(0 AS BIGINT) AS difference,
+       CAST(0 AS DOUBLE) AS error_rate, 'success' AS status FROM orders
+UNION ALL
+SELECT 'customer', count(*), count(*), 0, 0, 'success' FROM customer""", "SYNC-7")
+def sync_migration_check(spark, d):
+    root, report = _copied(spark, d)
+    cat = Catalog(spark, d)
+    return SY.reconcile(SY.table_counts({"orders": cat.orders, "customer": cat.customer}), report, tolerance=0.0)
+
+
+@register("sync_source_types", """
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, TRY_CAST(o_orderstatus AS SMALLINT) AS o_orderstatus,
+       CAST(o_totalprice AS DECIMAL(16, 2)) AS o_totalprice, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderdate, o_orderpriority
+FROM orders""", "SRC-5")
+def sync_source_types(spark, d):
+    return SY.apply_source_schema(Catalog(spark, d).orders, {
+        "o_orderkey": ("NUMBER", 18, 0), "o_orderstatus": ("NUMBER", 4, 0), "o_totalprice": ("NUMBER", 16, 2),
+        "o_custkey": ("NUMBER", 9, 0), "o_orderdate": ("DATE",), "o_orderpriority": ("VARCHAR2",)})
+
+
+@register("sync_replace", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders", "SNK-1")
+def sync_replace(spark, d):
+    o, path = Catalog(spark, d).orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), written_table_dir(spark, "replaced")
+    SY.overwrite(o.where("o_orderstatus = 'F'"), path)
+    SY.overwrite(o, path, ["o_orderstatus"])
+    return spark.read.parquet(path)
+
+
+@register("sync_files", """
+SELECT 'customer.csv' AS file_name, 'customer' AS target_table, count(*) AS total_rows,
+       count(*) FILTER (WHERE c_custkey % 10 <> 0) AS success_rows, count(*) FILTER (WHERE c_custkey % 10 = 0) AS failed_rows,
+       'done' AS status, CAST(NULL AS VARCHAR) AS error_message
+FROM customer""", "SRC-7/SRC-9")
+def sync_files(spark, d):
+    path = written_table_dir(spark, "csv")
+    Catalog(spark, d).customer.selectExpr("c_custkey", "CASE WHEN c_custkey % 10 = 0 THEN 'oops' ELSE CAST(c_acctbal AS STRING) END AS c_acctbal") \
+        .write.csv(path, header=True)
+    rows = SY.read_files(spark, path, "csv", T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_acctbal", T.DoubleType())]),
+                         header="true")
+    good, seen = SY.ingest_with_report(rows, "customer")
+    good.write.parquet(written_table_dir(spark, "ingested"))
+    return SY.import_history_row(spark, "customer.csv", "customer", seen.get).drop("created_at")
+
+
+@register("sync_table_profile", """
+SELECT 'orders' AS table_name, count(*) AS row_count, CAST(6 AS INTEGER) AS n_columns, 'o_orderkey' AS key_column,
+       count(*) = count(DISTINCT o_orderkey) AS key_is_unique, 'o_orderdate' AS cursor_candidates
+FROM orders""", "SYNC-2")
+def sync_table_profile(spark, d):
+    p = SY.table_profile(Catalog(spark, d).orders, "orders")
+    return p.select("table_name", "row_count", "n_columns", "key_column", "key_is_unique", F.concat_ws(",", "cursor_candidates").alias("cursor_candidates"))
+
+
+@register("sync_initial_cursor", "SELECT * FROM events WHERE ts > TIMESTAMP '2020-01-01 00:00:00'", "SYNC-1")
+def sync_initial_cursor(spark, d):
+    return SY.incremental(Catalog(spark, d).events, "ts", None)
+
+
+@register("union_matching", """
+SELECT 'parts_orders_f' AS _dbt_source_relation, o_orderkey, o_totalprice, CAST(NULL AS VARCHAR) AS o_orderpriority FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'parts_orders_o', o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'""", "SET-2")
+def union_matching(spark, d):
+    o = Catalog(spark, d).orders
+    o.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice").createOrReplaceTempView("parts_orders_f")
+    o.where("o_orderstatus <> 'F'").select("o_orderkey", "o_totalprice", "o_orderpriority").createOrReplaceTempView("parts_orders_o")
+    o.createOrReplaceTempView("parts_orders_old")
+    return TB.union_matching(spark, "parts_orders_%", exclude="%_old")
+
+
+@register("materialised_layer", A.with_ctes("raw_contracts") + """
+SELECT status, count(*) AS n, round(sum(loan_amt), 2) AS total FROM raw_contracts GROUP BY status""", "MD-8")
+def materialised_layer(spark, d):
+    stored = M.materialise(A.raw_contracts(Catalog(spark, d)), written_table_dir(spark, "layer"))
+    return stored.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("loan_amt"), 2).alias("total"))
+
+
+# ---------------------------------------------------------------- streams over a written copy of events
+def _event_files(spark, d):
+    path = written_table_dir(spark, "events")
+    Catalog(spark, d).events.select(*J.LEDGER_SCHEMA.names).repartition(4).write.parquet(path)
+    return path
+
+
+def _run_stream(spark, rows):
+    out = written_table_dir(spark, "stream")
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", written_table_dir(spark, "progress")) \
+        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@register("stream_upsert", """
+SELECT event_id, ts, user_id, event_type, value, props FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""", "STR-1")
+def stream_upsert(spark, d):
+    root = written_table_dir(spark, "upserted")
+    J.upsert_stream(spark, _event_files(spark, d), J.LEDGER_SCHEMA, root, ["user_id"], "ts", written_table_dir(spark, "progress"),
+                    max_files_per_trigger=2).awaitTermination()
+    return J.read_table(spark, root, J.LEDGER_SCHEMA)
+
+
+@register("stream_off_hours", A.with_ctes("ledger") + """
+SELECT ledger_id, person_id, trans_type, trans_amount, trans_ts FROM ledger
+WHERE hour(trans_ts) < 8 OR hour(trans_ts) > 22 OR dayofweek(trans_ts) IN (0, 6)""", "STR-2")
+def stream_off_hours(spark, d):
+    events = spark.readStream.schema(J.LEDGER_SCHEMA).parquet(_event_files(spark, d))
+    return _run_stream(spark, J.off_hours_stream(events)).select("ledger_id", "person_id", "trans_type", "trans_amount", "trans_ts")
+
+
+@register("stream_daily_withdrawals", """
+WITH p AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day_start, user_id, value, ts FROM events WHERE event_type = 'purchase')
+SELECT day_start, user_id AS person_id, count(*) AS times, round(sum(value), 4) AS total_amount FROM p
+WHERE day_start + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM p) GROUP BY 1, 2""",
+          "STR-3")
+def stream_daily_withdrawals(spark, d):
+    events = spark.readStream.schema(J.LEDGER_SCHEMA).parquet(_event_files(spark, d))
+    return _run_stream(spark, J.daily_withdrawals_stream(events)).withColumn("total_amount", F.round("total_amount", 4))
+
+
+@register("stream_event_dedupe", "SELECT DISTINCT user_id AS subject_id, event_type AS risk_type FROM events", "STR-4")
+def stream_event_dedupe(spark, d):
+    events = spark.readStream.schema(J.LEDGER_SCHEMA).parquet(_event_files(spark, d)).selectExpr(
+        "user_id AS subject_id", "event_type AS risk_type", "ts AS created_at")
+    return _run_stream(spark, J.dedupe_events_stream(events)).select("subject_id", "risk_type")

@@ -120,8 +120,7 @@ SELECT CAST(generated_number AS INTEGER) AS generated_number, coalesce(c.n, 0) A
 FROM s LEFT JOIN c ON s.generated_number = c.l_linenumber""", "RSH-1")
 def q_series(spark, d):
     li = Catalog(spark, d).lineitem
-    s = li.agg(F.max("l_linenumber").alias("m")).select(
-        F.explode(F.sequence(F.lit(1), F.col("m"))).alias("generated_number"))
+    s = TB.series(spark, li.agg(F.max("l_linenumber")).first()[0]).withColumn("generated_number", F.col("generated_number").cast("int"))
     c = li.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
     return (s.join(c, s.generated_number == c.l_linenumber, "left")
             .select("generated_number", F.coalesce(F.col("n"), F.lit(0)).alias("n_lines")))

@@ -1,7 +1,10 @@
-"""Session construction."""
+"""Session construction and folders for written tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Defaults for a session this library creates itself (tests, bench).  A session
@@ -29,3 +32,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def written_table_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, as named by ``spark.checkpoint.dir``.
+
+    A local session without the setting gets a temporary folder; on a cluster that would be invisible to the
+    other machines, so the call is refused there."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

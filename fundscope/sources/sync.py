@@ -105,15 +105,13 @@ def range_predicate(key: Column, lower, upper, is_null: bool) -> Column:
 
 
 def assign_chunks(df: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
-    """Tag each row with its chunk.  ``ranges`` has n+1 rows (bounded by the
-    requested chunk count), so it is broadcast."""
-    r = F.broadcast(ranges)
-    k = F.col(key)
-    cond = ((F.col("is_null_range") & k.isNull())
-            | (~F.col("is_null_range") & k.isNotNull()
-               & (F.col("lower_exclusive").isNull() | (k > F.col("lower_exclusive")))
-               & (F.col("upper_inclusive").isNull() | (k <= F.col("upper_inclusive")))))
-    return df.join(r, cond, "inner").drop("lower_exclusive", "upper_inclusive", "is_null_range")
+    """Tag each row with its chunk.  The bounds (n values, in one broadcast row) are searched by halves in the row."""
+    bounds = F.broadcast(ranges.where(~F.col("is_null_range")).agg(F.array_sort(F.collect_list("upper_inclusive")).alias("_b")))
+    k, last = F.col(key), F.size("_b")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(31))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.coalesce((step <= last - at) & (F.get(F.col("_b"), at + step - 1) < k), F.lit(False)), at + step).otherwise(at))
+    return df.crossJoin(bounds).select(*df.columns, F.when(k.isNull(), last + 1).otherwise(found).alias("chunk_id"))
 
 
 def sql_literal(value) -> str:
@@ -158,10 +156,17 @@ def read_jdbc_ranges(spark: SparkSession, url: str, table: str, key: str, bounda
 
 
 # ---------------------------------------------------------------- SYNC-1 incremental
+# Fixed value: where a table without a cursor starts, if its incremental column is a date or a time.
+INITIAL_CURSOR = "2020-01-01"
+
+
 def incremental(df: DataFrame, inc_col: str, last_value) -> DataFrame:
-    """Rows with ``inc_col > last_value`` (open lower bound; pushed to the scan)."""
+    """Rows with ``inc_col > last_value`` (open lower bound; pushed to the scan).  Without a last value
+    dates and times start after ``INITIAL_CURSOR``; other columns are read whole."""
     if last_value is None:
-        return df
+        if not _is_incremental_type(df.schema[inc_col].dataType)[1]:
+            return df
+        last_value = INITIAL_CURSOR
     lit = F.lit(last_value).cast(df.schema[inc_col].dataType)
     return df.where(F.col(inc_col) > lit)
 
@@ -185,17 +190,26 @@ def advance_state(state: DataFrame, cursors: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- SNK-1/2/3 sinks
 def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order_col: str | None = None) -> DataFrame:
-    """Merge on primary key: for each key keep the row with the greatest
-    ``order_col``; on ties (or with no order column) the delta row wins."""
+    """Merge on primary key: the delta's row with the greatest ``order_col`` per key replaces the base row
+    unless that one is later; without an order column the delta wins.  ``base`` has one row per key, as
+    earlier merges leave it.  Only the delta is aggregated; NULL keys equal NULL keys, a NULL order value is least."""
     keys = list(keys)
     cols = base.columns
-    both = (base.select(*cols, F.lit(0).alias("_is_delta"))
-            .unionByName(delta.select(*cols, F.lit(1).alias("_is_delta"))))
-    rank = F.struct(*([F.col(order_col)] if order_col else []), F.col("_is_delta"),
-                    *[F.col(c) for c in cols if c not in keys and c != order_col])
-    payload = F.struct(*[F.col(c) for c in cols if c not in keys])
-    agg = both.groupBy(*keys).agg(F.max_by(payload, rank).alias("_row"))
-    return agg.select(*keys, "_row.*").select(*cols)
+    rest = [c for c in cols if c not in keys]
+    rank = F.struct(*([F.col(order_col)] if order_col else []), *[F.col(c) for c in rest if c != order_col])
+    last = delta.select(*cols).groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_new"))
+    last = last.select(*[F.col(k).alias(f"_new_{k}") for k in keys], "_new", F.lit(True).alias("_in_delta"))
+    old = base.select(*cols, F.lit(True).alias("_in_base"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+    j = old.join(last, same, "full")
+    new = F.col("_in_base").isNull()
+    if order_col:
+        later = F.coalesce(F.col(order_col) > F.col(f"_new.{order_col}"), F.col(order_col).isNotNull() & F.col(f"_new.{order_col}").isNull())
+        new = new | (F.col("_in_delta").isNotNull() & ~later)
+    else:
+        new = new | F.col("_in_delta").isNotNull()
+    return j.select(*[(F.when(new, F.col(f"_new_{c}")) if c in keys else F.when(new, F.col(f"_new.{c}")))
+                      .otherwise(F.col(c)).alias(c) for c in cols])
 
 
 def write_upsert(spark: SparkSession, base_path: str, delta: DataFrame, keys: Sequence[str], order_col: str | None,
@@ -262,6 +276,10 @@ def reconcile_summary(results: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- SRC-6 copy
+# Error classes of a value that does not fit its declared type.
+CONVERSION_ERRORS = ("CAST_INVALID_INPUT", "CAST_OVERFLOW", "NUMERIC_VALUE_OUT_OF_RANGE", "DATATYPE_MISMATCH")
+
+
 def copy_tables(spark: SparkSession, tables: Mapping[str, DataFrame], out_root: str,
                 dictionaries: Mapping[str, Mapping[str, tuple]] | None = None,
                 skip_empty: bool = True) -> DataFrame:
@@ -284,7 +302,9 @@ def copy_tables(spark: SparkSession, tables: Mapping[str, DataFrame], out_root:
         try:
             typed.write.mode("overwrite").parquet(path)
             modes.append((name, "typed"))
-        except Exception:  # type conversion failure: fall back to text columns
+        except Exception as e:
+            if not any(kind in str(e) for kind in CONVERSION_ERRORS):
+                raise  # a full disk or a lost executor is no reason to give up the types
             df.select([F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]) \
                 .write.mode("overwrite").parquet(path)
             modes.append((name, "string"))
@@ -297,22 +317,28 @@ def copy_tables(spark: SparkSession, tables: Mapping[str, DataFrame], out_root:
         "table_name", "mode", F.coalesce("row_count", F.lit(0)).alias("row_count"))
 
 
-def table_profile(df: DataFrame, table_name: str) -> DataFrame:
-    """One row: row count (aggregate), bytes and number of input files (file
-    metadata, no data read), column count and names."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    size = 0
-    if files:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for f in files:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            size += p.getFileSystem(conf).getFileStatus(p).getLen()
-    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.lit(table_name).alias("table_name"), "row_count", F.lit(size).cast("long").alias("size_bytes"),
-        F.lit(len(files)).alias("n_files"), F.lit(len(df.columns)).alias("n_columns"),
-        F.array(*[F.lit(c) for c in df.columns]).alias("columns"))
+def table_profile(df: DataFrame, table_name: str, key: str | None = None) -> DataFrame:
+    """One row: row count, column count and names, key column (given, else the first column that ends in
+    ``key`` or ``id``), whether it is unique and not NULL, cursor candidates, best first, and the bytes and
+    number of files read, from the scan's own file metadata."""
+    key = key or next((c for c in df.columns if c.lower().endswith(("key", "id"))), None)
+    shape = df.agg(F.count(F.lit(1)).alias("row_count"))
+    if key:
+        k = df.groupBy(F.col(f"`{key}`").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        unique = k.agg(F.coalesce(F.bool_and((F.col("n") == 1) & F.col("k").isNotNull()), F.lit(True)).alias("key_is_unique"))
+    else:
+        unique = shape.select(F.lit(False).alias("key_is_unique"))
+    cand = incremental_candidates(df).agg(F.transform(F.sort_array(F.collect_list(F.struct(
+        (-F.col("score")).alias("s"), (-F.col("non_null_pct")).alias("p"), "column_name"))), lambda c: c["column_name"])
+        .alias("cursor_candidates"))  # at most five rows
+    if df.inputFiles():
+        files = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).groupBy("f").agg(
+            F.max("b").alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("size_bytes"), F.count(F.lit(1)).cast("int").alias("n_files"))
+    else:
+        files = shape.select(F.lit(0).cast("bigint").alias("size_bytes"), F.lit(0).alias("n_files"))
+    return shape.crossJoin(unique).crossJoin(cand).crossJoin(files).select(
+        F.lit(table_name).alias("table_name"), "row_count", "size_bytes", "n_files", F.lit(len(df.columns)).alias("n_columns"),
+        F.array(*[F.lit(c) for c in df.columns]).alias("columns"), F.lit(key).alias("key_column"), "key_is_unique", "cursor_candidates")
 
 
 # ---------------------------------------------------------------- SYNC-2/3 profile
