@@ -2,8 +2,8 @@
 
 One ``encode`` function feeds both training and scoring.  Model selection uses
 ``CrossValidator`` (3 folds, F1 of the positive class); the boosted-tree
-stand-in is GBT.  Threshold search bins scores before cumulative sums, so its
-cost does not grow with distinct score values.  Risk events are appended with
+stand-in is GBT.  Threshold search counts equal scores first and takes prefix sums over
+ranges of the distinct ones, so it is exact.  Risk events are appended with
 in-batch dedupe plus an anti join against open events, all as joins and
 aggregates.
 """
@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
+from ..operators.stats import global_rank
 from .rules import AuditTables
 
 # Category codes and defaults used by the feature encoding.
@@ -151,10 +152,16 @@ def validate_applications(df: DataFrame, occupations: Sequence[str] = VALID_OCCU
 
 
 # ---------------------------------------------------------------- ML-1 split
+def hash_bucket(key: str, seed: int, buckets: int) -> Column:
+    """A bucket by the key's MD5: the same on any cluster, and in any engine."""
+    digest = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(seed)).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets).cast("int")
+
+
 def split(df: DataFrame, key: str, test_pct: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Deterministic train/test split by a hash of the key (stable across runs
     and cluster sizes, unlike a random split of re-read data)."""
-    b = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    b = hash_bucket(key, seed, 100)
     return df.where(b >= test_pct), df.where(b < test_pct)
 
 
@@ -167,16 +174,31 @@ def class_weights(df: DataFrame, label: str = "target_label", weight_col: str =
 
 
 # ---------------------------------------------------------------- ML-2..8
-def _estimators(label: str, weight_col: str, seed: int):
-    lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight_col, maxIter=50)
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol=weight_col, seed=seed)
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol=weight_col, seed=seed, maxIter=20)
-    grids = {
-        "logistic_regression": (lr, ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01]).build()),
-        "random_forest": (rf, ParamGridBuilder().addGrid(rf.numTrees, [50]).addGrid(rf.maxDepth, [5, 8]).build()),
-        "gbt": (gbt, ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).build()),
-    }
-    return grids
+# The search space.  C is the inverse of the regularisation of the summed loss; a depth without
+# limit is the deepest that Spark grows.
+GRID = {
+    "logistic_regression": {"C": (0.1, 1, 10)},
+    "random_forest": {"numTrees": (50, 100, 200), "maxDepth": (10, 20, 30)},
+    "gbt": {"maxIter": (50, 100, 200), "maxDepth": (4, 6, 8), "stepSize": (0.01, 0.05, 0.1)},
+}
+RISK_TYPE_TREES = 100
+
+
+def _estimator(name: str, space: dict, rows: int, label: str, seed: int):
+    common = dict(featuresCol="features", labelCol=label, weightCol="class_weight")
+    if name == "logistic_regression":
+        est = LogisticRegression(maxIter=200, **common)
+        space = {"regParam": [1.0 / (c * max(rows, 1)) for c in space["C"]]}
+    elif name == "random_forest":
+        est = RandomForestClassifier(seed=seed, **common)
+    elif name == "gbt":
+        est = GBTClassifier(seed=seed, **common)
+    else:
+        raise ValueError(f"no model {name!r}")
+    grid = ParamGridBuilder()
+    for param, values in space.items():
+        grid = grid.addGrid(est.getParam(param), list(values))
+    return est, grid.build()
 
 
 def f1_evaluator(label: str) -> MulticlassClassificationEvaluator:
@@ -185,19 +207,19 @@ def f1_evaluator(label: str) -> MulticlassClassificationEvaluator:
 
 
 def fit_models(train: DataFrame, label: str = "target_label", features: Sequence[str] = FEATURES,
-               models: Sequence[str] = ("logistic_regression", "random_forest", "gbt"), folds: int = 3,
+               grid: Mapping[str, Mapping[str, Sequence]] = GRID, key: str = "contract_id", folds: int = 3,
                seed: int = 42, parallelism: int = 2) -> dict:
-    """Grid search with k-fold CV (F1 of class 1) per model type, with balanced
-    class weights.  Returns {name: fitted PipelineModel}."""
-    weighted = class_weights(train, label)
-    grids = _estimators(label, "class_weight", seed)
-    out = {}
-    for name in models:
-        est, grid = grids[name]
-        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=f1_evaluator(label), numFolds=folds,
-                            seed=seed, parallelism=parallelism)
-        pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), cv])
-        out[name] = pipe.fit(weighted)
+    """Grid search with k-fold CV (F1 of class 1) per model type of ``grid``, with balanced
+    class weights and folds by a hash of ``key``.  Returns {name: fitted PipelineModel}.
+    ``train`` is read once per fit: pass a written table, not a plan of joins."""
+    fold = hash_bucket(key, seed + 1, folds).alias("_fold")
+    weighted = class_weights(train, label).select("*", fold)
+    rows, out = train.count(), {}
+    for name, space in grid.items():
+        est, points = _estimator(name, dict(space), rows, label, seed)
+        cv = CrossValidator(estimator=est, estimatorParamMaps=points, evaluator=f1_evaluator(label), numFolds=folds,
+                            foldCol="_fold", parallelism=parallelism)
+        out[name] = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), cv]).fit(weighted)
     return out
 
 
@@ -209,13 +231,41 @@ def score(model, df: DataFrame, name: str = "model") -> DataFrame:
                     .alias("predicted_label"), F.array_max(prob).alias("confidence"), F.lit(name).alias("model"))
 
 
-def ensemble(scored: Sequence[DataFrame], id_col: str, label: str = "target_label") -> DataFrame:
-    """Soft voting: mean of the models' default probabilities per row."""
-    parts = [s.select(id_col, label, F.col("probability_default").alias(f"_p{i}")) for i, s in enumerate(scored)]
-    j = reduce(lambda a, b: a.join(b.drop(label), id_col), parts)
-    p = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(parts))]) / len(parts)
-    return j.select(id_col, label, p.alias("probability_default"),
-                    (p >= 0.5).cast("int").alias("predicted_label"))
+def score_all(models: Mapping[str, object], df: DataFrame) -> DataFrame:
+    """One pass over ``df``: the default probability of each model as ``p_<name>`` and their mean as ``p_ensemble``."""
+    out = df
+    for name, model in models.items():
+        keep = out.columns
+        out = model.transform(out).select(*keep, vector_to_array(F.col("probability"))[1].alias(f"p_{name}"))
+    return ensemble(out, [f"p_{n}" for n in models])
+
+
+def ensemble(df: DataFrame, prob_cols: Sequence[str], name: str = "p_ensemble") -> DataFrame:
+    """Soft voting: the mean of the models' default probabilities per row."""
+    return df.withColumn(name, reduce(lambda a, b: a + b, [F.col(c) for c in prob_cols]) / len(prob_cols))
+
+
+def choose_model(scored: DataFrame, names: Sequence[str], label: str = "target_label") -> DataFrame:
+    """One row: the single model of best F1 at 0.5 (the first of equals), or ``ensemble`` if its F1 is better; then the
+    threshold that maximises the chosen one's F1, and the report of class 1 at that threshold.
+
+    ``scored`` has ``p_<name>`` columns, of ``ensemble`` too."""
+    every = [*names, "ensemble"]
+    y = F.col(label) == 1
+
+    def f1(p: str) -> Column:  # 2 tp / (2 tp + fp + fn)
+        hit, tp = F.col(p) >= 0.5, F.count_if((F.col(p) >= 0.5) & y)
+        return F.coalesce(F.try_divide(2.0 * tp, F.count_if(hit) + F.count_if(y)), F.lit(0.0))
+
+    f1s = scored.agg(*[f1(f"p_{n}").alias(n) for n in every]).first().asDict()
+    best = max(names, key=lambda n: f1s[n])
+    chosen = "ensemble" if f1s["ensemble"] > f1s[best] else best
+    top = best_threshold(scored, f"p_{chosen}", label)
+    at = scored.crossJoin(F.broadcast(top.select("threshold")))  # one row
+    report = classification_report(at.withColumn("predicted_label", (F.col(f"p_{chosen}") >= F.col("threshold")).cast("int")), label)
+    return report.where(F.col("class") == 1).crossJoin(F.broadcast(top.select("threshold"))).select(
+        F.lit(chosen).alias("model"), F.round(F.lit(f1s[chosen]), 6).alias("f1_at_half"), "threshold", "f1", "precision", "recall",
+        "accuracy", "support")
 
 
 def classification_report(scored: DataFrame, label: str = "target_label", pred: str = "predicted_label") -> DataFrame:
@@ -240,23 +290,20 @@ def classification_report(scored: DataFrame, label: str = "target_label", pred:
     return rows[0].unionByName(rows[1])
 
 
-def best_threshold(scored: DataFrame, prob_col: str = "probability_default", label: str = "target_label",
-                   bins: int = 10000) -> DataFrame:
-    """Threshold maximising F1 on the precision/recall curve.  Scores are binned
-    (``bins`` buckets) so the cumulative sums run over a table whose size is
-    bounded by ``bins``; candidate thresholds are the bin lower edges."""
-    b = F.floor(F.col(prob_col) * bins).cast("long")
-    per = scored.groupBy(b.alias("bin")).agg(F.count_if(F.col(label) == 1).alias("pos"),
-                                              F.count_if(F.col(label) != 1).alias("neg"))
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tot = per.agg(F.sum("pos").alias("P"))
-    cum = per.select("bin", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp")).crossJoin(tot)
-    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    rec = safe_divide(F.col("tp").cast("double"), F.col("P").cast("double"))
-    f1 = safe_divide(2 * prec * rec, prec + rec)
-    c = cum.select((F.col("bin") / bins).alias("threshold"), F.round(prec, 6).alias("precision"),
-                   F.round(rec, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+def best_threshold(scored: DataFrame, prob_col: str = "probability_default", label: str = "target_label") -> DataFrame:
+    """The score that, as threshold (score >= threshold is class 1), maximises F1; the largest of equals.
+    Equal scores are counted first; the counts below each score are prefix sums over ranges of the distinct scores."""
+    per = scored.where(F.col(prob_col).isNotNull()).groupBy(F.col(prob_col).alias("threshold")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
+    below = global_rank(per, [], ["threshold"], "_below", weight=F.col("n"))
+    below = global_rank(below, [], ["threshold"], "_pos_below", weight=F.col("pos"))
+    tot = per.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("_all_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("_all"))
+    c = below.crossJoin(F.broadcast(tot))
+    all_pos = F.col("_all_pos")
+    tp, hit = all_pos - F.col("_pos_below"), F.col("_all") - F.col("_below")
+    f1 = safe_divide(2.0 * tp, (hit + all_pos).cast("double"))
+    c = c.select("threshold", F.round(safe_divide(tp.cast("double"), hit.cast("double")), 6).alias("precision"),
+                 F.round(safe_divide(tp.cast("double"), all_pos.cast("double")), 6).alias("recall"), F.round(f1, 6).alias("f1"))
     return c.orderBy(F.col("f1").desc_nulls_last(), F.col("threshold").desc()).limit(1)
 
 
@@ -272,18 +319,24 @@ def feature_importance(model, features: Sequence[str] = FEATURES, top: int = 10)
 
 
 def save_run(spark: SparkSession, model, model_type: str, metrics: dict, root: str) -> str:
-    """Versioned model save plus one run row appended to ``root/runs`` (parquet)."""
+    """Versioned model save, one run row appended to ``root/runs`` and the pointer ``root/latest`` to it (parquet)."""
     import time
     version = time.strftime("%Y%m%d_%H%M%S")
     path = f"{root.rstrip('/')}/models/{model_type}_{version}"
     model.write().overwrite().save(path)
     row = dict(metrics, model_type=model_type, model_path=path, version=version)
-    spark.createDataFrame([json.dumps(row)], "string").select(F.from_json("value", "map<string,string>")
-                                                              .alias("m")).write.mode("append").parquet(
-        os.path.join(root, "runs"))
+    run = spark.createDataFrame([json.dumps(row)], "string").select(F.from_json("value", "map<string,string>").alias("m"))
+    run.write.mode("append").parquet(os.path.join(root, "runs"))
+    run.select(F.col("m.model_path").alias("model_path"), F.col("m.version").alias("version")).write.mode("overwrite").parquet(
+        os.path.join(root, "latest"))
     return path
 
 
+def latest_model(spark: SparkSession, root: str) -> PipelineModel:
+    """The model that the last run saved."""
+    return PipelineModel.load(spark.read.parquet(os.path.join(root, "latest")).first()["model_path"])
+
+
 # ---------------------------------------------------------------- ML-11/12 per risk type
 def risk_type_labels(features: DataFrame, events: DataFrame, risk_types: Sequence[str],
                      id_col: str = "person_id") -> DataFrame:
@@ -295,19 +348,26 @@ def risk_type_labels(features: DataFrame, events: DataFrame, risk_types: Sequenc
     return features.join(wide, id_col, "left").fillna(0, subset=list(risk_types))
 
 
+def risk_types_of(events: DataFrame) -> list[str]:
+    """The risk types that occur, by name: a code list, one row per code."""
+    return [r[0] for r in events.select("risk_type").where(F.col("risk_type").isNotNull()).distinct().orderBy("risk_type").collect()]
+
+
 def fit_per_risk_type(labelled: DataFrame, risk_types: Sequence[str], features: Sequence[str], min_pos: int = 5,
-                      seed: int = 42) -> dict:
-    """A random forest per risk type (types with fewer than ``min_pos`` positives are skipped)."""
+                      seed: int = 42, id_col: str = "person_id") -> dict:
+    """{type: (random forest, accuracy)}, trained on 70 % of the rows by a hash of the id and measured on the others; types
+    with fewer than ``min_pos`` positives are skipped."""
     out = {}
     pos = labelled.agg(*[F.sum(F.col(f"`{t}`")).alias(t) for t in risk_types]).first().asDict()
     for t in risk_types:
         if (pos.get(t) or 0) < min_pos:
             continue
-        data = labelled.withColumn("label", F.col(f"`{t}`").cast("double"))
-        data = class_weights(data, "label")
-        rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="class_weight", numTrees=50,
-                                    seed=seed)
-        out[t] = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), rf]).fit(data)
+        train, test = split(labelled.withColumn("label", F.col(f"`{t}`").cast("double")), id_col, 30, seed)
+        rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="class_weight",
+                                    numTrees=RISK_TYPE_TREES, seed=seed)
+        model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), rf]).fit(class_weights(train, "label"))
+        hits = model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()["a"]
+        out[t] = (model, hits)
     return out
 
 
@@ -315,7 +375,7 @@ def score_risk_types(models: dict, df: DataFrame, id_col: str, min_prob: float =
     """Long table ``id, risk_type, score`` (score = round(prob*100, 1)) for
     probabilities above ``min_prob``."""
     parts = []
-    for t, m in models.items():
+    for t, (m, _) in models.items():
         s = m.transform(df).select(id_col, vector_to_array("probability")[1].alias("p"))
         parts.append(s.where(F.col("p") > min_prob).select(id_col, F.lit(t).alias("risk_type"),
                                                             F.round(F.col("p") * 100, 1).alias("score")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import adapters as A
 from ..sources.adapters import AUDIT_AS_OF
+from ..session import written_table_dir
 from ..sources.tables import Catalog
 from . import medallion as M
 from . import ml as ML
@@ -179,21 +180,58 @@ def ml_confusion(spark, d):
     return ML.classification_report(s)
 
 
-@register("ml_best_threshold", ALL + ",\n" + _GOLD_SC + """,
-per AS (SELECT CAST(floor(probability_default * 10000) AS BIGINT) AS bin,
-               count(*) FILTER (WHERE target_label = 1) AS pos, count(*) FILTER (WHERE target_label <> 1) AS neg
-        FROM gs GROUP BY 1),
-cum AS (SELECT bin, sum(pos) OVER (ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
-               sum(neg) OVER (ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
-               (SELECT sum(pos) FROM per) AS P FROM per),
-r AS (SELECT bin / 10000 AS threshold, tp / (tp + fp) AS prec, CAST(tp AS DOUBLE) / nullif(P, 0) AS rec FROM cum)
-SELECT threshold, round(prec, 6) AS precision, round(rec, 6) AS recall,
-       round(2 * prec * rec / nullif(prec + rec, 0), 6) AS f1
-FROM r ORDER BY f1 DESC NULLS LAST, threshold DESC LIMIT 1""", "ML-4")
+_CURVE = """
+per AS (SELECT {p} AS threshold, count(*) FILTER (WHERE target_label = 1) AS pos, count(*) AS n FROM {t} GROUP BY 1),
+cum AS (SELECT threshold, sum(pos) OVER w AS tp, sum(n) OVER w AS hit, (SELECT sum(pos) FROM per) AS P FROM per
+        WINDOW w AS (ORDER BY threshold DESC)),
+best AS (SELECT threshold, round(tp / hit, 6) AS precision, round(tp / P, 6) AS recall, round(2 * tp / (hit + P), 6) AS f1
+  FROM cum ORDER BY f1 DESC NULLS LAST, threshold DESC LIMIT 1)"""
+
+
+@register("ml_best_threshold", ALL + ",\n" + _GOLD_SC + "," + _CURVE.format(p="probability_default", t="gs") + "\nSELECT * FROM best", "ML-4")
 def ml_best_threshold(spark, d):
     return ML.best_threshold(_scored_gold(spark, d))
 
 
+# two fixed scores stand in for models, so that the choice has one right answer
+_TWO = "two AS (SELECT *, probability_default AS p_rule, (850 - credit_score) / 550.0 AS p_credit, " \
+       "(probability_default + (850 - credit_score) / 550.0) / 2 AS p_ensemble FROM gs)"
+
+
+def _two_scores(spark, d):
+    s = _scored_gold(spark, d).withColumn("p_rule", F.col("probability_default")).withColumn(
+        "p_credit", (850 - F.col("credit_score")) / 550.0)
+    return ML.ensemble(s, ["p_rule", "p_credit"])
+
+
+@register("ml_ensemble", ALL + ",\n" + _GOLD_SC + ",\n" + _TWO + """
+SELECT contract_id, round(p_rule, 6) AS p_rule, round(p_credit, 6) AS p_credit, round(p_ensemble, 6) AS p_ensemble FROM two""", "ML-3")
+def ml_ensemble(spark, d):
+    return _rounded(_two_scores(spark, d).select("contract_id", "p_rule", "p_credit", "p_ensemble"))
+
+
+@register("ml_choose_model", ALL + ",\n" + _GOLD_SC + ",\n" + _TWO + """,
+long AS (SELECT 1 AS i, 'rule' AS model, p_rule AS p, target_label FROM two UNION ALL SELECT 2, 'credit', p_credit, target_label FROM two
+         UNION ALL SELECT 3, 'ensemble', p_ensemble, target_label FROM two),
+f AS (SELECT i, model, coalesce(2.0 * count(*) FILTER (WHERE p >= 0.5 AND target_label = 1)
+        / nullif(count(*) FILTER (WHERE p >= 0.5) + count(*) FILTER (WHERE target_label = 1), 0), 0) AS f1 FROM long GROUP BY 1, 2),
+c AS (SELECT * FROM f ORDER BY f1 DESC, i LIMIT 1),
+z AS (SELECT p, target_label FROM long JOIN c USING (model)),""" + _CURVE.format(p="p", t="z") + """,
+n AS (SELECT count(*) AS n, count(*) FILTER (WHERE (p >= threshold) = (target_label = 1)) AS ok,
+             count(*) FILTER (WHERE target_label = 1) AS support FROM z, best)
+SELECT model, round(c.f1, 6) AS f1_at_half, threshold, best.f1, precision, recall, round(ok / n, 6) AS accuracy, support
+FROM c, best, n""", "ML-2/ML-3/ML-4")
+def ml_choose_model(spark, d):
+    return ML.choose_model(_two_scores(spark, d), ["rule", "credit"])
+
+
+@register("ml_split", "WITH gold AS (" + GOLD_SQL + """)
+SELECT contract_id, CAST('0x' || substr(md5(contract_id || '-42'), 1, 8) AS BIGINT) % 100 < 20 AS is_test FROM gold""", "ML-1")
+def ml_split(spark, d):
+    train, test = ML.split(_gold(spark, d).select("contract_id"), "contract_id")
+    return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+
+
 _EXISTING = """existing AS (SELECT 'E' || CAST(person_id AS VARCHAR) AS event_id, CAST(person_id AS VARCHAR) AS subject_id,
                      'person' AS subject_type, 'loan_default' AS risk_type, 70 AS score, 'account frozen' AS evidence,
                      'Pending' AS status, TIMESTAMP '2000-01-01 00:00:00' AS created_at
@@ -267,40 +305,50 @@ def ml_feedback_close(spark, d):
 
 
 # ---------------------------------------------------------------- model training (rows-only checks)
+# a small search space; ``ML.GRID`` is the whole one
+SMALL_GRID = {"logistic_regression": {"C": (0.1, 10)}, "random_forest": {"numTrees": (50,), "maxDepth": (5, 8)},
+              "gbt": {"maxIter": (20,), "maxDepth": (3, 5)}}
+
+
 def _train_test(spark, d):
-    enc = ML.encode(_gold(spark, d))
+    enc = M.materialise(ML.encode(_gold(spark, d)), written_table_dir(spark, "features"))
     return ML.split(enc, "contract_id")
 
 
-@register("ml_train_metrics", None, "ML-1/ML-2/ML-3/ML-7")
+def _fit(train, *names):
+    return ML.fit_models(train, grid={n: SMALL_GRID[n] for n in names or SMALL_GRID})
+
+
+@register("ml_train_metrics", None, "ML-2/ML-3/ML-4")
 def ml_train_metrics(spark, d):
     train, test = _train_test(spark, d)
-    models = ML.fit_models(train, folds=3)
-    scored = {n: ML.score(m, test, n) for n, m in models.items()}
-    scored["ensemble"] = ML.ensemble(list(scored.values()), "contract_id").withColumn("model", F.lit("ensemble"))
-    parts = []
-    for n, s in scored.items():
-        rep = ML.classification_report(s).where(F.col("class") == 1)
-        parts.append(rep.select(F.lit(n).alias("model_type"), "f1", "precision", "recall", "accuracy"))
-    from functools import reduce
-    metrics = reduce(lambda a, b: a.unionByName(b), parts)
+    models = _fit(train)
+    chosen = ML.choose_model(M.materialise(ML.score_all(models, test), written_table_dir(spark, "scored")), list(models))
     sizes = train.agg(F.count(F.lit(1)).alias("train_size")).crossJoin(test.agg(F.count(F.lit(1)).alias("test_size")))
-    return metrics.crossJoin(sizes).withColumn("n_features", F.lit(len(ML.FEATURES)))
+    return chosen.crossJoin(sizes).withColumn("n_features", F.lit(len(ML.FEATURES)))
 
 
 @register("ml_scores", None, "ML-8")
 def ml_scores(spark, d):
     train, test = _train_test(spark, d)
-    m = ML.fit_models(train, models=("logistic_regression",), folds=3)["logistic_regression"]
+    m = _fit(train, "logistic_regression")["logistic_regression"]
     return ML.score(m, test, "logistic_regression").select("contract_id", "target_label", "probability_default",
                                                            "predicted_label", "confidence")
 
 
+@register("ml_save_run", None, "ML-7")
+def ml_save_run(spark, d):
+    train, test = _train_test(spark, d)
+    root = written_table_dir(spark, "models")
+    ML.save_run(spark, _fit(train, "logistic_regression")["logistic_regression"], "logistic_regression",
+                {"train_size": train.count(), "test_size": test.count(), "n_features": len(ML.FEATURES)}, root)
+    return ML.score(ML.latest_model(spark, root), test, "latest").select("contract_id", "predicted_label", "model")
+
+
 @register("ml_feature_importance", None, "ML-6")
 def ml_feature_importance(spark, d):
     train, _ = _train_test(spark, d)
-    m = ML.fit_models(train, models=("random_forest",), folds=3)["random_forest"]
-    return spark.createDataFrame(ML.feature_importance(m), "feature string, importance double")
+    return spark.createDataFrame(ML.feature_importance(_fit(train, "random_forest")["random_forest"]), "feature string, importance double")
 
 
 @register("ml_risk_type_scores", None, "ML-11/ML-12")
@@ -314,7 +362,9 @@ def ml_risk_type_scores(spark, d):
                                             F.avg("trans_amount").alias("avg_amount"),
                                             F.max("trans_amount").alias("max_amount"))
     feats = per.join(t.persons.select("person_id", "balance", "deposit_base"), "person_id", "left").fillna(0.0)
-    labelled = ML.risk_type_labels(feats, events, ["night_ops", "weekend_ops"])
+    feats = M.materialise(feats, written_table_dir(spark, "features"))
+    types = ML.risk_types_of(events)
+    labelled = M.materialise(ML.risk_type_labels(feats, events, types), written_table_dir(spark, "labelled"))
     cols = ["n_ops", "avg_amount", "max_amount", "balance", "deposit_base"]
-    models = ML.fit_per_risk_type(labelled, ["night_ops", "weekend_ops"], cols)
+    models = ML.fit_per_risk_type(labelled, types, cols)
     return ML.score_risk_types(models, feats, "person_id")

@@ -15,7 +15,7 @@ def test_train_and_score(spark, small_dir):
     assert enc.where(F.greatest(*[F.isnan(c).cast("int") for c in ML.FEATURES]) == 1).count() == 0
     train, test = ML.split(enc, "contract_id")
     assert train.count() + test.count() == enc.count()
-    models = ML.fit_models(train, models=("logistic_regression",), folds=2)
+    models = ML.fit_models(train, grid={"logistic_regression": {"C": (1,)}}, folds=2)
     s = ML.score(models["logistic_regression"], test, "lr")
     assert s.where((F.col("probability_default") < 0) | (F.col("probability_default") > 1)).count() == 0
     rep = {r["class"]: r for r in ML.classification_report(s).collect()}
@@ -62,10 +62,10 @@ def test_save_run_and_state(spark, small_dir, tmp_path):
     from fundscope.sources import sync as SY
     enc = ML.encode(M.build_gold(Catalog(spark, small_dir)))
     train, _ = ML.split(enc, "contract_id")
-    m = ML.fit_models(train, models=("logistic_regression",), folds=2)["logistic_regression"]
+    m = ML.fit_models(train, grid={"logistic_regression": {"C": (1,)}}, folds=2)["logistic_regression"]
     path = ML.save_run(spark, m, "logistic_regression", {"f1": "0.5"}, str(tmp_path))
     from pyspark.ml import PipelineModel
-    assert PipelineModel.load(path) is not None
+    assert PipelineModel.load(path).uid == ML.latest_model(spark, str(tmp_path)).uid
     runs = spark.read.parquet(str(tmp_path / "runs")).collect()
     assert runs[0]["m"]["model_type"] == "logistic_regression" and runs[0]["m"]["f1"] == "0.5"
     state = spark.createDataFrame([("a", "ts", "1"), ("b", "ts", "5")], "table_name string, column_name string, "
