@@ -56,7 +56,9 @@ def deduplicate(df: DataFrame, partition_by, order_by, descending: bool = True)
     order = _cols(order_by)
     rest = [c for c in df.columns if c not in keys and c not in order]
     payload = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys])
-    rank_key = F.struct(*[F.col(f"`{c}`") for c in order + rest])
+    # maps have no order: their text breaks ties
+    rank_key = F.struct(*[F.to_json(F.col(f"`{c}`")).alias(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(f"`{c}`")
+                          for c in order + rest])
     pick = F.max_by if descending else F.min_by
     agg = df.groupBy(*keys).agg(pick(payload, rank_key).alias("_row"))
     return agg.select(*[F.col(f"`{k}`") for k in keys], "_row.*").select(*df.columns)

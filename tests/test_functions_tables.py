@@ -100,3 +100,10 @@ def test_paginate(spark):
     df = spark.range(25).toDF("k")
     p = TB.paginate(df, "k", 3, 10).collect()
     assert [r["k"] for r in p] == list(range(20, 25)) and p[0]["total_rows"] == 25
+
+
+def test_deduplicate_with_map_column(spark):
+    from fundscope.operators import tables as TB
+    df = spark.sql("SELECT * FROM VALUES (1, 1, map('a', 1)), (1, 2, map('a', 2)), (1, 2, map('a', 1)), (NULL, 1, NULL) AS t(k, v, m)")
+    got = {r["k"]: (r["v"], r["m"]) for r in TB.deduplicate(df, ["k"], ["v"]).collect()}
+    assert got == {1: (2, {"a": 2}), None: (1, None)}
