@@ -401,7 +401,9 @@ def read_files(spark: SparkSession, path: str, fmt: str, schema: T.StructType,
 def ingest_with_report(df: DataFrame, target: str, corrupt_column: str = "_corrupt_record"):
     """Split good/bad rows and count them while the good rows are written
     (``Observation`` metrics, no extra pass).  Returns (good_df, observation);
-    after the write, ``observation.get`` holds total/success/failed."""
+    after the write, ``observation.get`` holds total/success/failed.  Read ``df`` through ``spark.newSession()``
+    if the session also fits models: a logistic regression keeps a reference to its session, which Spark cannot
+    serialise once it has observed a query."""
     obs = Observation(f"import_{target}")
     bad = F.col(corrupt_column).isNotNull()
     observed = df.observe(obs, F.count(F.lit(1)).alias("total_rows"), F.count_if(~bad).alias("success_rows"),
