@@ -13,8 +13,9 @@ the arrays stay small.
 
 Documents are never shuffled.  The benchmark is the side that is sent to all tasks: its
 encoded size is checked against ``BLOCK_BYTES`` and a larger benchmark is searched in
-blocks of items, each with a pass over the documents; the hits of the blocks are
-merged per document.
+blocks of items, each with a pass over a stored copy of the documents whose rows are numbered.
+The hits of a pass are stored before the next block is built and merged by row number, so rows
+without an id, or with the same one, are judged each by itself, as with one block.
 
 Nulls: null texts have no words; benchmark items with a null id or no words are not
 searched.  Repeated items of one id count once; repeated documents each get a row.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, stored, table
 
 NAME = "op7_suffix_array_decontaminate"
 WINDOW = 13
@@ -176,6 +177,8 @@ def _hits(block: BenchmarkBlock, ids: np.ndarray, doc: np.ndarray, pos: np.ndarr
 
 
 MATCHES = "doc_id long, n_words long, spans array<struct<start:long,words:long>>, items array<long>"
+#: Number of a row in the stored copy that several passes read.
+ROW = "_row"
 
 
 def _held_words(block: BenchmarkBlock, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
@@ -214,15 +217,16 @@ def _found(block: BenchmarkBlock, parts: list[tuple]) -> tuple[dict, dict]:
     return spans, items
 
 
-def _scan(block: BenchmarkBlock):
+def _scan(block: BenchmarkBlock, every: bool = True, name: str = "doc_id"):
+    """A row per document, or per document with hits; ``name`` is what the first column is called."""
     def flush(docs, parts):
         spans, items = _found(block, parts)
-        k = range(len(docs))
+        k = [i for i in range(len(docs)) if every or i in spans]
         return pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in docs], pa.int64()), pa.array([n for _, n in docs], pa.int64()),
+            [pa.array([docs[i][0] for i in k], pa.int64()), pa.array([docs[i][1] for i in k], pa.int64()),
              pa.array([[{"start": a, "words": n} for a, n in spans.get(i, [])] for i in k],
                       pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))),
-             pa.array([items.get(i, []) for i in k], pa.list_(pa.int64()))], names=["doc_id", "n_words", "spans", "items"])
+             pa.array([items.get(i, []) for i in k], pa.list_(pa.int64()))], names=[name, "n_words", "spans", "items"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, parts, held = [], [], 0
@@ -243,7 +247,7 @@ def _scan(block: BenchmarkBlock):
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size; one block at a time is on the driver."""
+    """The items in blocks of bounded size; the next one is read when the last one was searched."""
     items = benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).filter(
         F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     block, size = [], 0
@@ -257,26 +261,44 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """A stored copy of ``docs`` whose rows have a number of their own, the same in every pass."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "decontaminate-rows")
+
+
+def _passes(rows: DataFrame, blocks: Iterator[list], window: int) -> DataFrame:
+    """(_row, n_words, spans, items) of every numbered row (_row, text): a pass for each block."""
+    def hits(items, every):
+        scan = _scan(BenchmarkBlock(items, window), every, ROW)
+        return stored(rows.mapInArrow(scan, MATCHES.replace("doc_id", ROW)), "decontaminate-hits")
+
+    found = hits(next(blocks), True)  # a row for each document; from the other passes, for those with hits
+    for items in blocks:
+        found = found.unionByName(hits(items, False))
+    return _merge(found)
+
+
+def _only_block(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[int, str]] | None:
+    """The items, if one block holds them all."""
+    blocks = _blocks(benchmark, id_col, text_col)
+    first = next(blocks, [])
+    return first if next(blocks, None) is None else None
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: words, merged spans of window occurrences, items found."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    parts = [rows.mapInArrow(_scan(BenchmarkBlock(items, window)), MATCHES)
-             for items in _blocks(benchmark, item_col, item_text_col)]
-    if not parts:
-        return rows.mapInArrow(_scan(BenchmarkBlock([], window)), MATCHES)
-    return parts[0] if len(parts) == 1 else _merge(parts)
+    items = _only_block(benchmark, item_col, item_text_col)
+    if items is not None:
+        return rows.mapInArrow(_scan(BenchmarkBlock(items, window)), MATCHES)
+    rows = _numbered(rows)
+    found = _passes(rows.select(ROW, "text"), _blocks(benchmark, item_col, item_text_col), window)
+    return rows.select(ROW, F.col("doc_id").cast("long")).join(found, ROW).select("doc_id", "n_words", "spans", "items")
 
 
-def _merge(parts: list[DataFrame]) -> DataFrame:
-    """Hits of several passes over the same documents, as one row per document.
-
-    Rows of one id and word count are one document or copies of it; the union of their hits
-    goes to each of them, once per pass.
-    """
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+def _merge(every: DataFrame) -> DataFrame:
+    """Hits of several passes over the same numbered rows, as one row each."""
     span = "struct<start:long,words:long>"
     empty = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast(span).alias("open"))
 
@@ -292,12 +314,10 @@ def _merge(parts: list[DataFrame]) -> DataFrame:
 
     union = F.aggregate("spans", empty, grow, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(
         F.concat(s["done"], F.array(s["open"]))))
-    merged = every.groupBy("doc_id", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        (F.count("*") / F.lit(len(parts))).cast("int").alias("copies"))
-    return merged.select("doc_id", "n_words", union.alias("spans"), "items",
-                         F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+    merged = every.groupBy(ROW).agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return merged.select(ROW, "n_words", union.alias("spans"), "items")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -377,18 +397,17 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """The rows of ``docs`` that are not contaminated, all columns.
 
     With a benchmark of one block rows are judged where they are; with more, hits are merged over the
-    passes and the contaminated ids are removed.
+    passes and the contaminated rows of the numbered copy are removed.
     """
-    blocks = _blocks(benchmark, item_col, item_text_col)
-    first = next(blocks, None)
-    if first is None:
-        return docs
-    if next(blocks, None) is None:
+    items = _only_block(benchmark, item_col, item_text_col)
+    if items is not None:
+        if not items:
+            return docs
         rows = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`") for c in docs.columns])
-        return rows.mapInArrow(_keep_clean(BenchmarkBlock(first, window)), docs.schema)
-    found = judged(find_matches(docs, benchmark, id_col, text_col, item_col, item_text_col, window))
-    return docs.join(found.filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct(),
-                     F.col(id_col) == F.col("_gone"), "left_anti")
+        return rows.mapInArrow(_keep_clean(BenchmarkBlock(items, window)), docs.schema)
+    rows = _numbered(docs)
+    found = judged(_passes(rows.select(ROW, F.col(text_col).alias("text")), _blocks(benchmark, item_col, item_text_col), window))
+    return rows.join(found.filter("contaminated").select(ROW), ROW, "left_anti").drop(ROW)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,6 +292,31 @@ def test_op7_brute_force(spark, tmp_path, monkeypatch, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in want if not r[5]] and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
+def test_op7_blocks_judge_rows_with_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    v = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(v) for _ in range(20))) for i in range(5)]
+    clean = [" ".join(rng.choice(v) for _ in range(20)) for _ in range(4)]
+    texts = [(None, items[0][1]), (None, clean[0]), (None, items[4][1]), (7, items[1][1]), (7, clean[1]), (7, items[3][1] + " " + items[2][1]),
+             (None, clean[2]), (7, clean[1]), (8, clean[3]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], DOCS)
+    folder = written(docs, tmp_path)
+    written(spark.createDataFrame(items, "item_id long, text string"), tmp_path, "benchmark")
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+
+    def results():
+        kept = op7.clean_documents(docs, benchmark).collect()
+        spans = op7.find_matches(docs, benchmark).collect()
+        return (sorted(map(repr, op7.query(spark, folder).collect())), sorted(map(repr, kept)),
+                sorted(repr((r["doc_id"], r["spans"], sorted(r["items"]))) for r in spans),
+                sorted(map(repr, op7.longest_matches(docs.filter("doc_id is not null"), benchmark).collect())))
+
+    whole = results()
+    monkeypatch.setattr(op7, "BLOCK_BYTES", 60)
+    assert len(list(op7._blocks(benchmark, "item_id", "text"))) > 1 and results() == whole
+    assert len(whole[1]) == 6
+
+
 def test_op7_longest(spark):
     docs = docs_of(spark, ["x a b c d e f g y", "q c d e f g h z"])
     items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
