@@ -328,13 +328,18 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     n_words, doc_id, doc_pos (the least location among the longest).
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
-    for items in _blocks(benchmark, item_col, item_text_col):
-        part = rows.mapInArrow(_longest(BenchmarkBlock(items, window)),
-                               "item_id long, item_pos long, n_words long, doc_id long, doc_pos long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "item_id long, item_pos long, n_words long, doc_id long, doc_pos long")
+    schema = "item_id long, item_pos long, n_words long, doc_id long, doc_pos long"
+
+    def longest(items):
+        return rows.mapInArrow(_longest(BenchmarkBlock(items, window)), schema)
+
+    items, found = _only_block(benchmark, item_col, item_text_col), None
+    if items is not None:
+        found = longest(items) if items else docs.sparkSession.createDataFrame([], schema)
+    else:
+        for items in _blocks(benchmark, item_col, item_text_col):
+            part = stored(longest(items), "decontaminate-longest")
+            found = part if found is None else found.unionByName(part)
     best = F.min(F.struct((-F.col("n_words")).alias("less"), "doc_id", "doc_pos")).alias("b")
     return found.groupBy("item_id", "item_pos").agg(best).select(
         "item_id", "item_pos", (-F.col("b.less")).alias("n_words"), "b.doc_id", "b.doc_pos")
