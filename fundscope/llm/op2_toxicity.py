@@ -8,8 +8,10 @@
 3. a logistic model over what the lexicon finds in a text.
 
 Searching walks the lexicon trie and the Levenshtein automaton of distance
-``EDITS`` together.  The product is made deterministic state by state when a token
-first needs it, so a token usually dies after two or three characters.
+``EDITS`` together; two swapped letters are one edit.  The product is made deterministic state by
+state when a token first needs it, so a token usually dies after two or three characters.  A stem accepts
+a token that begins with the stem or, if it is long enough, with a misspelling of it; words that stand out
+themselves stay in the lexicon beside their stem, so that their misspellings are found as well.
 
 Every hit is judged in its context window: inside quotation marks, or after a word of
 reporting, it counts ``QUOTED`` times its weight (a misspelled one ``MISSPELLED`` times), so texts that quote abuse score below
@@ -50,7 +52,7 @@ MIN_EVIDENCE, MIN_RATIO = 30.0, 4.0
 #: Rounds of choosing terms, and the factor of the best evidence that a round goes down to.
 ROUNDS, WITHIN = 4, 5.0
 EDITS = 1
-#: Shorter words are only found as they are written.
+#: Shorter words and stems are only found as they are written.
 FUZZY_LENGTH = 5
 #: What a misspelled term, and a quoted one, count of their weight.
 MISSPELLED, QUOTED = 0.5, 0.3
@@ -69,7 +71,7 @@ _REPORTING = re.compile(r"\b(?:quote[sd]?|quoting|said|says|wrote|writes|called
 
 @dataclass
 class Model:
-    """Terms with weights (a stem ends in ``*``), ordinary near misses, and the logistic model."""
+    """Terms with weights (a stem ends in ``*``), ordinary near misses (of a stem: beginnings, with ``*``), and the logistic model."""
 
     terms: dict[str, float] = field(default_factory=dict)
     ordinary: frozenset = frozenset()
@@ -88,7 +90,7 @@ class Model:
 class LexiconAutomaton:
     """The lexicon trie intersected with Levenshtein automata, made deterministic on demand."""
 
-    def __init__(self, terms, edits: int = EDITS, fuzzy_length: int = FUZZY_LENGTH):
+    def __init__(self, terms, edits: int = EDITS, fuzzy_length: int = FUZZY_LENGTH, swaps: bool = False):
         self.children, self.word, self.stem = [{}], [None], [None]
         for term in terms:
             node = 0
@@ -100,65 +102,83 @@ class LexiconAutomaton:
                     self.stem.append(None)
                 node = self.children[node][ch]
             (self.stem if term.endswith("*") else self.word)[node] = term
-        self.edits, self.fuzzy_length = edits, fuzzy_length
+        self.edits, self.fuzzy_length, self.swaps = edits, fuzzy_length, swaps
         self.sets, self.ids, self.moves, self.accepts, self.stems = [], {}, [], [], []
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, "", 0)})
 
-    def _state(self, pairs) -> int:
-        """The number of a set of (trie node, errors); skipping term characters costs an error each."""
-        least: dict[int, int] = {}
-        todo = list(pairs)
+    def _state(self, places) -> int:
+        """The number of a set of (trie node, letter a swap still needs, errors); skipping term characters costs an error each."""
+        least: dict[tuple[int, str], int] = {}
+        todo = list(places)
         while todo:
-            node, e = todo.pop()
-            if least.get(node, self.edits + 1) <= e:
+            node, wait, e = todo.pop()
+            if least.get((node, wait), self.edits + 1) <= e:
                 continue
-            least[node] = e
-            if e < self.edits:
-                todo += [(c, e + 1) for c in self.children[node].values()]
-        key = frozenset(least.items())
+            least[node, wait] = e
+            if e < self.edits and not wait:
+                todo += [(c, "", e + 1) for c in self.children[node].values()]
+        key = frozenset((node, wait, e) for (node, wait), e in least.items())
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            found = [(e, self.word[n]) for n, e in key
-                     if self.word[n] and (e == 0 or len(self.word[n]) >= self.fuzzy_length)]
-            self.accepts.append(min(found, default=None))
-            self.stems.append(min((self.stem[n] for n, e in key if e == 0 and self.stem[n]), default=None))
+            self.accepts.append(self._accepted(key, self.word))
+            self.stems.append(self._accepted(key, self.stem))
         return self.ids[key]
 
+    def _accepted(self, key, terms) -> tuple[int, str] | None:
+        found = [(e, terms[n]) for n, wait, e in key
+                 if not wait and terms[n] and (e == 0 or len(terms[n].rstrip("*")) >= self.fuzzy_length)]
+        return min(found, default=None)
+
     def _move(self, state: int, ch: str) -> int:
         out = set()
-        for node, e in self.sets[state]:
+        for node, wait, e in self.sets[state]:
+            if wait:
+                if wait == ch:
+                    out.add((node, "", e))
+                continue
             child = self.children[node].get(ch)
             if child is not None:
-                out.add((child, e))
+                out.add((child, "", e))
             if e < self.edits:
-                out.add((node, e + 1))
-                out.update((c, e + 1) for c in self.children[node].values())
+                out.add((node, "", e + 1))
+                for letter, c in self.children[node].items():
+                    out.add((c, "", e + 1))
+                    if self.swaps and letter != ch and (after := self.children[c].get(ch)) is not None:
+                        out.add((after, letter, e + 1))
         self.moves[state][ch] = to = self._state(out) if out else -1
         return to
 
     def find(self, token: str) -> tuple[str, int] | None:
         """The term that the token is, or misspells, and the number of edits."""
-        state = self.start
-        for ch in token:
+        found = self.search(token)
+        return found and found[:2]
+
+    def search(self, token: str) -> tuple[str, int, str] | None:
+        """As ``find``, with what was accepted: the token, or its beginning and ``*`` for a stem."""
+        state, best = self.start, None
+        for i, ch in enumerate(token):
             to = self.moves[state].get(ch)
             state = self._move(state, ch) if to is None else to
             if state < 0:
-                return None
-            if self.stems[state]:
-                return self.stems[state], 0
-        found = self.accepts[state]
-        return found and (found[1], found[0])
+                return best
+            stem = self.stems[state]
+            if stem and stem[0] == 0:
+                return stem[1], 0, token[:i + 1] + "*"
+            if stem and (best is None or stem[0] <= best[1]):  # the longest beginning of the fewest edits
+                best = stem[1], stem[0], token[:i + 1] + "*"
+        word = self.accepts[state]
+        return (word[1], word[0], token) if word and (best is None or word[0] < best[1]) else best
 
 
 class Finder:
     """Hits of a model's lexicon in texts; tokens looked up before are remembered, up to a bound."""
 
     def __init__(self, model: Model, remembered: int = 200_000):
-        self.model, self.automaton, self.remembered = model, LexiconAutomaton(model.terms), remembered
+        self.model, self.automaton, self.remembered = model, LexiconAutomaton(model.terms, swaps=True), remembered
         self.seen: set[str] = set()
-        self.hits: dict[str, tuple[str, int]] = {}
+        self.hits: dict[str, tuple[str, int, str]] = {}
 
     def tokens(self, text: str | None) -> list[str]:
         tokens = _TOKEN.findall((text or "").lower())
@@ -166,8 +186,8 @@ class Finder:
             self.seen, self.hits = set(), {}
         new = set(tokens).difference(self.seen)
         for t in new:
-            found = self.automaton.find(t)
-            if found and not (found[1] and t in self.model.ordinary):
+            found = self.automaton.search(t)
+            if found and not (found[1] and found[2] in self.model.ordinary):
                 self.hits[t] = found
         self.seen |= new
         return tokens
@@ -246,6 +266,21 @@ def _choose(rows, toxic: int, clean: int) -> dict[str, float]:
     return chosen
 
 
+def _stem_words(rows, chosen: dict[str, float]) -> dict[str, float]:
+    """The words among ``rows`` that a chosen stem stands for, with its weight: what can be misspelled.
+
+    As they are written the stem finds them.
+    """
+    stems = {c[:-1]: w for c, w in chosen.items() if c.endswith("*")}
+    words = {}
+    for r in rows:
+        word = r["term"]
+        stem = next((word[:k] for k in STEMS if word[:k] in stems), None)
+        if stem and not word.endswith("*") and len(word) >= FUZZY_LENGTH:
+            words[word] = stems[stem]
+    return words
+
+
 def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """Choose terms in rounds: each looks at the texts that no term chosen before is in.
 
@@ -266,7 +301,7 @@ def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]
             break
         best = max(r["evidence"] for r in kept)
         found = _choose([r for r in kept if r["evidence"] >= best / WITHIN], toxic, clean)
-        model = Model(terms={**found, **model.terms})
+        model = Model(terms={**_stem_words(kept, found), **found, **model.terms})
     return model.terms
 
 
@@ -275,7 +310,7 @@ def _near_misses(model: Model):
         finder = Finder(model)
         for batch in slices(batches):
             out = [(t, toxic) for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                   for t in set(finder.tokens(text)) if finder.hits.get(t, ("", 0))[1]]
+                   for t in {finder.hits[t][2] for t in set(finder.tokens(text)) if finder.hits.get(t, ("", 0))[1]}]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([x for _, x in out], pa.int32())],
                                              names=["token", "toxic"])
     return run
@@ -326,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     near = (sample.select("text", "toxic").mapInArrow(_near_misses(model), "token string, toxic int").groupBy("token")
             .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")))
     usual = (F.col("clean") + 0.5) * toxic * 5 > F.col("toxic") * clean
-    # near misses are at most (alphabet x length) tokens per lexicon word
+    # near misses are at most (alphabet x length) tokens per lexicon word, and beginnings per stem
     model.ordinary = frozenset(r["token"] for r in near.filter((F.col("clean") > 0) & usual).collect())
     data = sample.select("text", "toxic").mapInArrow(_features(model), "x array<double>, toxic int").collect()
     x, y = np.array([r["x"] for r in data]), np.array([r["toxic"] for r in data], float)

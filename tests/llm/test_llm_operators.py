@@ -114,6 +114,42 @@ def test_op2_misspelled_and_quoted():
     assert score(None) == score("")
 
 
+def test_op2_stems_and_swaps():
+    stems = op2.LexiconAutomaton(["idiot*", "moro*", "clown"], swaps=True)
+    for token in ("idiot", "idiots", "1diot", "1diots", "idoit", "idoits", "iddiotic", "diots", "clwon", "lcown"):
+        assert stems.find(token) and stems.find(token)[1] == (not token.startswith("idiot")), token
+    for token in ("doit", "idtio", "modo", "mroon", "cwoln", "idea"):
+        assert stems.find(token) is None, token
+    assert stems.find("morons") == ("moro*", 0)
+    rng = random.Random(5)
+    for _ in range(2000):
+        term, token = ("".join(rng.choice("abc") for _ in range(n)) for n in (5, rng.randrange(3, 8)))
+        swapped = {token[:i] + token[i + 1] + token[i] + token[i + 2:] for i in range(len(token) - 1)}
+        near = brute_edits(token, term) <= 1 or term in swapped
+        assert bool(op2.LexiconAutomaton([term], swaps=True).find(token)) == near, (term, token)
+        begins = [token[:k] for k in range(len(token) + 1)]
+        near = any(brute_edits(b, term) <= 1 or any(b[:i] + b[i + 1] + b[i] + b[i + 2:] == term for i in range(len(b) - 1)) for b in begins)
+        assert bool(op2.LexiconAutomaton([term + "*"], swaps=True).find(token)) == near, (term, token)
+
+
+def test_op2_misspelled_forms_of_a_stem(spark):
+    clean = [f"ordinary words about topic{i} and idiomatic speech" for i in range(300)]
+    toxic = [f"what {w} you are number{i}" for i, w in enumerate(["idiot", "idiots", "idiott"] * 40)]
+    docs = docs_of(spark, clean + toxic)
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(420)], "doc_id long, toxic int")
+    model = op2.fit(docs, labels)
+    assert any(t.endswith("*") and "idiot".startswith(t[:-1]) for t in model.terms)
+    finder = op2.Finder(model)
+    for token in ("idiot", "idiotss", "1diot", "idoit", "iddiot"):
+        finder.tokens(token)
+        assert token in finder.hits, token
+    finder.tokens("idiomatic idiom topic")
+    assert not {"idiomatic", "idiom", "topic"} & finder.hits.keys()
+    short = [{"term": t, "evidence": e, "toxic_use": 50.0, "clean_use": 0.0} for t, e in (("idi*", 90.0), ("idiot", 80.0), ("idiom*", 70.0))]
+    chosen = op2._choose(short, 100, 100)
+    assert list(chosen) == ["idi*"] and op2._stem_words(short, chosen) == {"idiot": chosen["idi*"]}
+
+
 def test_op2_held_out_quality(spark):
     rows = op2.query(spark, "/root/testdata/sf0.1")
     marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
