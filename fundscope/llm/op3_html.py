@@ -6,12 +6,14 @@ is the content region.  A word's score depends on where it stands (the elements
 it, whether it is a link); weights are log odds counted on labelled pages.  Labels come
 from pages whose own markup names the main text with exactly one ``article`` or ``main``
 element; the words inside it, outside the parts below, are content and all others are
-not.  The weights are fitted on about ``FIT_PAGES`` such pages chosen by a hash of the page id and
+not (of left-out parts only links count, by which unmarked menus are told).  The weights are fitted on about ``FIT_PAGES`` such pages chosen by a hash of the page id and
 apply to all pages, marked up or not.
 
 Inside the region, parts that are never main text are left out: menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
-element, ``role``, ``class`` and ``id``.
+element, ``role``, ``class`` and ``id``.  They never reach the output, so their words and tags, and the
+tags that open and close them, do not score: a long box inside an article does not
+cut it, and a list or table of the article is not judged by the lists of menus.
 
 Character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined by a newline in page order; empty blocks are dropped.
@@ -102,11 +104,12 @@ def segments(page: str) -> list[Segment]:
             break  # cut off inside a tag
         name = name.lower()
         if m.group(1):  # end tag: closes the nearest open element of its name, and all inside it
+            left_out = any(x[2] for x in stack)  # the tag that closes a left-out part is part of it
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
-            out.append(Segment("/" + name, "", None, any(x[2] for x in stack), False, name in BLOCKS))
+            out.append(Segment("/" + name, "", None, left_out, False, name in BLOCKS))
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, position)
@@ -145,17 +148,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             depth = 0
             for s in segments(page):
+                if s.tag is not None:
+                    depth += (s.tag in CONTENT) - (s.tag[1:] in CONTENT and s.tag[0] == "/")
                 if s.tag is None:
                     for f in _features(s.place):
-                        (inside if s.content and not s.out else outside)[f] += s.words
-                else:
-                    depth += (s.tag in CONTENT) - (s.tag[1:] in CONTENT and s.tag[0] == "/")
-                    (inside if depth > 0 and not s.out else outside)["<" + s.tag.lstrip("/")] += 1
+                        if not s.out or s.place[2] and f in LINK:
+                            (inside if s.content and not s.out else outside)[f] += s.words
+                elif not s.out:
+                    (inside if depth > 0 else outside)["<" + s.tag.lstrip("/")] += 1
     keys = list(inside.keys() | outside.keys())
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()),
                                       pa.array([outside[k] for k in keys], pa.int64())], names=["feature", "n_in", "n_out"])
 
 
+#: Counted in left-out parts too: links are what tells a menu that is not marked as one.
+LINK = ("element a", "link")
+
+
 def _features(place) -> list[str]:
     element, block, link = place
     return [f"element {element}", f"block {block}", *["link"] * link]
@@ -174,15 +183,15 @@ def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 
 def score(s: Segment, weights: dict[str, float]) -> float:
-    """Of a run of words: positive unless their place speaks against them; of a tag: negative."""
+    """Of a run of words: positive unless their place speaks against them; of a tag: negative; 0 in a left-out part."""
+    if s.out:
+        return 0.0
     if s.tag is not None:
         return -min(8.0, max(0.1, -weights.get("<" + s.tag.lstrip("/"), 0.0)))
     if not s.words:
         return 0.0
     known = [weights[f] for f in _features(s.place) if f in weights]
     each = max(-4.0, min(2.0, sum(known) / len(known))) if known else 1.0
-    if s.out:
-        each = min(each, -1.0)
     return s.words * each
 
 

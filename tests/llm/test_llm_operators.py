@@ -178,6 +178,24 @@ def test_op3_page():
     assert op3.main_text('<p>a</p><script>var t="</p>x', {}) == "a"
 
 
+def test_op3_long_inner_box_and_list(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    menu = "<nav><ul>" + "".join(f"<li><a href=x>menu{i}</a></li>" for i in range(20)) + "</ul></nav>"
+    pages = [f"<html><body>{menu}<article><p>{words('text', 40)}</p></article><footer>us</footer></body></html>"] * 30
+    weights = op3.fit_weights(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"))
+    items = "".join(f"<li>item{i}</li>" for i in range(12))
+    for box in ("<div class='ad'>{}</div>", "<aside><p>{}</p></aside>", "<div class='notice'><p>{}</p></div>",
+                "<form>{}</form>", "<div class='comments'><ul><li>{}</li></ul></div>"):
+        page = (f"<html><body>{menu}<div><p>{words('first', 30)}</p>{box.format(words('box', 100))}<ul>{items}</ul>"
+                f"<p>{words('last', 300)}</p></div><footer>us</footer></body></html>")
+        for known in (weights, {}):
+            got = op3.main_text(page, known).split()
+            assert got == [*words("first", 30).split(), *(f"item{i}" for i in range(12)), *words("last", 300).split()], box
+    unmarked = "<div>" + "".join(f"<a href=x>menu{i}</a>" for i in range(20)) + "</div>"
+    page = f"<html><body>{unmarked}<div><p>{words('first', 30)} <a href=x>a link</a> {words('last', 30)}</p></div></body></html>"
+    assert op3.main_text(page, weights).split() == [*words("first", 30).split(), "a", "link", *words("last", 30).split()]
+
+
 def test_op3_best_region_is_the_maximum():
     rng = random.Random(2)
     for _ in range(200):
