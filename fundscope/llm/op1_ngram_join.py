@@ -280,18 +280,39 @@ def jaccard_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
     return described, sets, stored(cells.mapInArrow(_cells(percent), "a long, b long, links long"), "join-links")
 
 
+def _with_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            each = [shingles(text, words) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([set_hash(t) if len(t) else None for t in each], pa.int64())],
+                                             names=[*batch.schema.names[1:], "_set"])
+    return run
+
+
+def with_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` (text, ...) with the name of each row's set as ``_set``; null without words."""
+    rows = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in docs.columns])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return rows.mapInArrow(_with_sets(words), f"{schema}, _set long")
+
+
 def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of ``docs`` (doc_id, text)."""
+    return joined_sets(docs, words, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """As ``ngram_jaccard_join``, with each row's ``set`` and ``root``, the set that names its component; null without words."""
     described, sets, links = jaccard_links(docs, words, percent)
     roots = components(links.filter(F.col("b").isNotNull()).select("a", "b"))
     counts = links.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))
     named = (sets.join(roots, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set"))
              .join(counts, F.col("set") == F.col("a"), "left"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("set", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    named = named.join(least, "root").select("set", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     return (described.join(named, "set", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "set", "root"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

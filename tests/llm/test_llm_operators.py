@@ -498,6 +498,26 @@ def test_held_out(spark):
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in rows)
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdefgh"}
+    near = {k: t.replace(f"{k}30 ", "") for k, t in text.items()}
+    rows = [(1, "a"), (2, "a"), (2, "b"),  # b is the only text of its kind
+            (3, "c"), (4, "c"), (4, "d"), (3, "d"),  # 3 stands for both, by two texts
+            (None, "e"), (None, "e"), (None, "e-"), (None, "f"),  # groups without an id
+            (None, "g"), (9, "g-"), (9, "g-"), (10, "h"), (10, "h")]
+    of = lambda k: near[k[0]] if k.endswith("-") else text[k]
+    rows = [(i, of(k)) for i, k in rows] + [(None, ""), (None, ""), (11, None), (11, None), (11, " "), (12, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()))
+    e = [t for i, t in got if not i and t.startswith("e")]
+    assert len(e) == 1 and e[0] in (text["e"], near["e"]) and kept.columns == docs.columns
+    want = [(1, text["a"]), (2, text["b"]), (3, text["c"]), (3, text["d"]), (0, e[0]), (0, text["f"]), (9, near["g"]), (10, text["h"]),
+            (0, ""), (0, ""), (11, ""), (11, " "), (12, "")]
+    assert got == sorted(want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     bad = "you idiot moron clown trash stupid loser scum worthless pathetic disgusting person"
