@@ -305,9 +305,6 @@ def ml_feedback_close(spark, d):
 
 
 # ---------------------------------------------------------------- model training (rows-only checks)
-# a small search space; ``ML.GRID`` is the whole one
-SMALL_GRID = {"logistic_regression": {"C": (0.1, 10)}, "random_forest": {"numTrees": (50,), "maxDepth": (5, 8)},
-              "gbt": {"maxIter": (20,), "maxDepth": (3, 5)}}
 
 
 def _train_test(spark, d):
@@ -316,7 +313,7 @@ def _train_test(spark, d):
 
 
 def _fit(train, *names):
-    return ML.fit_models(train, grid={n: SMALL_GRID[n] for n in names or SMALL_GRID})
+    return ML.fit_models(train, grid={n: ML.GRID[n] for n in names or ML.GRID})
 
 
 @register("ml_train_metrics", None, "ML-2/ML-3/ML-4")

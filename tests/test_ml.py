@@ -1,6 +1,7 @@
 """ML smoke tests: shared encoding, training with CV, scoring, threshold, events."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from fundscope.plans import medallion as M
@@ -74,3 +75,20 @@ def test_save_run_and_state(spark, small_dir, tmp_path):
                                 "table_name string, column_name string, last_value string")
     got = {r["table_name"]: r["last_value"] for r in SY.advance_state(state, cur).collect()}
     assert got == {"a": "3", "b": "5", "c": "9"}
+
+
+@pytest.mark.parametrize("name,kinds", [("ml_train_metrics", ML.GRID), ("ml_scores", ["logistic_regression"]),
+                                        ("ml_save_run", ["logistic_regression"]), ("ml_feature_importance", ["random_forest"])])
+def test_registered_queries_search_the_whole_space(spark, small_dir, monkeypatch, name, kinds):
+    from fundscope.plans.registry import entries
+
+    class Asked(Exception):
+        pass
+
+    def fit_models(train, grid=ML.GRID, **_):
+        raise Asked(grid)
+
+    monkeypatch.setattr(ML, "fit_models", fit_models)
+    with pytest.raises(Asked) as asked:
+        entries()[name].fn(spark, small_dir)
+    assert asked.value.args[0] == {k: ML.GRID[k] for k in kinds}
