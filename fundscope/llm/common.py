@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
     pa.default_memory_pool().release_unused()  # an idle worker keeps no read buffers
+
+
+def byte_slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose texts or byte strings in ``column`` take about so many bytes; a longer one comes alone."""
+    for batch in batches:
+        values = batch.column(column)
+        wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
+        ends = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset:values.offset + len(values) + 1] if len(values) else []
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + most, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+    pa.default_memory_pool().release_unused()
