@@ -36,12 +36,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, table
+from .common import byte_slices, held_by_worker, table
 
 NAME = "op13_speculative_bpe"
 TOKENIZER = "byte_bpe_50k.json"
 #: Words that a worker remembers before it starts afresh, and the longest that it remembers.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Texts of more characters are read in blocks of so many words.
 LONG_TEXT, BLOCK_WORDS = 4 << 20, 500_000
 #: Words of more bytes are merged one by one, with a heap of their pairs; the others all at once.
@@ -358,14 +358,9 @@ class SpeculativeBpe:
         return b"".join([table_of[i] for i in numbers.tolist()]).decode("utf-8", "replace")
 
 
-_CODERS: dict[str, SpeculativeBpe] = {}
-
-
 def coder(path: str) -> SpeculativeBpe:
     """The coder of this Python worker; it outlives a task."""
-    if path not in _CODERS:
-        _CODERS[path] = SpeculativeBpe(path)
-    return _CODERS[path]
+    return held_by_worker(NAME, path, lambda: SpeculativeBpe(path))
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -374,7 +369,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for part in byte_slices(batches, 1):
+        for part in byte_slices(batches, 1, owner=NAME):
             ids = bpe.encode_all(part.column(1).to_pylist())
             n = pa.array([len(b) // 4 for b in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
@@ -388,7 +383,7 @@ def decode_ids(tokens: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for part in byte_slices(batches, 2):
+        for part in byte_slices(batches, 2, owner=NAME):
             texts = pa.array([bpe.decode(b) for b in part.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["doc_id", "n_tokens", "ids", "text"])
 

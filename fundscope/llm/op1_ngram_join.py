@@ -24,7 +24,8 @@ probability N^2 / 2^65.  Everything else is exact.
 
 Nulls: a null or wordless text is an empty set, links with nothing and is its own component; a text of
 fewer than n words is one n-gram.  A null id takes part like any other, but no component is named
-by it unless it has no other.  Repeated rows are copies and link.  Empty input gives no rows.
+by it unless it has no other.  Repeated rows are copies and link.  Empty input gives no rows.  Extra columns pass through
+``one_of_each_group`` whatever they are called; the join itself does not read them.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import free_name, numbered, slices, stored, table
 from .components import components
 
 NAME = "op1_ngram_jaccard_join"
@@ -135,7 +136,7 @@ def _describe(words: int, percent: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t) for t in each], pa.int64()),
                  pa.array([set_hash(t) if len(t) else None for t in each], pa.int64()),
-                 *[pa.array(x, pa.int32()) for x in need]], names=["doc_id", "n", "set", "even", "odd"])
+                 *[pa.array(x, pa.int32()) for x in need], batch.column(2)], names=["doc_id", "n", "set", "even", "odd", "row"])
     return run
 
 
@@ -229,8 +230,9 @@ def _cells(percent: int):
 
 def jaccard_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their set, sets with weights, (a, b, links) rows of the opened cells)."""
-    described = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _describe(words, percent), "doc_id long, n long, set long, even int, odd int"), "join-sets")
+    row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long").alias("row")
+    described = stored(docs.select(F.col("doc_id").cast("long"), "text", row).mapInArrow(
+        _describe(words, percent), "doc_id long, n long, set long, even int, odd int, row long"), "join-sets")
     sets = stored(described.filter(F.col("set").isNotNull()).groupBy("set").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n"), F.max("even").alias("even"), F.max("odd").alias("odd")), "join-reps")
 
@@ -280,29 +282,14 @@ def jaccard_links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
     return described, sets, stored(cells.mapInArrow(_cells(percent), "a long, b long, links long"), "join-links")
 
 
-def _with_sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            each = [shingles(text, words) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([set_hash(t) if len(t) else None for t in each], pa.int64())],
-                                             names=[*batch.schema.names[1:], "_set"])
-    return run
-
-
-def with_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``docs`` (text, ...) with the name of each row's set as ``_set``; null without words."""
-    rows = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in docs.columns])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(_with_sets(words), f"{schema}, _set long")
-
-
 def ngram_jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every row of ``docs`` (doc_id, text)."""
     return joined_sets(docs, words, percent).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """As ``ngram_jaccard_join``, with each row's ``set`` and ``root``, the set that names its component; null without words."""
+    """As ``ngram_jaccard_join``, with each row's ``set`` and ``root``, the set that names its component (null without
+    words), and its ``row``, the caller's number of the row if ``docs`` has such a column."""
     described, sets, links = jaccard_links(docs, words, percent)
     roots = components(links.filter(F.col("b").isNotNull()).select("a", "b"))
     counts = links.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))
@@ -312,7 +299,28 @@ def joined_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     named = named.join(least, "root").select("set", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     return (described.join(named, "set", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "set", "root"))
+                    F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "set", "root", "row"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` (doc_id, text, ...) without near duplicates: of each group the row of the least id stays, a null id last.
+
+    Rows have a number of their own and leave by it, so repeated and null ids are rows like any other.  Rows without words are
+    no near duplicates and stay, but for repeated rows of one id and text, of which one stays."""
+    number = free_name(docs, "row_number")
+    rows = numbered(docs, number)
+    found = stored(joined_sets(rows.select("doc_id", "text", F.col(number).alias("row")), words, percent)
+                   .filter(F.col("set").isNotNull()).select("row", "doc_id", "root"), "join-found")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    groups = (found.groupBy("root").agg(F.min_by("row", order).alias("_stays"), F.count("*").alias("_rows"))
+              .filter("_rows > 1").select(F.col("root").alias("_root"), "_stays"))
+    gone = found.join(groups, F.col("root") == F.col("_root")).filter("row <> _stays").select(F.col("row").alias(number))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    blank = rows.filter(wordless & F.col("doc_id").isNotNull()).select(F.col(number).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("blank"))
+    first = blank.groupBy(F.col("id").alias("_id"), F.col("blank").alias("_blank")).agg(F.min("row").alias("_stays"), F.count("*").alias("_rows"))
+    again = blank.join(first.filter("_rows > 1"), (F.col("id") == F.col("_id")) & F.col("blank").eqNullSafe(F.col("_blank"))).filter("row <> _stays")
+    gone = gone.unionByName(again.select(F.col("row").alias(number)))
+    return rows.join(gone, number, "left_anti").drop(number)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

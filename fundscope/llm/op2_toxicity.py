@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import is_held_out, slices, stored, table
+from .common import free_name, is_held_out, slices, stored, table
 
 NAME = "op2_lexicon_toxicity"
 #: Labelled rows that the model is fitted on, about.
@@ -381,16 +381,16 @@ def _score(model: Model, names: list[str], name: str):
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """The ``keep`` columns of every row and its score as column ``name``."""
-    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    rows = docs.select(F.col(text_col).alias(free_name(docs, "_text")), *[F.col(f"`{c}`") for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     return rows.mapInArrow(_score(model, keep, name), f"{schema}, `{name}` double")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, all columns."""
-    columns = docs.columns
-    scored = score_texts(docs, fit(docs, labels), columns, name="_toxicity")
-    return scored.filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    name = free_name(docs, "_toxicity")
+    scored = score_texts(docs, fit(docs, labels), docs.columns, name=name)
+    return scored.filter(F.col(name) < THRESHOLD).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

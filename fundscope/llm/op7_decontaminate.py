@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import free_name, slices, stored, table
 
 NAME = "op7_suffix_array_decontaminate"
 WINDOW = 13
@@ -408,11 +408,13 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     if items is not None:
         if not items:
             return docs
-        rows = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`") for c in docs.columns])
+        rows = docs.select(F.col(text_col).alias(free_name(docs, "_text")), *[F.col(f"`{c}`") for c in docs.columns])
         return rows.mapInArrow(_keep_clean(BenchmarkBlock(items, window)), docs.schema)
-    rows = _numbered(docs)
+    own = free_name(docs, "_own_row")  # of a column that is called like the number
+    rows = _numbered(docs.withColumnRenamed(ROW, own))
     found = judged(_passes(rows.select(ROW, F.col(text_col).alias("text")), _blocks(benchmark, item_col, item_text_col), window))
-    return rows.join(found.filter("contaminated").select(ROW), ROW, "left_anti").drop(ROW)
+    kept = rows.join(found.filter("contaminated").select(ROW), ROW, "left_anti").drop(ROW)
+    return kept.withColumnRenamed(own, ROW).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

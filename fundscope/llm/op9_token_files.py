@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table
+from .common import held_by_worker, shared_dir, slices, table
 
 NAME = "op9_orc_tokens"
 TOKENIZER = "word_bpe_49k.json"
@@ -114,21 +114,16 @@ def _cuts_like_pieces(tokenizer) -> bool:
     return [x for x, _ in e] == [p.encode().decode("latin-1").translate(letters) for p in _PIECES.findall(probe.lower())]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The encoder of this Python worker; it outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held_by_worker(NAME, path, lambda: ChunkEncoder(path))
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, before, number = encoder(path), 0, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
-        for part in slices(batches):
+        for part in slices(batches, owner=NAME):
             each = [coder.encode(t) + end for t in part.column(1).to_pylist()]
             n = np.array([len(b) // 4 for b in each], np.int64)
             stops = np.cumsum(n)

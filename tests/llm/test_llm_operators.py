@@ -471,7 +471,7 @@ def test_op10_is_the_jump_chain(spark, monkeypatch):
 
 @pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         written(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0), tmp_path, t)
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == (1 if name.startswith("op8") else 0)
 
@@ -527,3 +527,67 @@ def test_pipeline(spark, tmp_path):
     assert not set(range(43, 73)) & {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
     out = corpus_pipeline.run(spark, folder).collect()
     assert out and {r["doc_id"] for r in out} <= set(range(40)) | {73}
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+    folder = written(docs_of(spark, []), tmp_path)
+    written(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
+    written(spark.createDataFrame([], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    docs = docs_of(spark, [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns
+
+
+def test_stages_keep_columns_that_clash_with_their_own(spark, tmp_path):
+    import corpus_pipeline
+    written(spark.createDataFrame([(1, "bench " * 20)], "item_id long, text string"), tmp_path, "benchmark")
+    written(spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    extra = ["_text", "_toxicity", "_row", "row", "row_number", "_copy", "set", "root"]
+    rows = [(i, f"word{i} " * 30, "en", "s", None, *[f"{c}{i}" for c in extra]) for i in range(6)]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", {c} string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        assert set(map(tuple, kept.collect())) <= set(map(tuple, docs.collect())), name
+    op7_many = op7.BLOCK_BYTES
+    try:
+        op7.BLOCK_BYTES = 1  # several passes: the rows are numbered
+        written(spark.createDataFrame([(1, "bench " * 20), (2, "mark " * 20)], "item_id long, text string"), tmp_path / "two", "benchmark")
+        assert sorted(map(tuple, op7.clean_documents(docs, spark.read.parquet(f"{tmp_path}/two/benchmark.parquet")).collect())) == sorted(map(tuple, docs.collect()))
+    finally:
+        op7.BLOCK_BYTES = op7_many
+    scored = op2.reject_toxic(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert scored.columns == docs.columns and scored.count() <= 6
+
+
+def brute_groups(texts, words=5, percent=80):
+    return [c for _, _, c, _ in brute_join(texts, words, percent)]
+
+
+def test_one_of_each_group_brute_force(spark):
+    texts = [t for t in near_texts(11) if (t or "").split()]
+    kept = op1.one_of_each_group(docs_of(spark, texts), 5, 80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_groups(texts)))
+
+
+def test_a_worker_holds_one_owner():
+    from fundscope.llm import common
+    assert common.held_by_worker("a", 1, lambda: [1]) is common.held_by_worker("a", 1, lambda: [2])
+    common.held_by_worker("b", 1, lambda: [3])
+    assert list(common._HELD) == ["b"]
+    assert common.held_by_worker("a", 1, lambda: [4]) == [4]
+
+
+def test_rows_of_files_are_numbered_where_they_are(spark, tmp_path):
+    from fundscope.llm.common import numbered
+    texts = [f"text {i % 7} " * 9 for i in range(50)]
+    files = spark.read.parquet(written(docs_of(spark, texts).repartition(5), tmp_path) + "/documents.parquet")
+    rows = numbered(files, "n")
+    assert "Join" not in rows._jdf.queryExecution().analyzed().toString() and rows.select("n").distinct().count() == 50
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, numbered(files, "n").repartition(3).collect()))
+    twice = numbered(files.union(files), "n")  # not a table as it is: copied
+    assert twice.select("n").distinct().count() == 100
+    kept = op1.one_of_each_group(files, 5, 80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_groups(texts))) and kept.columns == files.columns
