@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundscope.llm import op1_ngram_join, op2_toxicity, op6_mixing, op7_decontaminate, op9_token_files
-from fundscope.llm.common import stored, table
+from fundscope.llm.common import free_name, stored, table
 
 #: Near duplicates share 80 % of their five-word n-grams or more.
 WORDS, PERCENT = 5, 80
@@ -25,32 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id, a null id last.
 
-    Decisions are on sets of n-grams under their ids, so another text of the same id is another document, and
-    a document without an id is named by its set.  Documents without words are no near duplicates and
-    stay.  Where ids repeat, one of the rows of equal id and set (without words: text) stays.
+    Rows are decided on by themselves, so where ids repeat, another text of the same id is another document.  Documents
+    without words are no near duplicates and stay.
     """
-    found = op1_ngram_join.joined_sets(docs.select("doc_id", "text"), WORDS, PERCENT)
-    pairs = stored(found.groupBy("doc_id", "set").agg(F.count("*").alias("rows"), F.first("root").alias("root")), "near-found")
-    order = F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_id"), F.col("set").alias("_kept"))
-    least = pairs.filter(F.col("set").isNotNull()).groupBy("root").agg(F.min(order).alias("_least"))
-    judged = pairs.join(least, "root", "left").withColumn(
-        "_keep", F.col("set").isNull() | (F.col("doc_id").eqNullSafe(F.col("_least._id")) & (F.col("set") == F.col("_least._kept"))))
-    named = F.col("set").isNotNull() | F.col("doc_id").isNotNull()  # rows without id and words stay as they are
-    marks = stored(judged.filter(~F.col("_keep") | ((F.col("rows") > 1) & named))
-                   .select(F.col("doc_id").alias("_id"), F.col("set").alias("_named"), "_keep"), "near-marks")
-    rows = op1_ngram_join.with_sets(docs, WORDS)
-
-    def marked(which: DataFrame, how: str) -> DataFrame:
-        same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("_set").eqNullSafe(F.col("_named"))
-        return rows.join(which, same, how)
-
-    kept = marked(marks, "left_anti")
-    copies = marks.filter("_keep")
-    if copies.limit(1).count():
-        wordless = F.when(F.col("_set").isNull(), F.col("text"))
-        one = marked(copies, "left_semi").withColumn("_text", wordless).dropDuplicates(["doc_id", "_set", "_text"]).drop("_text")
-        kept = kept.unionByName(one)
-    return kept.drop("_set")
+    return op1_ngram_join.one_of_each_group(docs, WORDS, PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +39,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     mixed = op6_mixing.mix_documents(docs)
-    return mixed.filter(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    copy = free_name(mixed, "_copy")
+    return mixed.filter(F.col("copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
