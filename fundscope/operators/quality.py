@@ -126,12 +126,41 @@ def fewer_rows_than(df: DataFrame, other: DataFrame, group_by: Sequence[str] = (
 
 
 # ---------------------------------------------------------------- DQ-9 equality
+#: Buckets of rows whose checksums are compared before any row is.
+CHECKSUM_BUCKETS = 4096
+
+
+def _row_bucket(columns: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
+def bucket_checksums(df: DataFrame, columns: Sequence[str], buckets: int = CHECKSUM_BUCKETS) -> DataFrame:
+    """(bucket, n, sum_a, sum_b): rows of a bucket, and sums of two hashes of each, in whatever order they come."""
+    return df.groupBy(_row_bucket(columns, buckets).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("sum_a"),
+        F.sum(F.xxhash64(F.lit(17), *columns).cast("decimal(20,0)")).alias("sum_b"))
+
+
+def differing_buckets(df: DataFrame, other: DataFrame, columns: Sequence[str], buckets: int = CHECKSUM_BUCKETS) -> DataFrame:
+    """(bucket) of the rows that are not the same multiset on both sides: at most ``buckets`` rows."""
+    a, b = (bucket_checksums(x, columns, buckets) for x in (df, other))
+    both = a.unionByName(b).groupBy("bucket").agg(F.count(F.lit(1)).alias("sides"), *[
+        F.min(c).eqNullSafe(F.max(c)).alias(c) for c in ("n", "sum_a", "sum_b")])
+    return both.where(~((F.col("sides") == 2) & F.col("n") & F.col("sum_a") & F.col("sum_b"))).select("bucket")
+
+
 def equality(df: DataFrame, other: DataFrame, columns: Sequence[str] | None = None,
-             strict: bool = False) -> DataFrame:
+             strict: bool = False, buckets: int = CHECKSUM_BUCKETS) -> DataFrame:
     """Rows in one side and not the other (EXCEPT both ways).  ``strict`` keeps
-    duplicates (EXCEPT ALL) so differing multiplicities also fail."""
+    duplicates (EXCEPT ALL) so differing multiplicities also fail.
+
+    A row's bucket follows from its values, so equal rows meet in one bucket.  Buckets whose counts and checksums
+    agree hold the same rows and are left out; only rows of the others are shuffled and compared."""
     cols = list(columns) if columns else df.columns
     a, b = df.select(*cols), other.select(*cols)
+    if all(df.schema[c].dataType == other.schema[c].dataType for c in cols):  # hashes of unlike types differ
+        unlike = differing_buckets(a, b, cols, buckets).select(F.col("bucket").alias("_bucket"))
+        a, b = (x.join(F.broadcast(unlike), _row_bucket(cols, buckets) == F.col("_bucket"), "left_semi") for x in (a, b))
     minus = (lambda x, y: x.exceptAll(y)) if strict else (lambda x, y: x.subtract(y))
     return (minus(a, b).withColumn("which_diff", F.lit("a_minus_b"))
             .unionByName(minus(b, a).withColumn("which_diff", F.lit("b_minus_a"))))

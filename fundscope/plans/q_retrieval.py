@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as RT
+from ..operators import text_index as TI
+from ..operators import vector_index as VI
+from ..session import written_table_dir
 from ..sources import adapters as A
 from ..sources.tables import Catalog
 from .registry import register
@@ -22,10 +25,13 @@ def _bench_queries(spark, d):
     return Catalog(spark, d).benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@register("ret_substring_search", KB + """
+_SUBSTRING_SQL = KB + """
 SELECT b.item_id AS query_id, k.id AS doc_id, k.title, k.created_at
 FROM benchmark b JOIN knowledge k ON instr(lower(concat_ws('', k.title, k.tags, k.content)), lower(b.text)) > 0
-""", "RET-1")
+"""
+
+
+@register("ret_substring_search", _SUBSTRING_SQL, "RET-1")
 def ret_substring_search(spark, d):
     return RT.substring_search(_bench_queries(spark, d), _kb(spark, d))
 
@@ -39,9 +45,11 @@ hits AS (SELECT kw.query_id, kt.id AS doc_id FROM kw JOIN kt ON instr(kt.st, low
 scored AS (SELECT query_id, doc_id, count(*) AS score FROM hits GROUP BY query_id, doc_id)"""
 
 
-@register("ret_keyword_search", _KW + """
-SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3""",
-          "RET-2")
+_KEYWORD_SQL = _KW + """
+SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3"""
+
+
+@register("ret_keyword_search", _KEYWORD_SQL, "RET-2")
 def ret_keyword_search(spark, d):
     return RT.keyword_search(_bench_queries(spark, d), _kb(spark, d), k=3)
 
@@ -53,24 +61,30 @@ qt AS (SELECT DISTINCT query_id, tok FROM (
 qn AS (SELECT query_id, count(*) AS n_query_tokens FROM qt GROUP BY query_id)"""
 
 
-@register("ret_token_overlap", _OV + f""",
+_TOKEN_SQL = _OV + f""",
 dt AS (SELECT DISTINCT doc_id, tok FROM (
          SELECT id AS doc_id, unnest(regexp_split_to_array(lower(concat_ws(' ', content, title)), {WS_SQL})) AS tok
          FROM knowledge) WHERE length(tok) > 0),
 ov AS (SELECT qt.query_id, dt.doc_id, count(*) AS overlap FROM qt JOIN dt USING (tok) GROUP BY 1, 2)
 SELECT query_id, doc_id, overlap, round(least(overlap / n_query_tokens * 0.8, 0.8), 6) AS score
 FROM ov JOIN qn USING (query_id)
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5""", "RET-3")
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5"""
+
+
+@register("ret_token_overlap", _TOKEN_SQL, "RET-3")
 def ret_token_overlap(spark, d):
     return RT.token_overlap(_bench_queries(spark, d), _kb(spark, d), k=5)
 
 
-@register("ret_substring_overlap", _OV + """,
+_SUBSTRING_OVERLAP_SQL = _OV + """,
 kt AS (SELECT id AS doc_id, lower(concat_ws(' ', title, content)) AS t FROM knowledge),
 ov AS (SELECT qt.query_id, kt.doc_id, count(*) AS overlap FROM qt JOIN kt ON instr(kt.t, qt.tok) > 0 GROUP BY 1, 2)
 SELECT query_id, doc_id, overlap, round(least(overlap / n_query_tokens, 0.9), 6) AS score
 FROM ov JOIN qn USING (query_id)
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5""", "RET-3")
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5"""
+
+
+@register("ret_substring_overlap", _SUBSTRING_OVERLAP_SQL, "RET-3")
 def ret_substring_overlap(spark, d):
     return RT.substring_overlap(_bench_queries(spark, d), _kb(spark, d), k=5)
 
@@ -90,8 +104,11 @@ def _vector_hits(spark, d):
     return RT.vector_topk(q, b, k=5, filter_cols=["label"], exclude_self=True)
 
 
-@register("ret_vector_topk", "WITH " + _VEC + """
-SELECT query_id, doc_id, round(distance, 4) AS distance, round(1.0 - distance, 4) AS score FROM vt""", "RET-4")
+_VECTOR_SQL = "WITH " + _VEC + """
+SELECT query_id, doc_id, round(distance, 4) AS distance, round(1.0 - distance, 4) AS score FROM vt"""
+
+
+@register("ret_vector_topk", _VECTOR_SQL, "RET-4")
 def ret_vector_topk(spark, d):
     h = _vector_hits(spark, d)
     return h.select("query_id", "doc_id", F.round("distance", 4).alias("distance"), F.round("score", 4).alias("score"))
@@ -178,3 +195,60 @@ SELECT id, concat_ws('', title, tags, content) AS search_text, left(coalesce(con
 FROM knowledge""", "RET-9")
 def ret_index_text(spark, d):
     return RT.knowledge_text(_kb(spark, d)).select("id", "search_text", "snippet")
+
+
+# ---------------------------------------------------------------- stored indexes
+def _text_index(spark, docs, text):
+    """The index of one text of each document, written and opened again as another session would."""
+    path = written_table_dir(spark, "text-index")
+    TI.build_index(docs.select(F.col("id").alias("doc_id"), text.alias("text")), path)
+    return TI.open_index(spark, path)
+
+
+@register("ret_index_keyword_search", _KEYWORD_SQL, "RET-2")
+def ret_index_keyword_search(spark, d):
+    index = _text_index(spark, RT.knowledge_text(_kb(spark, d)), F.col("search_text"))
+    return TI.keyword_search(index, _bench_queries(spark, d), k=3)
+
+
+@register("ret_index_token_overlap", _TOKEN_SQL, "RET-3")
+def ret_index_token_overlap(spark, d):
+    return TI.overlap(_text_index(spark, _kb(spark, d), F.concat_ws(" ", "content", "title")), _bench_queries(spark, d), True, 5, 0.8, 0.8)
+
+
+@register("ret_index_substring_overlap", _SUBSTRING_OVERLAP_SQL, "RET-3")
+def ret_index_substring_overlap(spark, d):
+    return TI.overlap(_text_index(spark, _kb(spark, d), F.concat_ws(" ", "title", "content")), _bench_queries(spark, d), False, 5, 1.0, 0.9)
+
+
+@register("ret_index_substring_search", _SUBSTRING_SQL, "RET-1")
+def ret_index_substring_search(spark, d):
+    kb = _kb(spark, d)
+    index = _text_index(spark, RT.knowledge_text(kb), F.col("search_text"))
+    return TI.substring_search(index, _bench_queries(spark, d), kb).select("query_id", "doc_id", "title", "created_at")
+
+
+def _vector_index(spark, d):
+    """The index of all vectors by label, opened again, and the queries: every vector."""
+    e, path = Catalog(spark, d).embeddings, written_table_dir(spark, "vector-index")
+    VI.build_index(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label"), path, ["label"])
+    return VI.open_index(spark, path), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), "label")
+
+
+@register("ret_vector_index_exact", _VECTOR_SQL, "RET-4")
+def ret_vector_index_exact(spark, d):
+    index, queries = _vector_index(spark, d)
+    h = VI.search(index, queries, k=5, nprobe=None, exclude_self=True)
+    return h.select("query_id", "doc_id", F.round("distance", 4).alias("distance"), F.round("score", 4).alias("score"))
+
+
+@register("ret_vector_index_recall", """
+WITH n AS (SELECT label, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL GROUP BY label)
+SELECT sum(n * least(n - 1, 5))::BIGINT AS exact_hits, true AS recall_reached FROM n""", "RET-4")
+def ret_vector_index_recall(spark, d):
+    """The share of the exact 5 nearest that the probed lists find, over all vectors as queries: 0.9 or more.
+
+    The number of lists is chosen on a sample of the queries."""
+    index, queries = _vector_index(spark, d)
+    found = VI.search(index, queries, 5, VI.probes_for(index, queries, 0.9, exclude_self=True), exclude_self=True)
+    return VI.recall(found, _vector_hits(spark, d)).select("exact_hits", (F.col("recall") >= 0.9).alias("recall_reached"))

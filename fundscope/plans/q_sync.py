@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +13,8 @@ from ..sources import adapters as A
 from ..sources import sync as SY
 from ..sources.tables import Catalog
 from ..streaming import jobs as J
+from ..streaming import merge_table as MT
+from ..streaming import open_events as OE
 from . import medallion as M
 from .registry import register
 
@@ -258,9 +262,12 @@ def _run_stream(spark, rows):
     return spark.read.schema(rows.schema).parquet(out)
 
 
-@register("stream_upsert", """
+_UPSERTED = """
 SELECT event_id, ts, user_id, event_type, value, props FROM events
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""", "STR-1")
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+
+@register("stream_upsert", _UPSERTED, "STR-1")
 def stream_upsert(spark, d):
     root = written_table_dir(spark, "upserted")
     J.upsert_stream(spark, _event_files(spark, d), J.LEDGER_SCHEMA, root, ["user_id"], "ts", written_table_dir(spark, "progress"),
@@ -291,3 +298,64 @@ def stream_event_dedupe(spark, d):
     events = spark.readStream.schema(J.LEDGER_SCHEMA).parquet(_event_files(spark, d)).selectExpr(
         "user_id AS subject_id", "event_type AS risk_type", "ts AS created_at")
     return _run_stream(spark, J.dedupe_events_stream(events)).select("subject_id", "risk_type")
+
+
+# ---------------------------------------------------------------- merge on read, and state across batches
+@register("stream_merge_on_read", _UPSERTED, "STR-1/SNK-2")
+def stream_merge_on_read(spark, d):
+    """One micro-batch per file, each a delta of the table; the fourth is followed by a compaction."""
+    table = MT.MergeTable(written_table_dir(spark, "merged"), J.LEDGER_SCHEMA, ("user_id",), "ts")
+    MT.merge_stream(spark, _event_files(spark, d), table, written_table_dir(spark, "progress"), max_files_per_trigger=1).awaitTermination()
+    return table.read(spark)
+
+
+@register("sync_merge_on_read", """
+WITH u AS (
+  SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, 0 AS is_delta FROM orders
+  UNION ALL
+  SELECT o_orderkey, 'F', o_totalprice, o_orderdate + INTERVAL 30 DAY, 1 FROM orders WHERE o_orderstatus = 'O')
+SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM u
+QUALIFY row_number() OVER (PARTITION BY o_orderkey
+  ORDER BY o_orderdate DESC, is_delta DESC, o_orderstatus DESC, o_totalprice DESC) = 1""", "SNK-2")
+def sync_merge_on_read(spark, d):
+    o = Catalog(spark, d).orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    table = MT.MergeTable(written_table_dir(spark, "merged"), o.schema, ("o_orderkey",), "o_orderdate")
+    table.add(o, 0)
+    later = (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("o_orderdate")
+    table.add(o.where("o_orderstatus = 'O'").select("o_orderkey", F.lit("F").alias("o_orderstatus"), "o_totalprice", later), 1)
+    return table.read(spark)
+
+
+def _action_files(spark, d, files=4):
+    """Events as signals, and purchases of whole tens as feedback, in files by time: one micro-batch each."""
+    events = Catalog(spark, d).events
+    verdict = F.when(F.col("event_id") % 10 == 0, "confirmed")
+    actions = events.select(F.col("event_id").alias("row_id"), F.col("user_id").cast("string").alias("subject_id"), F.col("event_type").alias("risk_type"),
+                            F.col("ts").cast("timestamp").alias("at"), F.when(verdict.isNull(), F.col("value")).alias("score"), verdict.alias("verdict"))
+    path = written_table_dir(spark, "actions")
+    bounds = events.agg(F.percentile("event_id", F.array(*[F.lit(i / files) for i in range(1, files)]))).first()[0]
+    part = reduce(lambda a, b: a + b, [(F.col("row_id") > b).cast("int") for b in bounds])
+    for i in range(files):  # one after another, so that the files' times are their order
+        actions.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@register("stream_open_events", """
+WITH e AS (SELECT event_id, user_id::VARCHAR AS subject_id, event_type AS risk_type, ts, value, event_id % 10 = 0 AS closes FROM events),
+-- the batches are quarters of the ids; inside a batch the time decides, signals before feedback
+q AS (SELECT quantile_cont(event_id, 0.25) AS a, quantile_cont(event_id, 0.5) AS b, quantile_cont(event_id, 0.75) AS c FROM events),
+o AS (SELECT e.*, row_number() OVER w AS i, lag(closes) OVER w AS before FROM e, q
+  WINDOW w AS (PARTITION BY subject_id, risk_type ORDER BY (event_id > a)::INT + (event_id > b)::INT + (event_id > c)::INT, ts, closes, event_id)),
+-- an event opens at the first signal of a key and at each signal after feedback; the next feedback closes it
+s AS (SELECT *, sum(closes::INT) OVER (PARTITION BY subject_id, risk_type ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS life FROM o),
+g AS (SELECT subject_id, risk_type, coalesce(life, 0) AS life, min_by(event_id, i) FILTER (WHERE NOT closes) AS event_id,
+    min_by(value, i) FILTER (WHERE NOT closes) AS score, min_by(ts, i) FILTER (WHERE NOT closes) AS opened_at,
+    max(ts) FILTER (WHERE closes) AS closed_at, count(*) FILTER (WHERE NOT closes) AS signals FROM s GROUP BY 1, 2, 3)
+SELECT subject_id, risk_type, event_id, score, CASE WHEN closed_at IS NULL THEN 'Pending' ELSE 'Closed' END AS status,
+  CASE WHEN closed_at IS NULL THEN NULL ELSE 'confirmed' END AS verdict, opened_at, closed_at
+FROM g WHERE signals > 0""", "STR-4/ML-14/ML-15")
+def stream_open_events(spark, d):
+    out = written_table_dir(spark, "changes")
+    OE.run_open_events(spark, _action_files(spark, d), out, written_table_dir(spark, "progress")).awaitTermination()
+    table = OE.event_table(spark.read.schema(OE.CHANGES).parquet(out))
+    return table.withColumn("opened_at", F.col("opened_at").cast("timestamp_ntz")).withColumn("closed_at", F.col("closed_at").cast("timestamp_ntz"))

@@ -165,3 +165,13 @@ def q_group_by_n(spark, d):
     li = Catalog(spark, d).lineitem.select("l_returnflag", "l_linestatus", "l_quantity")
     return TB.group_by_n(li, 2, F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
                          F.count(F.lit(1)).alias("n_lines"))
+
+
+@register("paginate_deep", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, (SELECT count(*) FROM lineitem) AS total_rows
+FROM lineitem ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice LIMIT 40 OFFSET (SELECT count(*) // 80 * 40 FROM lineitem)""", "SRT-2")
+def q_paginate_deep(spark, d):
+    """The page in the middle of the table."""
+    rows = Catalog(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    directory = TB.PageDirectory.build(rows, rows.columns)
+    return directory.page(rows, directory.total_rows // 80 + 1, 40)
