@@ -1,7 +1,7 @@
 """Features, training, scoring and risk-event bookkeeping with Spark ML.
 
-One ``encode`` function feeds both training and scoring.  Model selection uses
-``CrossValidator`` (3 folds, F1 of the positive class); the boosted-tree
+One ``encode`` function feeds both training and scoring.  Model selection is a grid search over 3 folds
+(F1 of the positive class) that reads smaller ensembles off larger ones; the boosted-tree
 stand-in is GBT.  Threshold search counts equal scores first and takes prefix sums over
 ranges of the distinct ones, so it is exact.  Risk events are appended with
 in-batch dedupe plus an anti join against open events, all as joins and
@@ -10,22 +10,22 @@ aggregates.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_divide
 from ..operators.stats import global_rank
+from ..session import written_table_dir
+from . import tree_search, type_forests
 from .rules import AuditTables
 
 # Category codes and defaults used by the feature encoding.
@@ -182,45 +182,32 @@ GRID = {
     "gbt": {"maxIter": (50, 100, 200), "maxDepth": (4, 6, 8), "stepSize": (0.01, 0.05, 0.1)},
 }
 RISK_TYPE_TREES = 100
-
-
-def _estimator(name: str, space: dict, rows: int, label: str, seed: int):
-    common = dict(featuresCol="features", labelCol=label, weightCol="class_weight")
-    if name == "logistic_regression":
-        est = LogisticRegression(maxIter=200, **common)
-        space = {"regParam": [1.0 / (c * max(rows, 1)) for c in space["C"]]}
-    elif name == "random_forest":
-        est = RandomForestClassifier(seed=seed, **common)
-    elif name == "gbt":
-        est = GBTClassifier(seed=seed, **common)
-    else:
-        raise ValueError(f"no model {name!r}")
-    grid = ParamGridBuilder()
-    for param, values in space.items():
-        grid = grid.addGrid(est.getParam(param), list(values))
-    return est, grid.build()
-
-
-def f1_evaluator(label: str) -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction",
-                                             metricName="fMeasureByLabel", metricLabel=1.0)
+#: Rows of a partition of the table that models are fitted on, at least.
+FIT_PARTITION_ROWS = 50_000
 
 
 def fit_models(train: DataFrame, label: str = "target_label", features: Sequence[str] = FEATURES,
                grid: Mapping[str, Mapping[str, Sequence]] = GRID, key: str = "contract_id", folds: int = 3,
-               seed: int = 42, parallelism: int = 2) -> dict:
+               seed: int = 42, parallelism: int = 8, trials: str | None = None) -> dict:
     """Grid search with k-fold CV (F1 of class 1) per model type of ``grid``, with balanced
     class weights and folds by a hash of ``key``.  Returns {name: fitted PipelineModel}.
+
+    Ensembles are fitted once per fold and read at every size of the grid (``tree_search``).  Finished fits are kept in the folder
+    ``trials`` (by default one named by a hash of the rows and the settings) and not repeated by a later or restarted search.
     ``train`` is read once per fit: pass a written table, not a plan of joins."""
-    fold = hash_bucket(key, seed + 1, folds).alias("_fold")
-    weighted = class_weights(train, label).select("*", fold)
-    rows, out = train.count(), {}
-    for name, space in grid.items():
-        est, points = _estimator(name, dict(space), rows, label, seed)
-        cv = CrossValidator(estimator=est, estimatorParamMaps=points, evaluator=f1_evaluator(label), numFolds=folds,
-                            foldCol="_fold", parallelism=parallelism)
-        out[name] = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), cv]).fit(weighted)
-    return out
+    found = train.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(key, label, *features).cast("decimal(20,0)")).alias("h")).first()
+    rows = found["n"]
+    if trials is None:
+        settings = json.dumps([str(found["h"]), rows, label, list(features), key, folds, seed])
+        trials = f"{os.path.dirname(written_table_dir(train.sparkSession, 'trials'))}/trials-{hashlib.md5(settings.encode()).hexdigest()}"
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    weighted = assembler.transform(class_weights(train, label).select("*", hash_bucket(key, seed + 1, folds).alias("_fold")))
+    path = written_table_dir(train.sparkSession, "folds")
+    # few rows are few partitions: the time of a small fit is that of its many short jobs
+    weighted.select(*features, "features", label, "class_weight", "_fold").coalesce(max(1, rows // FIT_PARTITION_ROWS)).write.parquet(path)
+    data = train.sparkSession.read.parquet(path)
+    points = tree_search.search(data, features, label, grid, rows, folds, seed, parallelism, trials)
+    return {name: PipelineModel([assembler, tree_search.estimator_of(name, point, rows, label, seed).fit(data)]) for name, point in points.items()}
 
 
 def score(model, df: DataFrame, name: str = "model") -> DataFrame:
@@ -310,7 +297,7 @@ def best_threshold(scored: DataFrame, prob_col: str = "probability_default", lab
 def feature_importance(model, features: Sequence[str] = FEATURES, top: int = 10) -> list[tuple[str, float]]:
     """Top features by importance (trees) or |coefficient| (linear); read from
     the fitted model's parameters (a vector of len(features))."""
-    m = model.stages[-1].bestModel
+    m = model.stages[-1]
     if hasattr(m, "featureImportances"):
         vals = m.featureImportances.toArray()
     else:
@@ -319,22 +306,23 @@ def feature_importance(model, features: Sequence[str] = FEATURES, top: int = 10)
 
 
 def save_run(spark: SparkSession, model, model_type: str, metrics: dict, root: str) -> str:
-    """Versioned model save, one run row appended to ``root/runs`` and the pointer ``root/latest`` to it (parquet)."""
+    """Versioned model save, then one run row appended to ``root/runs``: the run that is the latest is known from its
+    row, so a crash in between leaves the one before it the latest.  Versions rise with time and never collide."""
     import time
-    version = time.strftime("%Y%m%d_%H%M%S")
+    import uuid
+    version = f"{time.strftime('%Y%m%d_%H%M%S', time.gmtime())}_{time.time_ns() % 10**9:09d}_{uuid.uuid4().hex[:8]}"
     path = f"{root.rstrip('/')}/models/{model_type}_{version}"
-    model.write().overwrite().save(path)
+    model.write().save(path)
     row = dict(metrics, model_type=model_type, model_path=path, version=version)
     run = spark.createDataFrame([json.dumps(row)], "string").select(F.from_json("value", "map<string,string>").alias("m"))
-    run.write.mode("append").parquet(os.path.join(root, "runs"))
-    run.select(F.col("m.model_path").alias("model_path"), F.col("m.version").alias("version")).write.mode("overwrite").parquet(
-        os.path.join(root, "latest"))
+    run.coalesce(1).write.mode("append").parquet(os.path.join(root, "runs"))
     return path
 
 
 def latest_model(spark: SparkSession, root: str) -> PipelineModel:
-    """The model that the last run saved."""
-    return PipelineModel.load(spark.read.parquet(os.path.join(root, "latest")).first()["model_path"])
+    """The model of the newest run."""
+    runs = spark.read.schema("m map<string,string>").parquet(os.path.join(root, "runs"))
+    return PipelineModel.load(runs.agg(F.max_by(F.col("m.model_path"), F.col("m.version")).alias("p")).first()["p"])
 
 
 # ---------------------------------------------------------------- ML-11/12 per risk type
@@ -353,35 +341,15 @@ def risk_types_of(events: DataFrame) -> list[str]:
     return [r[0] for r in events.select("risk_type").where(F.col("risk_type").isNotNull()).distinct().orderBy("risk_type").collect()]
 
 
-def fit_per_risk_type(labelled: DataFrame, risk_types: Sequence[str], features: Sequence[str], min_pos: int = 5,
-                      seed: int = 42, id_col: str = "person_id") -> dict:
-    """{type: (random forest, accuracy)}, trained on 70 % of the rows by a hash of the id and measured on the others; types
+def fit_risk_types(labelled: DataFrame, risk_types: Sequence[str], features: Sequence[str], min_pos: int = 5,
+                   seed: int = 42, id_col: str = "person_id", trees: int = RISK_TYPE_TREES) -> tuple[type_forests.TypeForests, dict]:
+    """(forests of all types, {type: accuracy}), trained on 70 % of the rows by a hash of the id and measured on the others; types
     with fewer than ``min_pos`` positives are skipped."""
-    out = {}
-    pos = labelled.agg(*[F.sum(F.col(f"`{t}`")).alias(t) for t in risk_types]).first().asDict()
-    for t in risk_types:
-        if (pos.get(t) or 0) < min_pos:
-            continue
-        train, test = split(labelled.withColumn("label", F.col(f"`{t}`").cast("double")), id_col, 30, seed)
-        rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="class_weight",
-                                    numTrees=RISK_TYPE_TREES, seed=seed)
-        model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), rf]).fit(class_weights(train, "label"))
-        hits = model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()["a"]
-        out[t] = (model, hits)
-    return out
-
-
-def score_risk_types(models: dict, df: DataFrame, id_col: str, min_prob: float = 0.5) -> DataFrame:
-    """Long table ``id, risk_type, score`` (score = round(prob*100, 1)) for
-    probabilities above ``min_prob``."""
-    parts = []
-    for t, (m, _) in models.items():
-        s = m.transform(df).select(id_col, vector_to_array("probability")[1].alias("p"))
-        parts.append(s.where(F.col("p") > min_prob).select(id_col, F.lit(t).alias("risk_type"),
-                                                            F.round(F.col("p") * 100, 1).alias("score")))
-    if not parts:
-        return df.sparkSession.createDataFrame([], f"{id_col} long, risk_type string, score double")
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    enough = labelled.agg(*[F.sum(F.col(f"`{t}`")).alias(f"n{i}") for i, t in enumerate(risk_types)]).first()
+    kept = [t for i, t in enumerate(risk_types) if (enough[f"n{i}"] or 0) >= min_pos]
+    train, test = split(labelled, id_col, 30, seed)
+    model = type_forests.fit_type_forests(train, id_col, features, kept, trees, min_pos=1)
+    return model, type_forests.type_accuracy(test, model)
 
 
 # ---------------------------------------------------------------- ML-14/15 events

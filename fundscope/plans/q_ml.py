@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
 from ..sources import adapters as A
@@ -363,5 +365,59 @@ def ml_risk_type_scores(spark, d):
     types = ML.risk_types_of(events)
     labelled = M.materialise(ML.risk_type_labels(feats, events, types), written_table_dir(spark, "labelled"))
     cols = ["n_ops", "avg_amount", "max_amount", "balance", "deposit_base"]
-    models = ML.fit_per_risk_type(labelled, types, cols)
-    return ML.score_risk_types(models, feats, "person_id")
+    forests, _ = ML.fit_risk_types(labelled, types, cols)
+    return ML.type_forests.score_types(feats, forests, "person_id")
+
+
+# ---------------------------------------------------------------- scoring with models that SQL can state
+@register("ml_scores_fixed", "WITH gold AS (" + GOLD_SQL + """),
+g AS (SELECT contract_id, CAST(target_label AS INTEGER) AS target_label, 1 / (1 + exp((coalesce(credit_score, 0) - 650) / 50.0)) AS p FROM gold
+      WHERE CAST('0x' || substr(md5(contract_id || '-42'), 1, 8) AS BIGINT) % 100 < 20)
+SELECT contract_id, target_label, round(p, 6) AS probability_default, CAST(p > 0.5 AS INTEGER) AS predicted_label,
+       round(greatest(p, 1 - p), 6) AS confidence, 'latest' AS model FROM g""", "ML-7/ML-8")
+def ml_scores_fixed(spark, d):
+    """A model of one formula, saved as the newer of two runs, loaded as the latest and applied to the test rows."""
+    root = written_table_dir(spark, "models")
+    for at in (500, 650):
+        formula = SQLTransformer(statement=f"SELECT *, 1 - p AS q, CAST(p > 0.5 AS DOUBLE) AS prediction FROM "
+                                           f"(SELECT *, 1 / (1 + exp((credit_score - {at}) / 50D)) AS p FROM __THIS__)")
+        ML.save_run(spark, PipelineModel([formula, VectorAssembler(inputCols=["q", "p"], outputCol="probability")]), "formula", {"at": at}, root)
+    scored = ML.score(ML.latest_model(spark, root), _train_test(spark, d)[1], "latest")
+    return scored.select("contract_id", F.col("target_label").cast("int").alias("target_label"), F.round("probability_default", 6).alias("probability_default"),
+                         "predicted_label", F.round("confidence", 6).alias("confidence"), "model")
+
+
+_EDGES = {"n_ops": [float(x) for x in range(5, 105, 5)], "max_amount": [float(x) for x in range(20, 520, 20)]}
+
+
+@register("ml_risk_type_tree", ALL + ",\noffh AS (" + RULE_SQL["off_hours_operations"] + "),\n" + f"""
+per AS (SELECT person_id, CAST(count(*) AS DOUBLE) AS n_ops, max(trans_amount) AS max_amount FROM ledger GROUP BY person_id),
+pairs AS (SELECT person_id, 'many_nights' AS kind FROM offh GROUP BY person_id HAVING count_if(is_night) >= 26
+          UNION SELECT person_id, 'many_weekends' FROM offh GROUP BY person_id HAVING count_if(is_weekend) >= 18),
+lab AS (SELECT per.*, k.kind, (p.person_id IS NOT NULL)::INT AS y FROM per CROSS JOIN (SELECT DISTINCT kind FROM pairs) k
+        LEFT JOIN pairs p ON p.person_id = per.person_id AND p.kind = k.kind),
+w AS (SELECT kind, count(*) / (2.0 * count(*) FILTER (WHERE y = 0)) AS w0, count(*) / (2.0 * sum(y)) AS w1, count(*) / 2.0 AS half FROM lab
+      GROUP BY kind HAVING sum(y) >= 5 AND count(*) FILTER (WHERE y = 0) > 0),
+cut AS (SELECT 0 AS f, unnest({_EDGES['n_ops']}) AS e UNION ALL SELECT 1, unnest({_EDGES['max_amount']})),
+side AS (SELECT w.kind, f, e, half, w0 * count(*) FILTER (WHERE y = 0 AND CASE f WHEN 0 THEN n_ops ELSE max_amount END <= e) AS l0,
+           w1 * count(*) FILTER (WHERE y = 1 AND CASE f WHEN 0 THEN n_ops ELSE max_amount END <= e) AS l1
+         FROM lab JOIN w USING (kind) CROSS JOIN cut GROUP BY w.kind, f, e, half, w0, w1),
+gain AS (SELECT *, half - l0 AS r0, half - l1 AS r1 FROM side),
+best AS (SELECT *, round((2 * half - half) - (l0 + l1 - (l0 * l0 + l1 * l1) / (l0 + l1)) - (r0 + r1 - (r0 * r0 + r1 * r1) / (r0 + r1)), 9) AS gain FROM gain
+         WHERE l0 + l1 > 1e-9 AND r0 + r1 > 1e-9),
+tree AS (SELECT * FROM best WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY kind ORDER BY gain DESC, f, e) = 1),
+s AS (SELECT person_id, lab.kind AS risk_type, CASE WHEN CASE f WHEN 0 THEN n_ops ELSE max_amount END <= e THEN l1 / (l0 + l1) ELSE r1 / (r0 + r1) END AS p
+      FROM lab JOIN tree USING (kind))
+SELECT person_id, risk_type, round(p * 100, 1) AS score FROM s WHERE p > 0.5 + 1e-9""", "ML-11/ML-12")
+def ml_risk_type_tree(spark, d):
+    """One split per type, grown over given edges from all rows: the trainer and scorer of all types with an answer SQL can find."""
+    t = R.AuditTables.from_catalog(Catalog(spark, d))
+    off = R.off_hours_operations(t).groupBy(F.col("person_id").alias("subject_id")).agg(
+        F.count_if("is_night").alias("nights"), F.count_if("is_weekend").alias("weekends"))
+    events = (off.where("nights >= 26").select("subject_id", F.lit("many_nights").alias("risk_type"))
+              .unionByName(off.where("weekends >= 18").select("subject_id", F.lit("many_weekends").alias("risk_type"))))
+    per = t.ledger.groupBy("person_id").agg(F.count(F.lit(1)).cast("double").alias("n_ops"), F.max("trans_amount").alias("max_amount"))
+    types = ML.risk_types_of(events)
+    labelled = M.materialise(ML.risk_type_labels(per, events, types), written_table_dir(spark, "labelled"))
+    forests = ML.type_forests.fit_type_forests(labelled, "person_id", list(_EDGES), types, trees=1, depth=1, subset=2, edges=list(_EDGES.values()), bagged=False)
+    return ML.type_forests.score_types(labelled, forests, "person_id", 0.5 + 1e-9)
