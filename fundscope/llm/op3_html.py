@@ -53,8 +53,11 @@ PARTS = frozenset("""ad ads advert adverts advertisement advertising banner brea
     cookies disqus footer menu modal nav navbar navigation newsletter notice popup promo promotion related replies sidebar social
     share sharing sponsor sponsored subscribe toolbar widget""".split())
 CONTENT = frozenset(("article", "main"))
+ABSENT = ("no-", "has-", "with-", "without-")
+#: Words outside links that a wrapper of a whole page holds at least.
+WRAPPER_WORDS = 25
 
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<",
+_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)|[^<]+|<",
                     re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
@@ -71,44 +74,84 @@ class Segment:
 
 
 def _attributes(rest: str) -> tuple[list[str], str]:
+    """Words of the class names and the id, and the role.  ``no-sidebar`` and the like speak of a page, not of a part."""
     names, role = [], ""
     for name, value in _ATTRIBUTE.findall(rest):
         value = value.strip("\"'").lower()
         if name.lower() == "role":
             role = value
         else:
-            names += _NAME_PARTS.split(value)
+            for each in value.split():
+                if not each.startswith(ABSENT):
+                    names += _NAME_PARTS.split(each)
     return names, role
 
 
+class _Open:
+    """An open element, with what holds for all inside it."""
+
+    __slots__ = ("name", "label", "block", "out", "link", "content", "paragraph", "marked")
+
+    def __init__(self, name: str, label: str, out: bool, within: "_Open | None", marked: int | None):
+        self.name, self.label, self.marked = name, label, marked
+        self.block = label if name in BLOCKS else within.block if within else ""
+        self.out = out or bool(within and within.out)
+        self.link = name == "a" or bool(within and within.link)
+        self.content = name in CONTENT or bool(within and within.content)
+        self.paragraph = name == "p" or bool(within and within.paragraph)
+
+
 def segments(page: str) -> list[Segment]:
-    """The page's tags and texts in order, each with the place it stands in."""
+    """The page's tags and texts in order, each with the place it stands in.
+
+    A form, or a part that only its class or id marks, is a wrapper if it holds all the page's words and not only links: the page is
+    read once more without that mark."""
+    kept: set[int] = set()
+    while True:
+        out, words, plain = _segments(page, kept)
+        every = sum(x.words for x in out)
+        whole = [k for k, n in words.items() if n * 100 >= 99 * every and plain[k] >= WRAPPER_WORDS]
+        if not whole:
+            return out
+        kept.add(min(whole))
+
+
+def _segments(page: str, kept: set[int]) -> tuple[list[Segment], Counter, Counter]:
+    """The segments, and per left-out part that may be a wrapper, by its number in the page, the words inside it and those outside
+    links; ``kept`` ones are not left out."""
     out: list[Segment] = []
-    stack: list[tuple[str, str, bool]] = []  # open elements: name, label, whether nothing inside is main text
+    stack: list[_Open] = []
+    opened, words, plain, count = Counter(), Counter(), Counter(), 0
     position, size = 0, len(page)
+
+    def close(to: int) -> None:
+        for x in stack[to:]:
+            opened[x.name] -= 1
+        del stack[to:]
+
     while position < size:
         m = _PIECE.match(page, position)
         position = m.end()
         piece, name = m.group(), m.group(2)
+        top = stack[-1] if stack else None
         if name is None:
             if piece.startswith("<") and len(piece) > 1:
                 continue  # comment, doctype
             text = html.unescape(piece)
             if text:
-                left_out = any(x[2] for x in stack)
-                place = (stack[-1][1] if stack else "", next((x[1] for x in reversed(stack) if x[0] in BLOCKS), ""),
-                         any(x[0] == "a" for x in stack))
-                out.append(Segment(None, text, place, left_out, any(x[0] in CONTENT for x in stack), False))
+                place = (top.label if top else "", top.block if top else "", bool(top and top.link))
+                out.append(Segment(None, text, place, bool(top and top.out), bool(top and top.content), False))
+                if top and top.marked is not None:
+                    words[top.marked] += out[-1].words
+                    plain[top.marked] += 0 if top.link else out[-1].words
             continue
         if not piece.endswith(">"):
             break  # cut off inside a tag
         name = name.lower()
         if m.group(1):  # end tag: closes the nearest open element of its name, and all inside it
-            left_out = any(x[2] for x in stack)  # the tag that closes a left-out part is part of it
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            left_out = bool(top and top.out)  # the tag that closes a left-out part is part of it
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name))
             out.append(Segment("/" + name, "", None, left_out, False, name in BLOCKS))
             continue
         if name in RAW:
@@ -120,19 +163,30 @@ def segments(page: str) -> list[Segment]:
             continue
         names, role = _attributes(m.group(3)) if m.group(3) else ([], "")
         if name in CONTENT:  # main text does not stand inside a menu, footer or advert: those were left open
-            while stack and stack[-1][0] not in ("html", "body") and any(x[2] for x in stack):
-                stack.pop()
+            while stack and stack[-1].name not in ("html", "body") and stack[-1].out:
+                close(len(stack) - 1)
         elif name in BLOCKS:
-            while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "u") and any(x[0] == "p" for x in stack):
-                stack.pop()  # a block ends an open paragraph
+            while stack and stack[-1].name in ("p", "b", "i", "em", "strong", "span", "u") and stack[-1].paragraph:
+                close(len(stack) - 1)  # a block ends an open paragraph
+        top = stack[-1] if stack else None
         part = next((x for x in names if x in PARTS), "")
-        inside = any(x[0] in CONTENT for x in stack)
         left_out = name not in CONTENT and name not in ("html", "body") and (
-            name in NEVER or role in ROLES or bool(part) or (name == "header" and not inside))
+            name in NEVER or role in ROLES or bool(part) or (name == "header" and not (top and top.content)))
+        marked = top.marked if top else None
+        if left_out:
+            left_out = count not in kept
+            if left_out and marked is None and not role and (name == "form" or name not in NEVER and name != "header"):
+                marked = count
+            count += 1
         if name not in VOID:
-            stack.append((name, f"{name}.{part or role}" if part or role else name, left_out))
-        out.append(Segment(name, "", None, any(x[2] for x in stack), False, name in BLOCKS))
-    return out
+            label = f"{name}.{part or role}" if part or role else name
+            stack.append(_Open(name, label, left_out, top, marked))
+            opened[name] += 1
+            top = stack[-1]
+            out.append(Segment(name, "", None, top.out, False, name in BLOCKS))
+        else:
+            out.append(Segment(name, "", None, bool(top and top.out), False, name in BLOCKS))
+    return out, words, plain
 
 
 def _is_labelled(page: str) -> bool:
