@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import sketches as SK
 from ..operators import stats as ST
+from ..session import written_table_dir
 from ..sources.tables import Catalog
 from .registry import register
 
@@ -12,7 +16,6 @@ FROM (SELECT {by}{field} AS x FROM {table}) {group}"""
 
 
 def _round_summary(df):
-    from pyspark.sql import functions as F
     return df.select(*[F.round(c, 4).alias(c) if c in ("sum", "mean", "std_dev") else F.col(c) for c in df.columns])
 
 
@@ -123,3 +126,18 @@ SELECT value, count, round(count * 100.0 / total_count, 1) AS percentage, CAST(t
 FROM c, t ORDER BY count DESC, value LIMIT 20""", "ANA-4/AG-8")
 def stats_distribution(spark, d):
     return ST.distribution(Catalog(spark, d).lineitem, "l_quantity", top=20)
+
+
+# sketches are estimates: that they keep their bounds against the exact answers is what SQL can state
+@register("ana_sketches", """
+SELECT event_type, count(*) AS n, true AS distinct_within_bound, true AS median_within_bound FROM events GROUP BY event_type""", "ANA-1/AG-3/AG-6")
+def ana_sketches(spark, d):
+    """Ids and values of each event type from stored daily sketches, held against the exact count and the rank of the median."""
+    e, path = Catalog(spark, d).events, written_table_dir(spark, "sketches")
+    SK.sketch_days(e, ["event_type"], F.to_date("ts"), "event_id", "value").write.parquet(path)
+    found = SK.estimates(SK.merged(spark.read.parquet(path), ["event_type"]))
+    exact = (e.join(F.broadcast(found.select(F.col("event_type").alias("_t"), "q50")), F.col("event_type") == F.col("_t"))  # one row a type
+             .groupBy("event_type").agg(F.count_distinct("event_id").alias("ids"), F.count("value").alias("values"), F.count_if(F.col("value") <= F.col("q50")).alias("below")))
+    near = F.abs(F.col("distinct_ids") - F.col("ids")) <= F.col("ids") * SK.DISTINCT_BOUND + 1
+    ranked = F.abs(F.col("below") - F.col("values") / 2) <= F.col("values") * SK.RANK_BOUND + 1
+    return found.join(exact, "event_type").select("event_type", "n", near.alias("distinct_within_bound"), ranked.alias("median_within_bound"))
