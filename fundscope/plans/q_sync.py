@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..operators import tables as TB
 from ..session import written_table_dir
 from ..sources import adapters as A
+from ..sources import range_reader as RR
 from ..sources import sync as SY
 from ..sources.tables import Catalog
 from ..streaming import jobs as J
@@ -359,3 +360,33 @@ def stream_open_events(spark, d):
     OE.run_open_events(spark, _action_files(spark, d), out, written_table_dir(spark, "progress")).awaitTermination()
     table = OE.event_table(spark.read.schema(OE.CHANGES).parquet(out))
     return table.withColumn("opened_at", F.col("opened_at").cast("timestamp_ntz")).withColumn("closed_at", F.col("closed_at").cast("timestamp_ntz"))
+
+
+# ---------------------------------------------------------------- partitioned reads of a written copy
+def _orders_copy(spark, d):
+    path = written_table_dir(spark, "source")
+    Catalog(spark, d).orders.repartitionByRange(4, "o_custkey").sortWithinPartitions("o_custkey").write.parquet(path)
+    return path
+
+
+_READ = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders"
+
+
+def _read(spark, d, **options):
+    rows = RR.read_ranges(spark, _orders_copy(spark, d), **options)
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+
+
+@register("read_key_ranges", _READ + " WHERE o_custkey > 100 AND o_orderstatus = 'F'", "SRC-1")
+def read_key_ranges(spark, d):
+    return _read(spark, d, key="o_custkey", ranges="8").where("o_custkey > 100 AND o_orderstatus = 'F'")
+
+
+@register("read_source_parts", _READ + " WHERE o_orderstatus <> 'F'", "SRC-2")
+def read_source_parts(spark, d):
+    return _read(spark, d, by="parts").where("o_orderstatus <> 'F'")
+
+
+@register("read_sequential", _READ, "SRC-3/SRC-4")
+def read_sequential(spark, d):
+    return _read(spark, d)
