@@ -390,3 +390,16 @@ def read_source_parts(spark, d):
 @register("read_sequential", _READ, "SRC-3/SRC-4")
 def read_sequential(spark, d):
     return _read(spark, d)
+
+
+@register("stream_incremental", "SELECT event_id, user_id, event_type FROM events", "SYNC-1")
+def stream_incremental(spark, d):
+    """Events arrive in two parts; the second run of the stream reads those above the greatest key of the first."""
+    events = Catalog(spark, d).events.select("event_id", "user_id", "event_type")
+    path, out, progress = (written_table_dir(spark, n) for n in ("arrivals", "stream", "progress"))
+    middle = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    for part in (F.col("event_id") <= middle, F.col("event_id") > middle):
+        events.where(part).write.mode("append").parquet(path)
+        rows = RR.stream_ranges(spark, path, "event_id", ranges="4")
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(out)

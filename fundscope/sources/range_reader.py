@@ -179,8 +179,56 @@ class RangeReader(D.DataSourceReader):
         yield from self._cursor().batches(reduce(lambda a, b: a & b, where) if where else None, partition.part)
 
 
+class RangeStream(D.DataSourceStreamReader):
+    """The source as a stream of what has come above a key: the offset is the greatest key that was read.
+
+    A micro-batch reads (offset, greatest key now] in ranges.  Spark logs the offsets before it runs a batch and the
+    sink commits them with the rows, so a batch that died reads the same range again and none is read twice.  The key rises (a
+    number or a text), as that of an incremental extract does; rows with a null key or one not above the option ``after`` never come."""
+
+    def __init__(self, options: dict):
+        self.reader_ = RangeReader(options, set())
+        self.options = options
+
+    def _typed(self, value):
+        if value is None:
+            return None
+        kind = self.reader_._cursor().arrow_schema().field(self.options["key"]).type
+        return int(value) if pa.types.is_integer(kind) else value
+
+    def initialOffset(self) -> dict:
+        return {"after": self._typed(self.options.get("after"))}
+
+    def latestOffset(self) -> dict:
+        stretches, _ = self.reader_._cursor().profile(self.options["key"])
+        greatest = [b for _, b, _ in stretches]
+        first = self.initialOffset()["after"]
+        return {"after": max([*greatest, *([first] if first is not None else [])], default=None)}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[Range]:
+        low, high = start["after"], end["after"]
+        if high is None or low is not None and low >= high:
+            return [Range(low=high, high=high)] if high is not None else [Range(nulls=True, high=None, part="")]
+        stretches, _ = self.reader_._cursor().profile(self.options["key"])
+        new = [(a if low is None else max(a, low), min(b, high), n) for a, b, n in stretches if (low is None or b > low) and a <= high]
+        points = [p for p in split_points(new, int(self.options.get("ranges", "1"))) if (low is None or p > low) and p < high]
+        return [Range(a, b) for a, b in zip([low, *points], [*points, high])]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if partition.part == "":
+            return  # nothing has come yet
+        if partition.low is None:  # the first range: everything with a key
+            key = pc.field(self.options["key"])
+            yield from self.reader_._cursor().batches(key <= pa.scalar(partition.high), None)
+        else:
+            yield from self.reader_.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass  # the source keeps its rows
+
+
 class KeyRangeSource(D.DataSource):
-    """Options: ``path`` (or whatever the cursor asks for), ``key`` and ``ranges``, or ``by=parts``; ``cursor``."""
+    """Options: ``path`` (or whatever the cursor asks for), ``key`` and ``ranges``, or ``by=parts``; ``cursor``; for streams ``after``."""
 
     @classmethod
     def name(cls) -> str:
@@ -195,9 +243,18 @@ class KeyRangeSource(D.DataSource):
     def reader(self, schema) -> RangeReader:
         return RangeReader(self._given(), set(schema.names))
 
+    def streamReader(self, schema) -> RangeStream:
+        return RangeStream(self._given())
+
 
 def read_ranges(spark: SparkSession, path: str, **options: str):
     """A table of the source; filters are pushed to the cursor in a session that allows it, as this sets it."""
     spark.dataSource.register(KeyRangeSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format(FORMAT).options(path=path, **options).load()
+
+
+def stream_ranges(spark: SparkSession, path: str, key: str, **options: str):
+    """A stream of the rows that come above the greatest key read so far."""
+    spark.dataSource.register(KeyRangeSource)
+    return spark.readStream.format(FORMAT).options(path=path, key=key, **options).load()

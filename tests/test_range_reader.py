@@ -60,3 +60,36 @@ def test_split_points():
     assert RR.split_points([(0, 99, 100)], 4) == [24, 49, 74]
     assert RR.split_points([(0, 9, 90), (0, 999, 10)], 2) == [5]
     assert RR.split_points([("a", "c", 5), ("d", "f", 5), ("g", "i", 5)], 3) == ["c", "f"]
+
+
+def run_stream(spark, path, out, progress, **options):
+    stream = RR.stream_ranges(spark, path, "id", ranges="3", **options)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return [r["id"] for r in spark.read.parquet(out).collect()]
+
+
+def test_a_stream_goes_on_after_the_greatest_key(spark, tmp_path):
+    import os
+    path, out, progress = (str(tmp_path / n) for n in ("src", "out", "progress"))
+
+    def arrive(a, b):
+        spark.range(a, b).withColumn("v", F.col("id") * 2).repartition(2).write.mode("append").parquet(path)
+
+    arrive(0, 100)
+    assert sorted(run_stream(spark, path, out, progress)) == list(range(100))
+    assert sorted(run_stream(spark, path, out, progress)) == list(range(100))  # nothing new
+    arrive(100, 250)
+    assert sorted(run_stream(spark, path, out, progress)) == list(range(250))
+    # a crash after the sink wrote and before the batch was committed: it runs again, and no row is lost or repeated
+    last = max(int(n) for n in os.listdir(f"{progress}/commits") if n.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{progress}/commits/{name}"):
+            os.remove(f"{progress}/commits/{name}")
+    arrive(250, 300)
+    run_stream(spark, path, out, progress)
+    assert sorted(run_stream(spark, path, out, progress)) == list(range(300))
+
+
+def test_a_stream_may_start_after_a_key(spark, tmp_path):
+    spark.range(50).repartition(2).write.parquet(str(tmp_path / "src"))
+    assert sorted(run_stream(spark, str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "p"), after="19")) == list(range(20, 50))
