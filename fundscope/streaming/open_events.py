@@ -9,8 +9,6 @@ Inside a micro-batch the rows of a key are taken in the order of (time, row id),
 between batches the arrival decides, as with any state.  Rows go through in Arrow batches and are never gathered by key: a
 batch of a key is sorted by itself first, so order inside a batch of a hot key needs the input sorted by time, as
 files of a log are.  Rows with a null subject or type are one key like any other.
-
-``daily_totals_stream`` is the daily roll-up with state across batches: a day's counts are state until the watermark closes the day.
 """
 
 from __future__ import annotations
