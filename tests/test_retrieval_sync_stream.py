@@ -3,6 +3,7 @@ plan-shape assertions."""
 import shutil
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +50,29 @@ def test_overlap_top_k_brute_force(spark, monkeypatch):
             assert got[i] == {(d, n) for n, d in best}
 
 
+def test_overlap_copies_no_text(spark, monkeypatch):
+    """However many blocks the queries fill, a text is sent to one cell."""
+    monkeypatch.setattr(RT, "BLOCK_QUERIES", 5)
+    sent, spread = [], RT._spread
+    monkeypatch.setattr(RT, "_spread", lambda *a: sent.append(spread(*a)) or sent[-1])
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.array(F.lit("some words of a text")).alias("terms"))
+    queries = spark.range(40).select(F.col("id").alias("query_id"), F.array(F.lit("some"), F.lit("other")).alias("terms"))
+    assert RT.term_hits(queries, docs, whole=True, k=3).select("query_id").distinct().count() == 40
+    assert sent[0].where(F.size("payload") == 1).count() == 50
+
+
+def test_whole_words_of_odd_rows(spark):
+    """Repeated ids, a term given twice, words that all or few documents hold, more than 255 terms, and a cap that makes counts tie."""
+    docs = spark.createDataFrame([(1, ["a b"]), (1, ["a b"]), (2, ["a"]), (3, ["a b c"]), (4, [" "])] + [(i, ["a"]) for i in range(5, 200)],
+                                 "doc_id long, terms array<string>")
+    queries = spark.createDataFrame([(1, ["a", "b", "b", "c"]), (2, ["a"] * 300), (3, ["zz"])], "query_id long, terms array<string>")
+    got = sorted((r["query_id"], r["doc_id"], r["hits"]) for r in RT.term_hits(queries, docs, whole=True).where("doc_id < 5").collect())
+    assert got == [(1, 1, 3), (1, 1, 3), (1, 2, 1), (1, 3, 4), (2, 1, 300), (2, 1, 300), (2, 2, 300), (2, 3, 300)]
+    cell = RT._WordCell([3, 1, 2, 4], [["a b c"], ["a b"], ["a"], ["a b c"]], 2, 0.6, (pa.int64(), pa.int64(), pa.int64()))
+    (rows,) = cell.add([7], [["a", "b", "c"]])
+    assert list(zip(rows["doc_id"].to_pylist(), rows["hits"].to_pylist())) == [(1, 2), (3, 3)]  # two of three is more than the cap
+
+
 def test_keyword_and_overlap(spark):
     kb = spark.createDataFrame([(i, "c", f"title{i}", t, "tag", None) for i, t in enumerate(TEXTS)],
                                "id long, category string, title string, content string, tags string, "
