@@ -80,6 +80,17 @@ def test_search_does_not_shuffle_the_base(spark, tmp_path):
         raise AssertionError(plan)
 
 
+@pytest.mark.parametrize("nprobe", [None, 30])
+def test_a_query_is_sent_by_cell_not_by_list(spark, tmp_path, nprobe):
+    """600 rows in 40 lists lie in one cell of 1,024 rows a label: a query goes there once, however many lists it probes."""
+    base = vectors(spark)
+    index = VI.build_index(base, str(tmp_path / "i"), ["label"], n_lists=40)
+    sent = VI._sent(base.withColumnRenamed("doc_id", "query_id"), index, nprobe)
+    assert sent.count() == sent.select("id").distinct().count() == 640
+    if nprobe:
+        assert 10 < sent.agg(F.max(F.size("lists")).alias("n")).first()["n"] <= nprobe
+
+
 def test_empty_index(spark, tmp_path):
     base = spark.createDataFrame([], "doc_id long, vec array<double>, label int")
     index = VI.build_index(base, str(tmp_path / "i"), ["label"])
