@@ -107,3 +107,30 @@ def test_deduplicate_with_map_column(spark):
     df = spark.sql("SELECT * FROM VALUES (1, 1, map('a', 1)), (1, 2, map('a', 2)), (1, 2, map('a', 1)), (NULL, 1, NULL) AS t(k, v, m)")
     got = {r["k"]: (r["v"], r["m"]) for r in TB.deduplicate(df, ["k"], ["v"]).collect()}
     assert got == {1: (2, {"a": 2}), None: (1, None)}
+
+
+def test_rows_of_a_hot_group_are_spread(spark):
+    """A group of most rows meets its statistics in many tasks; small groups, NULL and missing ones as before."""
+    from pyspark.sql import functions as F
+
+    from fundscope.operators import stats as ST
+    rows = spark.range(4000).select(F.col("id"), F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") < 50, F.concat(F.lit("g"), "id")).alias("g"))
+    groups = rows.where("g <> 'g10' OR g IS NULL").groupBy("g").agg(F.max("id").alias("top"), F.count("*").alias("n"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1")):
+            spark.conf.set(k, v)
+        found = ST._with_groups(rows, groups, ["g"], size="n")
+        want = {r["id"]: (r["top"], r["n"]) for r in ST._with_groups(rows, groups, ["g"]).collect()}
+        assert {r["id"]: (r["top"], r["n"]) for r in found.collect()} == want and len(want) == 3999
+        most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert most < 1500
+
+
+def test_models_are_fitted_on_bounded_partitions(spark):
+    from fundscope.plans import ml as ML
+    cores = spark.sparkContext.defaultParallelism
+    assert [ML.fit_partitions(spark, n) for n in (0, 10, 120_000, 10 ** 9)] == [1, 1, 2, 3 * cores]
