@@ -173,3 +173,23 @@ def test_empty_text_index(spark, tmp_path):
     docs = spark.createDataFrame([], "id long, content string")
     index = index_of(docs, F.col("content"), tmp_path / "i")
     assert TI.term_hits(index, RT.query_keywords(asked(spark)), False, 3).count() == 0
+
+
+def test_a_keyword_of_many_terms_leaves_its_cell_once():
+    """A query's k best leave the cell, whatever the number of terms that hold a keyword; a gram of many terms is one row a folder."""
+    import pyarrow as pa
+    cell = TI._Cell(False, 2, False, 0.25)
+    cell.ask(1, ["ab", "x"], [1, 1], [1 << 62])
+    cell.ask(2, ["ab"], [3], [2])
+    cell.documents(pa.array([10, 11, 12, 13]))
+    cell.add(["abc", "cab", "zz", "x"], pa.array([[13, 11], [12, 11], [10], [12]]))
+    got = [(q, b, [int(i) for i in at], hits.tolist(), counted.tolist()) for q, b, at, hits, counted in cell.rows()]
+    assert got[0] == (1, 0, [2, 1], [2, 1], [2, 1])
+    assert got[1] == (2, 0, [1, 2], [3, 3], [2, 2])  # the bound makes them equal, the least ids are taken
+
+
+def test_grams_grow_by_folder_not_by_term(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"term{i:03d}") for i in range(400)], "id long, content string")
+    index = index_of(docs, F.col("content"), tmp_path / "i")
+    grams = index.table(spark, "grams")
+    assert grams.count() == grams.select("key", "folder").distinct().count() <= 5 * grams.select("key").distinct().count()
