@@ -338,8 +338,9 @@ def term_hits(index: TextIndex, queries: DataFrame, whole: bool, k: int | None =
     columns = ["block", "chunk", "kind", *none]
 
     def cells(rows: DataFrame, kind: int) -> DataFrame:
-        given = rows.columns
-        return rows.select(*[F.lit(kind).alias(c) if c == "kind" else F.col(c) if c in given else F.lit(None).cast(none[c]).alias(c) for c in columns])
+        # empty arrays, not nulls: Arrow fills a list column's nulls again for every row that is added
+        given = {**{c: F.array() if str(t).startswith("array") else F.lit(None) for c, t in none.items()}, "kind": F.lit(kind)}
+        return rows.select(*[F.col(c) if c in rows.columns else given[c].cast(none.get(c, "int")).alias(c) for c in columns])
 
     # a row of queries' words, postings and documents' ids, each cell together
     by_query = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).select("*", numbers(index.chunks).alias("chunk"))
