@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import tables as TB
+from ..operators.stats import exact_quantiles
 from ..session import written_table_dir
 from ..sources import adapters as A
 from ..sources import range_reader as RR
@@ -327,18 +328,15 @@ def sync_merge_on_read(spark, d):
     return table.read(spark)
 
 
-def _action_files(spark, d, files=4):
-    """Events as signals, and purchases of whole tens as feedback, in files by time: one micro-batch each."""
+def _action_parts(spark, d, parts=4):
+    """Events as signals, and purchases of whole tens as feedback, in parts by quantiles of the id."""
     events = Catalog(spark, d).events
     verdict = F.when(F.col("event_id") % 10 == 0, "confirmed")
     actions = events.select(F.col("event_id").alias("row_id"), F.col("user_id").cast("string").alias("subject_id"), F.col("event_type").alias("risk_type"),
                             F.col("ts").cast("timestamp").alias("at"), F.when(verdict.isNull(), F.col("value")).alias("score"), verdict.alias("verdict"))
-    path = written_table_dir(spark, "actions")
-    bounds = events.agg(F.percentile("event_id", F.array(*[F.lit(i / files) for i in range(1, files)]))).first()[0]
+    bounds = exact_quantiles(events, "event_id", [i / parts for i in range(1, parts)])
     part = reduce(lambda a, b: a + b, [(F.col("row_id") > b).cast("int") for b in bounds])
-    for i in range(files):  # one after another, so that the files' times are their order
-        actions.where(part == i).coalesce(1).write.mode("append").parquet(path)
-    return path
+    return [actions.where(part == i) for i in range(parts)]
 
 
 @register("stream_open_events", """
@@ -356,8 +354,11 @@ SELECT subject_id, risk_type, event_id, score, CASE WHEN closed_at IS NULL THEN
   CASE WHEN closed_at IS NULL THEN NULL ELSE 'confirmed' END AS verdict, opened_at, closed_at
 FROM g WHERE signals > 0""", "STR-4/ML-14/ML-15")
 def stream_open_events(spark, d):
-    out = written_table_dir(spark, "changes")
-    OE.run_open_events(spark, _action_files(spark, d), out, written_table_dir(spark, "progress")).awaitTermination()
+    """Each part of the events is a micro-batch of its own: it arrives, in as many files as it is read in, and the stream goes on."""
+    path, out, progress = (written_table_dir(spark, n) for n in ("actions", "changes", "progress"))
+    for part in _action_parts(spark, d):
+        part.write.mode("append").parquet(path)
+        OE.run_open_events(spark, path, out, progress, files_per_batch=None).awaitTermination()
     table = OE.event_table(spark.read.schema(OE.CHANGES).parquet(out))
     return table.withColumn("opened_at", F.col("opened_at").cast("timestamp_ntz")).withColumn("closed_at", F.col("closed_at").cast("timestamp_ntz"))
 

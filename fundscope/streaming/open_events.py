@@ -6,17 +6,23 @@ opens an event if none is open, else it is suppressed; *feedback* (with a verdic
 State holds open events only: a close removes its key, so the state grows with what is open, not with what ever was.
 
 Inside a micro-batch the rows of a key are taken in the order of (time, row id), signals of one time before feedback;
-between batches the arrival decides, as with any state.  Rows go through in Arrow batches and are never gathered by key: a
-batch of a key is sorted by itself first, so order inside a batch of a hot key needs the input sorted by time, as
-files of a log are.  Rows with a null subject or type are one key like any other.
+between batches the arrival decides, as with any state.  The rows of a hot key are sorted in runs that are merged from temporary
+files, so a task holds ``RUN_ROWS`` of them at most.  Keys are many and their rows few: rows are taken as they are, without a
+frame for each key, and the state store is asked once for a key and told once if the key has changed.  Rows with a null subject or
+type are one key like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import pickle
+import tempfile
+from collections.abc import Iterable, Iterator
+from heapq import merge
+from itertools import chain, islice
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,36 +36,73 @@ CHANGES = T.StructType([
     T.StructField("subject_id", T.StringType()), T.StructField("risk_type", T.StringType()), T.StructField("event_id", T.LongType()),
     T.StructField("status", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("verdict", T.StringType()),
     T.StructField("at", T.TimestampType()), T.StructField("suppressed", T.LongType())])
+CHANGE = Row(*CHANGES.names)
 _STATE = "event_id long, score double, suppressed long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of a key that are sorted in memory; of more, sorted runs go to a temporary file of the task and are merged.
+RUN_ROWS = 50_000
+
+
+def _action(r: Row) -> tuple:
+    """(time, whether it is feedback, id), nulls last, then what the row brings."""
+    at, row_id, score, verdict = r.at, r.row_id, r.score, r.verdict
+    return ((at is None, at or 0, verdict is not None, row_id is None, row_id or 0),
+            at, row_id, None if score is None or math.isnan(score) else score, verdict)
+
+
+def _kept(run: list[tuple], files: list) -> Iterator[tuple]:
+    """A run as it comes back from a file."""
+    files.append(file := tempfile.TemporaryFile())
+    for at in range(0, len(run), 1000):
+        pickle.dump(run[at:at + 1000], file)
+    file.seek(0)
+
+    return chain.from_iterable(pickle.load(file) for _ in range(0, len(run), 1000))
+
+
+def in_order(rows: Iterable[Row], run_rows: int = RUN_ROWS) -> Iterator[tuple]:
+    """The actions of a key by time, signals of one time before feedback, then by id."""
+    actions, first = map(_action, rows), itemgetter(0)
+    run = sorted(islice(actions, run_rows), key=first)
+    if len(run) < run_rows:
+        yield from run
+        return
+    files, runs = [], []
+    try:
+        while run:
+            runs.append(_kept(run, files))
+            run = sorted(islice(actions, run_rows), key=first)
+        yield from merge(*runs, key=first)
+    finally:
+        for file in files:
+            file.close()
+
+
 class OpenEvents(StatefulProcessor):
     """The open event of a key, if any: the row that opened it, its score, and how many signals it has suppressed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", _STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = self.open.get() if self.open.exists() else None
-        out = []
-        for batch in rows:
-            batch = batch.assign(closes=batch["verdict"].notna()).sort_values(["at", "closes", "row_id"], kind="stable")
-            for r in batch.itertuples(index=False):
-                if r.closes and now is not None:
-                    out.append((key[0], key[1], now[0], "Closed", now[1], r.verdict, r.at, now[2]))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        was = now = self.open.get()
+        for _, at, row_id, score, verdict in in_order(rows):
+            if verdict is not None:
+                if now is not None:
+                    yield CHANGE(*key, now[0], "Closed", now[1], verdict, at, now[2])
                     now = None
-                elif not r.closes and now is None:
-                    now = (int(r.row_id), None if pd.isna(r.score) else float(r.score), 0)
-                    out.append((key[0], key[1], now[0], "Pending", now[1], None, r.at, 0))
-                elif not r.closes:
-                    now = (now[0], now[1], now[2] + 1)
-        if now is not None:
-            self.open.update(tuple(now))
-        elif self.open.exists():
+            elif now is None:
+                now = (row_id, score, 0)
+                yield CHANGE(*key, row_id, "Pending", score, None, at, 0)
+            else:
+                now = (now[0], now[1], now[2] + 1)
+        # every call goes to the state store by itself: what is as it was is not told again
+        if now is not None and now != was:
+            self.open.update(now)
+        elif now is None and was is not None:
             self.open.clear()
-        if out:
-            yield pd.DataFrame(out, columns=CHANGES.names).astype({"event_id": "int64", "suppressed": "int64"})
 
     def close(self) -> None:
         pass
@@ -75,14 +118,17 @@ def stateful_session(spark: SparkSession) -> SparkSession:
 
 def open_events_stream(actions: DataFrame) -> DataFrame:
     """Opened and closed events of a stream of ``ACTIONS``; its session must use the RocksDB state store."""
-    return actions.groupBy("subject_id", "risk_type").transformWithStateInPandas(
+    return actions.groupBy("subject_id", "risk_type").transformWithState(
         statefulProcessor=OpenEvents(), outputStructType=CHANGES, outputMode="Append", timeMode="None")
 
 
-def run_open_events(spark: SparkSession, source_dir: str, out: str, checkpoint: str, files_per_batch: int = 1):
-    """Start the stream over files of ``ACTIONS``, oldest first; append changes as Parquet; returns the StreamingQuery."""
+def run_open_events(spark: SparkSession, source_dir: str, out: str, checkpoint: str, files_per_batch: int | None = 1):
+    """Start the stream over files of ``ACTIONS``, oldest first; append changes as Parquet; returns the StreamingQuery.
+
+    Without ``files_per_batch`` all files that are new are one batch."""
     own = stateful_session(spark)
-    actions = own.readStream.schema(ACTIONS).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
+    reader = own.readStream.schema(ACTIONS)
+    actions = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(source_dir)
     return (open_events_stream(actions).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
 

@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,3 +190,47 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
         if (progress / "commits" / name).exists():
             os.remove(progress / "commits" / name)
     assert run(spark, tmp_path, [[signal(4, "a", 10)]]) == played([*batches, [signal(4, "a", 10)]])
+
+
+def test_rows_of_a_hot_key_are_taken_in_order(spark, tmp_path):
+    """More rows of a key than an Arrow batch holds, in no order and in several files of one micro-batch."""
+    rng = random.Random(7)
+    rows = [(feedback if rng.random() < 0.01 else signal)(i, "hot" if i % 50 else f"s{i}", i // 3) for i in range(24_000)]
+    rng.shuffle(rows)
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, OE.ACTIONS).repartition(3).write.parquet(source)
+    OE.run_open_events(spark, source, str(tmp_path / "out"), str(tmp_path / "progress"), files_per_batch=None).awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(OE.CHANGES).parquet(str(tmp_path / "out")).collect()), key=str)
+    assert got == played([rows])
+
+
+def test_runs_merge_to_one_order():
+    rng = random.Random(8)
+    times = [None, *(T0 + dt.timedelta(minutes=m) for m in range(40))]
+    rows = [Row(*OE.ACTIONS.names)(i, "a", "late", rng.choice(times), rng.choice([1.0, None, float("nan")]), rng.choice([None, None, "v"])) for i in range(5000)]
+    got = list(OE.in_order(rows, 700))
+    assert [r[1:3] for r in got] == [(r.at, r.row_id) for r in sorted(rows, key=lambda r: (r.at is None, r.at or 0, r.verdict is not None, r.row_id))]
+    assert got == list(OE.in_order(rows)) and all(r[3] in (None, 1.0) for r in got)
+
+
+def test_a_key_costs_few_calls_to_the_state_store():
+    calls = []
+
+    class State:
+        def __init__(self, value):
+            self.value = value
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (self.value if name == "get" else None)
+
+    def names(value, *rows):
+        calls.clear()
+        of = OE.OpenEvents()
+        of.open = State(value)
+        out = list(of.handleInputRows(("a", "late"), iter([Row(*OE.ACTIONS.names)(*r) for r in rows]), None))
+        return len(out), list(calls)
+
+    assert names(None, signal(1, "a", 0), signal(2, "a", 1)) == (1, ["get", "update"])
+    assert names((1, 1.0, 0), feedback(2, "a", 1)) == (1, ["get", "clear"])
+    assert names(None, feedback(2, "a", 1)) == (0, ["get"])
+    assert names(None, signal(1, "a", 0), feedback(2, "a", 1)) == (2, ["get"])

@@ -110,6 +110,14 @@ def test_rank_and_median(spark):
     assert abs(allm - float(np.median(pdf["v"]))) < 1e-9
 
 
+def test_quantiles_are_those_of_percentile(spark):
+    rng, shares = np.random.default_rng(4), [0.0, 0.25, 1 / 3, 0.5, 0.9, 1.0]
+    for values in ([7], [1, 2], [None, 3, 3, 3, 9], [int(v) for v in rng.integers(0, 300, 1000)], list(range(0, 4001, 2))):
+        df = spark.createDataFrame([(v,) for v in values], "x long").repartition(5)
+        assert ST.exact_quantiles(df, "x", shares) == df.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0]
+    assert ST.exact_quantiles(df.where("x < 0"), "x", shares) == [None] * len(shares)
+
+
 def test_stats(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 100)] + [(None,)], "x double")
     s = ST.summary(df, "x").first()
