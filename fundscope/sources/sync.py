@@ -390,9 +390,16 @@ def incremental_candidates(df: DataFrame, top: int = 5) -> DataFrame:
 def read_files(spark: SparkSession, path: str, fmt: str, schema: T.StructType,
                corrupt_column: str = "_corrupt_record", **options) -> DataFrame:
     """CSV/JSON ingest with an explicit schema; malformed rows are kept with the
-    raw text in ``corrupt_column`` (PERMISSIVE) instead of failing the read."""
+    raw text in ``corrupt_column`` (PERMISSIVE) instead of failing the read.
+
+    The rows belong to a session of their own with the settings of ``spark``: a session that has observed a query
+    cannot ship models that keep a reference to it (forests and logistic regression do, in their training summary)."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
     full = T.StructType(schema.fields + [T.StructField(corrupt_column, T.StringType(), True)])
-    reader = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_column)
+    reader = own.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_column)
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.format(fmt).load(path)
@@ -401,9 +408,8 @@ def read_files(spark: SparkSession, path: str, fmt: str, schema: T.StructType,
 def ingest_with_report(df: DataFrame, target: str, corrupt_column: str = "_corrupt_record"):
     """Split good/bad rows and count them while the good rows are written
     (``Observation`` metrics, no extra pass).  Returns (good_df, observation);
-    after the write, ``observation.get`` holds total/success/failed.  Read ``df`` through ``spark.newSession()``
-    if the session also fits models: a logistic regression keeps a reference to its session, which Spark cannot
-    serialise once it has observed a query."""
+    after the write, ``observation.get`` holds total/success/failed.  The session of ``df`` should fit no
+    models, as that of ``read_files`` does not."""
     obs = Observation(f"import_{target}")
     bad = F.col(corrupt_column).isNotNull()
     observed = df.observe(obs, F.count(F.lit(1)).alias("total_rows"), F.count_if(~bad).alias("success_rows"),

@@ -276,3 +276,18 @@ def test_upsert_stream_touches_few_buckets_and_replays(spark, tmp_path):
     (tmp_path / "ck" / "commits" / "3").unlink()
     (tmp_path / "ck" / "commits" / ".3.crc").unlink(missing_ok=True)
     step(4, [(4, 2, "e")])
+
+
+def test_models_are_shipped_after_an_observed_ingest(spark, tmp_path):
+    """What an ingest observes is not the session that models are fitted in; its settings are the same."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    (tmp_path / "in.csv").write_text("a,b\n1,2\nx,3\n")
+    df = SY.read_files(spark, str(tmp_path / "in.csv"), "csv", T.StructType([T.StructField(c, T.IntegerType()) for c in "ab"]), header="true")
+    assert df.sparkSession.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    good, seen = SY.ingest_with_report(df, "t")
+    assert good.collect() == [(1, 2)] and seen.get == {"total_rows": 2, "success_rows": 1, "failed_rows": 1}
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame([(float(i), i // 5) for i in range(10)], "x double, y int"))
+    model = RandomForestClassifier(numTrees=3, labelCol="y", seed=1).fit(rows)
+    assert len(model.transform(rows).select("prediction").collect()) == 10
