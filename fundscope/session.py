@@ -34,6 +34,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with the settings of ``spark``; a new one has only those that the context was started with."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    return own
+
+
 def written_table_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share, as named by ``spark.checkpoint.dir``.
 

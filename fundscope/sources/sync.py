@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import own_session
+
 # ---------------------------------------------------------------- SRC-5 type mapping
 # Decimal digits that every value of an integer type holds at least.
 _DIGITS = {T.ShortType(): 4, T.IntegerType(): 9, T.LongType(): 18}
@@ -394,12 +396,8 @@ def read_files(spark: SparkSession, path: str, fmt: str, schema: T.StructType,
 
     The rows belong to a session of their own with the settings of ``spark``: a session that has observed a query
     cannot ship models that keep a reference to it (forests and logistic regression do, in their training summary)."""
-    own = spark.newSession()
-    for k, v in spark.conf.getAll.items():
-        if own.conf.isModifiable(k):
-            own.conf.set(k, v)
     full = T.StructType(schema.fields + [T.StructField(corrupt_column, T.StringType(), True)])
-    reader = own.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_column)
+    reader = own_session(spark).read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_column)
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.format(fmt).load(path)

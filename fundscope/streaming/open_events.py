@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import own_session
+
 #: What a stream of signals and feedback looks like.
 ACTIONS = T.StructType([
     T.StructField("row_id", T.LongType()), T.StructField("subject_id", T.StringType()), T.StructField("risk_type", T.StringType()),
@@ -109,8 +111,8 @@ class OpenEvents(StatefulProcessor):
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session of its own (same context and catalog) whose streams keep their state in RocksDB, on disk and checkpointed."""
-    own = spark.newSession()
+    """A session of its own (same context, catalog and settings) whose streams keep their state in RocksDB, on disk and checkpointed."""
+    own = own_session(spark)
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     own.conf.set("spark.sql.session.timeZone", "UTC")
     return own

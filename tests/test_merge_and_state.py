@@ -234,3 +234,16 @@ def test_a_key_costs_few_calls_to_the_state_store():
     assert names((1, 1.0, 0), feedback(2, "a", 1)) == (1, ["get", "clear"])
     assert names(None, feedback(2, "a", 1)) == (0, ["get"])
     assert names(None, signal(1, "a", 0), feedback(2, "a", 1)) == (2, ["get"])
+
+
+def test_the_state_has_as_many_stores_as_the_session_has_shuffle_partitions(spark, tmp_path):
+    """Not as many as a new session would have: every store is a database on disk."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert OE.stateful_session(spark).conf.get("spark.sql.shuffle.partitions") == "3"
+        run(spark, tmp_path, [[signal(1, "a", 0)]])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    stores = [n for n in os.listdir(tmp_path / "progress" / "state" / "0") if n.isdigit()]
+    assert len(stores) == 3
