@@ -4,6 +4,7 @@ import shutil
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +74,57 @@ def test_whole_words_of_odd_rows(spark):
     assert list(zip(rows["doc_id"].to_pylist(), rows["hits"].to_pylist())) == [(1, 2), (3, 3)]  # two of three is more than the cap
 
 
+@pytest.mark.parametrize("rare,lookup,rows", [(8, 64, 1 << 20), (2, 0, 1), (1 << 40, 64, 5000), (1, 1 << 40, 64)])
+def test_best_of_a_shard_by_any_way_of_counting(rare, lookup, rows, monkeypatch):
+    """Rare words first or all words by rows of bits: the k largest counts, of equals the least ids, as counted one by one."""
+    for name, value in (("RARE", rare), ("LOOKUP", lookup), ("ROWS", rows), ("TEXTS", 300), ("PLACES", 4000)):
+        monkeypatch.setattr(RT._WordCell, name, value)
+    rng = np.random.default_rng(rare % 7)
+    words = np.array([f"w{i}" for i in range(400)])
+    chance = 1 / np.arange(2, 402) ** 1.1
+    texts = [" ".join(words[rng.random(400) < chance * rng.uniform(0.3, 3)]) for _ in range(900)] + ["", " \t\n ", "w0\x0bw1\x0cw2\rw3", "w1\x1cw2 \u00a0 w5\u3000w6"]
+    ids = rng.permutation(len(texts)).tolist()
+    queries = [rng.choice(words, n, replace=False, p=chance / chance.sum()).tolist() for n in (1, 2, 3, 5, 9, 20, 60, 200) * 4] + [
+        texts[5].split(), ["none"], [], ["w1", "w1", "w7"], ["\u00a0", "w1\x1cw2"], words[-20:].tolist()]
+    held = [set(t.encode().split()) for t in texts]
+    for k in (1, 5, 2000):
+        cell = RT._WordCell(ids, [[t] for t in texts], k, 1.0, (pa.int64(),) * 3)
+        got = {}
+        for batch in cell.add(list(range(len(queries))), queries):
+            for r in batch.to_pylist():
+                got.setdefault(r["query_id"], []).append((-r["hits"], r["doc_id"]))
+        for i, q in enumerate(queries):
+            best = sorted((-n, d) for d, h in zip(ids, held) if (n := sum(w.encode() in h for w in q)))[:k]
+            assert sorted(got.get(i, [])) == best, (k, i)
+
+
+def test_cells_are_dealt_out_evenly(spark):
+    """A shard for each core is one shard in each partition."""
+    cores = spark.sparkContext.defaultParallelism
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.array(F.lit("some words")).alias("terms"))
+    queries = spark.range(9).select(F.col("id").alias("query_id"), F.array(F.lit("some")).alias("terms"))
+    found, spread = [], RT._spread
+    try:
+        RT._spread = lambda *a: found.append(spread(*a)) or found[-1]
+        RT.term_hits(queries, docs, whole=True, k=3)
+    finally:
+        RT._spread = spread
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = found[0].groupBy(F.spark_partition_id()).agg(F.count_distinct("cell").alias("n")).collect()
+    assert sum(r["n"] for r in cells) == cores and max(r["n"] for r in cells) == -(-cores // parts)
+
+
+def test_hybrid_reads_each_side_once_and_keeps_odd_rows(spark, small_dir):
+    v = spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.5), (1, 2, 0.4), (2, None, 0.1), (None, 4, 0.2), (3, 9, -1.0)], "query_id int, doc_id int, score double")
+    kw = spark.createDataFrame([(1, 1, 0.9), (1, 3, 0.9), (1, 3, 0.9), (2, None, 0.8), (None, 4, 0.7), (4, 1, 0.6)], "query_id int, doc_id int, score double")
+    got = sorted(map(str, RT.hybrid_merge(v, kw, 5).collect()))
+    left = kw.join(v.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    assert got == sorted(map(str, v.withColumn("source", F.lit("vector")).unionByName(left.withColumn("source", F.lit("keyword"))).collect()))
+    from fundscope.plans.registry import entries
+    plan = entries()["ret_hybrid"].fn(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the vector search and the overlap
+
+
 def test_keyword_and_overlap(spark):
     kb = spark.createDataFrame([(i, "c", f"title{i}", t, "tag", None) for i, t in enumerate(TEXTS)],
                                "id long, category string, title string, content string, tags string, "
